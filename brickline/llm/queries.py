@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickline.llm import curriculum, decontaminate, licenses, ring, simhash, telephony
+from brickline.llm import curriculum, decontaminate, licenses, ring, simhash, telephony, tokens
 from brickline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -70,3 +77,9 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 ORACLE["op5_benchmark_decontamination"] = decontaminate.oracle()
+
+
+@query
+def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, freq = tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+    return tokens.read_tokens(blocks, freq).drop("ids")
