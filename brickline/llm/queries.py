@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickline.llm import curriculum, decontaminate, licenses, ring, simhash, telephony, tokens
-from brickline.llm.common import table
+from brickline.llm import curriculum, decontaminate, langid, licenses, quality, ring, simhash, telephony, tokens
+from brickline.llm.common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,20 @@ ORACLE["op5_benchmark_decontamination"] = decontaminate.oracle()
 def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, freq = tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
     return tokens.read_tokens(blocks, freq).drop("ids")
+
+
+@query
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc32_of_id(F.col("doc_id")) % 5 == 0
+    model = quality.learn(docs, labels, ~held_out)
+    scored = quality.score_documents(docs, model, F.col("doc_id"), held_out.alias("held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of_id(F.col("doc_id")) % 5 == 0
+    model = langid.learn(docs, ~held_out)
+    return langid.identify(docs, model, F.col("doc_id"), held_out.alias("held_out"))
