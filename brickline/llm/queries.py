@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickline.llm import curriculum, decontaminate, langid, licenses, quality, ring, simhash, telephony, tokens
+from brickline.llm import curriculum, decontaminate, langid, licenses, ngram_lm, quality, ring, simhash, telephony, tokens
 from brickline.llm.common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op9_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_of_id(F.col("doc_id")) % 5 == 0
     model = langid.learn(docs, ~held_out)
     return langid.identify(docs, model, F.col("doc_id"), held_out.alias("held_out"))
+
+
+@query
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"), crc32_of_id(F.col("doc_id")) % 10 != 0)
