@@ -149,11 +149,12 @@ def learn(docs: DataFrame, train: Column, train_rows: int = TRAIN_ROWS) -> Model
     return Model(languages, filters, np.minimum(fill ** len(MULTIPLIERS), 0.999))
 
 
-def _predict(model: Model):
+def _predict(model: Model, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, held, size = [], [], [], 0
-            texts = batch.column(batch.num_columns - 1)
+            last = batch.column(batch.num_columns - 1)
+            texts = last.field("text") if pa.types.is_struct(last.type) else last
             for i in range(len(batch)):
                 held.append(prepared(texts[i].as_py()))
                 size += len(held[-1])
@@ -163,8 +164,8 @@ def _predict(model: Model):
                     scores.append(score)
                     held, size = [], 0
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"],
+                [*batch.columns[:kept], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
+                [*batch.schema.names[:kept], "lang_pred", "score"],
             )
 
     return run
@@ -174,4 +175,16 @@ def identify(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     """The columns of keep (each with a name of its own), lang_pred and score."""
     rows = docs.select(*keep, F.col("text").alias("text_to_identify"))
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[:-1])
-    return rows.mapInArrow(_predict(model), f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(model, len(keep)), f"{kinds}, lang_pred string, score double")
+
+
+def identified_only(docs: DataFrame, model: Model, lead: float = 1.2) -> DataFrame:
+    """The documents, all columns as they were, whose language stands out: they
+    have letters, and the best language's score is `lead` times an equal share."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    found = rows.mapInArrow(
+        _predict(model, 1), f"row {rows.dtypes[0][1]}, lang_pred string, score double"
+    )
+    return found.where(
+        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") * max(1, len(model.languages)) >= min(lead, len(model.languages)))
+    ).select("row.*")

@@ -105,3 +105,10 @@ def op9_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, sf_dir, "documents"), crc32_of_id(F.col("doc_id")) % 10 != 0)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

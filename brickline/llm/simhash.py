@@ -225,3 +225,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, keep: tu
     smallest = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = members.select("fp", "root").join(smallest, "root")
     return fps.join(labels, "fp").select("doc_id", *[c for c in fps.columns if c not in ("doc_id", "fp")], "fp", "root", "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
+    """The documents, all columns as they were, one of each component: the one of
+    the smallest doc_id (null ids last; the text's hash breaks ties)."""
+    text_hash = F.xxhash64("text")
+    marked = near_duplicates(docs, width, distance, (text_hash.alias("text_hash"),))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    kept = stored(
+        marked.groupBy("root").agg(first.alias("k"), F.count("*").alias("n"))
+        .select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"), "n"),
+        "kept",
+    )
+    out = docs.join(kept.drop("n"), docs["doc_id"].eqNullSafe(F.col("k_id")) & (text_hash == F.col("k_hash")), "left_semi")
+    again = docs.groupBy("doc_id", text_hash.alias("h")).count().where("count > 1")
+    if again.isEmpty():
+        return out
+    # rows repeated with id and text are copies of one another
+    whole = out.select(F.struct(*[out[f"`{c}`"] for c in out.columns]).alias("row"), F.col("doc_id").alias("i"), text_hash.alias("h"))
+    return whole.groupBy("i", "h").agg(F.min("row").alias("row")).select("row.*")
