@@ -24,12 +24,18 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,73 +47,105 @@ END_ID = 1
 BLOCK_TOKENS = 1 << 20
 KEPT_WORDS = 1_500_000
 #: Documents tokenized together.
-GROUP = 256
+GROUP = 128
+
+
+#: Fixed value: the way in which lower-casing word vocabularies cut text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-cased bytes of a text whose characters beyond ASCII are all letters.
+BYTE_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+#: A character beyond ASCII that is no letter.
+NO_LETTER = regex.compile(r"(?V1)[[^\x00-\x7F]--\p{L}]")
+END_KEY = b"\n"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable bytes
+    stand for themselves, the others take the code points from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordCache:
-    """Ids of words seen so far, in one flat array."""
+    """Ids of words seen so far, in one flat array.
+
+    Where the tokenizer cuts text by PIECES, its pieces are the words, and those of
+    lower-case letters go straight to the tokenizer's model.  A text with special
+    tokens or other characters, and any other tokenizer, is cut at white space, and
+    each word takes the tokenizer's whole way."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.marks = [t.content.encode() for t in added.values()]
-        # words are tokenized many at a time, a special token between them
-        self.mark_id = max(added) if added else None
-        self.mark = added[self.mark_id].content if added else None
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        form = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        #: Bytes that an id takes.
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern") == {"Regex": PIECES}
         self.reset()
 
     def reset(self) -> None:
         self.code: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
+        self.flat, self.used = array("I"), 0
 
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if not any(m in w for m in self.marks)] if self.mark else []
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            ids = np.array(self.ids_of(self.mark.join(w.decode("utf-8", "replace") for w in part)), np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
-            begin = 0
-            for w, end in zip(part, ends, strict=True):
-                self.keep(w, ids[begin:end])
-                begin = end + 1
-        for w in words:
-            if w not in self.code:
-                self.keep(w, np.array(self.ids_of(w.decode("utf-8", "replace")), np.uint32))
-
-    def keep(self, word: bytes, ids: np.ndarray) -> None:
-        n = len(ids)
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        self.code[word] = self.used << 24 | n
-        self.used += n
+    def words_of(self, text: bytes) -> list[bytes]:
+        if any(s in text for s in self.specials) or not self.by_piece:
+            return text.split()
+        if not text.isascii() and NO_LETTER.search(text.decode("utf-8", "replace")):
+            return text.split()
+        return BYTE_PIECES.findall(text.lower())
+
+    def keep(self, word: bytes, ids: list[int]) -> None:
+        self.code[word] = self.used << 24 | len(ids)
+        self.flat.extend(ids)
+        self.used += len(ids)
+
+    def learn(self, word: bytes) -> None:
+        if self.by_piece and word.islower() and word.isalpha():
+            self.keep(word, [t.id for t in self.model.tokenize(word.decode())])
+            return
+        text = word.decode("utf-8", "replace")
+        if self.by_piece and text.isalpha() and text.lower() == text and is_normalized("NFC", text):
+            spelt = "".join(map(self.letters.__getitem__, word))
+            self.keep(word, [t.id for t in self.model.tokenize(spelt)])
+        else:
+            self.keep(word, self.ids_of(text))
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text, each with its end id."""
-        split = [
-            (t.lower() if t.isascii() and not any(m in t for m in self.marks) else t).split() for t in texts
-        ]
         if len(self.code) > KEPT_WORDS:
             self.reset()
-        fresh = set().union(*split) - self.code.keys()
-        if fresh:
-            self.learn(sorted(fresh))
-        words = np.array([len(s) for s in split], np.int64)
-        get = self.code.__getitem__
-        codes = np.fromiter((c for s in split for c in map(get, s)), np.int64, int(words.sum()))
+        if END_KEY not in self.code:
+            self.keep(END_KEY, [end_id])
+        words, counts = [], []
+        for t in texts:
+            n = len(words)
+            words += self.words_of(t)
+            words.append(END_KEY)
+            counts.append(len(words) - n)
+        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(codes < 0).tolist():
+            if words[i] not in self.code:
+                self.learn(words[i])
+            codes[i] = self.code[words[i]]
         sizes = codes & 0xFFFFFF
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.arange(total) + np.repeat((codes >> 24) - (ends - sizes), sizes)
-        upto = np.concatenate([[0], ends])[np.cumsum(words)]
-        ids = np.insert(self.flat[places], upto, end_id)
-        return ids, np.diff(np.concatenate([[0], upto])) + 1
+        places = np.repeat((codes >> 24) - (ends - sizes), sizes)
+        places += np.arange(len(places))
+        # a copy, since an array that is viewed can't grow
+        ids = np.frombuffer(self.flat, np.uint32)[places]
+        last = ends[np.cumsum(counts) - 1]
+        return ids, np.diff(last, prepend=0)
 
 
 _caches: dict[str, WordCache] = {}
@@ -130,8 +168,8 @@ def _tokenize(path: str, end_id: int):
                 rows = batch.slice(at, GROUP)
                 ids, counts = words.encode([t or b"" for t in rows.column("text").to_pylist()], end_id)
                 ends = np.cumsum(counts)
-                raw = ids.astype("<u4").tobytes()
-                cells = [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+                raw, size = ids.astype(words.width).tobytes(), int(words.width[-1])
+                cells = [raw[size * (e - c) : size * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(rows), part, np.int32)), pa.array(start + ends - counts),
@@ -144,11 +182,18 @@ def _tokenize(path: str, end_id: int):
     return run
 
 
+def unpacked(cells: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The ids of documents one after the other; a cell has two or four bytes an id."""
+    width = "<u2" if len(cells[0]) == 2 * sizes[0] else "<u4"
+    return np.frombuffer(b"".join(cells), width).astype(np.uint32)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for cell in batch.column("ids"):
-            n = np.bincount(np.frombuffer(cell.as_py(), "<u4"))
+        for at in range(0, len(batch), GROUP):
+            rows = batch.slice(at, GROUP)
+            n = np.bincount(unpacked(rows.column("ids").to_pylist(), rows.column("n").to_pylist()))
             if len(n) > len(total):
                 total = np.pad(total, (0, len(n) - len(total)))
             total[: len(n)] += n
@@ -162,14 +207,14 @@ BLOCKS = "first_token long, doc_ids array<{id}>, lengths array<int>, block binar
 def _encode(freq: dict[int, int], base: dict[int, int], kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(freq)
-        docs, cells, held, first, due = [], [], 0, 0, None
+        docs, cells, sizes, held, first, due = [], [], [], 0, 0, None
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(cells), "<u4")
+            ids = unpacked(cells, sizes)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([first], pa.int64()), pa.array([docs], pa.list_(kind)),
-                    pa.array([[len(c) // 4 for c in cells]], pa.list_(pa.int32())),
+                    pa.array([sizes], pa.list_(pa.int32())),
                     pa.array([rans.encode(ids, table)], pa.binary()),
                 ],
                 ["first_token", "doc_ids", "lengths", "block"],
@@ -181,11 +226,12 @@ def _encode(freq: dict[int, int], base: dict[int, int], kind: pa.DataType):
                 # a block is a run of documents that follow one another
                 if cells and (at != due or held + n > BLOCK_TOKENS):
                     yield block()
-                    docs, cells, held = [], [], 0
+                    docs, cells, sizes, held = [], [], [], 0
                 if not cells:
                     first = at
                 docs.append(doc)
                 cells.append(ids)
+                sizes.append(n)
                 held, due = held + n, at + n
         if cells:
             yield block()
@@ -199,7 +245,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple
     rows = docs.select("doc_id", F.encode("text", "utf-8").alias("text"), F.xxhash64("text").alias("h"))
     ranged = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     ids = stored(ranged.mapInArrow(_tokenize(tokenizer, end_id), TOKENS.format(id=kind)), "token-ids")
-    counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = ids.select("n", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     freq = rans.frequencies({r["id"]: r["n"] for r in counts})
     base, upto = {}, 0
     for r in sorted(ids.groupBy("part").agg(F.sum("n").alias("n")).collect()):
