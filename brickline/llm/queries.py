@@ -52,7 +52,7 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target",
         F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"),
         F.round(first, 6).alias("first_position"),
-    ).orderBy("first_position")
+    ).orderBy("first_position", "doc_id")
 
 
 @query

@@ -153,7 +153,8 @@ def _forest(distance: int):
 
 def links(distinct: DataFrame, distance: int = 3, dense: int = DENSE) -> DataFrame:
     """Linked fingerprints (a, b), a < b.  distinct: one column, fp."""
-    index = variants(distinct, distance)
+    # a stored table of fingerprints is small; its variants are many
+    index = variants(distinct.repartition("fp"), distance)
     key = ["seg", "hole", "rest"]
     crowded = stored(
         index.groupBy(*key).count().where(F.col("count") > dense), "simhash-dense"

@@ -186,9 +186,9 @@ def manufacturer_consistency(spark, sf):
 _TYPES = ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE")
 _MATCH_SQL = """pos AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'STANDARD' ELSE 'LARGE' END AS category,
 CAST(s_suppkey % 50 + 1 AS INT) AS dn, 'Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR) AS brand, s_acctbal AS budget FROM supplier),
-terms AS (SELECT s_suppkey, p_partkey, p_name, p_brand, p_size, p_retailprice, 25.0 AS category_points,
-CASE WHEN p_size = dn THEN 25.0 WHEN abs(p_size - dn) = 1 THEN 22.0 WHEN abs(p_size - dn) <= 5 THEN 16.0 ELSE -15.0 END AS size_points,
-CASE WHEN p_brand = brand THEN 15.0 ELSE 0.0 END AS brand_points, CASE WHEN p_retailprice <= budget THEN 4.0 ELSE -3.0 END AS price_points
+terms AS (SELECT s_suppkey, p_partkey, p_name, p_brand, p_size, p_retailprice, CAST(25 AS DOUBLE) AS category_points,
+CAST(CASE WHEN p_size = dn THEN 25.0 WHEN abs(p_size - dn) = 1 THEN 22.0 WHEN abs(p_size - dn) <= 5 THEN 16.0 ELSE -15.0 END AS DOUBLE) AS size_points,
+CAST(CASE WHEN p_brand = brand THEN 15.0 ELSE 0.0 END AS DOUBLE) AS brand_points, CAST(CASE WHEN p_retailprice <= budget THEN 4.0 ELSE -3.0 END AS DOUBLE) AS price_points
 FROM pos JOIN part ON p_type = category WHERE abs(p_size - dn) <= 20),
 scored AS (SELECT *, category_points + size_points + brand_points + price_points AS score FROM terms),
 good AS (SELECT * FROM scored WHERE score >= 42),
