@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from brickline.functions import numbers as num
 from brickline.functions import text as txt
 from brickline.functions.session import materialised
-from brickline.operators import catalogue, lines, offers, reconcile, relational, tenders
+from brickline.operators import catalogue, inquiries, lines, offers, reconcile, relational, tenders
+from brickline.operators.extraction import kinds
+from brickline.operators.extraction.parameters import component_parts, parameters
 from brickline.operators.matching import ranking
 from brickline.streaming import ingest
 
@@ -613,3 +615,137 @@ def greedy_assignment(spark, sf):
 
 
 __all__ = ["ORACLE", "QUERIES", "materialised"]
+
+
+# -- reading free text -----------------------------------------------------------------
+
+#: Phrases for the catalogue's rows in turn, {dn} standing for a diameter, and what is to be read from each.
+_PHRASES = (
+    ("KG-Rohr", "KG-Rohr DN {dn} SN4 PVC-U, Baulänge 1000 mm, DIN EN 1401-1, Steckmuffe"),
+    ("Rohrbogen", "Bogen DN {dn} 45 Grad liefern"),
+    ("Abbruch", "Abbruch und Entsorgung von Pflaster"),
+    ("Pflasterrinne", "Pflasterrinne herstellen"),
+    ("Reduzierstück", "Reduzierstück DN 200/150 PP"),
+    ("Stahlbetonrohr", "Rohr DN {dn} Stahlbeton DIN EN 1916 in der Fahrbahn"),
+    ("Schachtabdeckung", "Schachtabdeckung Klasse D400 Gusseisen"),
+    ("Revisionsschacht", "Revisionsschacht Beton DN 1.000, Anschluss 150 mm"),
+    ("Entwässerungsrinne ACO PowerDrain", "Rinne DN {dn} E600"),
+    ("Formteil", "Anschluss an Kanal DN 400, DN {dn}"),
+    (None, None),
+    ("Druckrohr PE 100", "Rohr PE 100-RC DN {dn}, Länge 6 m, Trinkwasser"),
+)
+_READ_SQL = """VALUES
+(0, 'Kanalrohre', 'KG-Rohre', 'PVC-U', -1, NULL, NULL, 'DIN EN 1401-1', 1000, NULL, 'KG PVC-U', 'Steckmuffe', true),
+(1, 'Formstücke', 'Rohrbogen', NULL, -1, NULL, NULL, NULL, NULL, 45, NULL, NULL, true),
+(2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false),
+(3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false),
+(4, 'Formstücke', 'Reduzierstück', 'PP', 200, 150, NULL, NULL, NULL, NULL, NULL, NULL, true),
+(5, 'Kanalrohre', 'Betonrohre', 'Stahlbeton', -1, NULL, NULL, 'DIN EN 1916', NULL, NULL, NULL, NULL, true),
+(6, 'Schachtabdeckungen', 'Guss rund', 'Gusseisen', NULL, NULL, 'D400', NULL, NULL, NULL, NULL, NULL, true),
+(7, 'Schachtbauteile', 'Revisionsschacht', 'Beton', 1000, 150, NULL, NULL, NULL, NULL, NULL, NULL, true),
+(8, 'Rinnen', 'Entwässerungsrinne', NULL, -1, NULL, 'E600', NULL, NULL, NULL, 'Aco Powerdrain', NULL, true),
+(9, NULL, NULL, NULL, 400, 400, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+(10, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+(11, 'Kanalrohre', 'KG-Rohre', 'HDPE', -1, NULL, NULL, NULL, 6000, NULL, 'Wavin PE 100-RC Druckrohr', NULL, true)"""
+
+
+def phrased(part: DataFrame, phrases: tuple[tuple[str | None, str | None], ...]) -> DataFrame:
+    pick = lambda i: F.get(F.array(*[F.lit(p[i]).cast("string") for p in phrases]), (c("p_partkey") % len(phrases)).cast("int"))
+    dn = (c("p_size") * 10 + 100).cast("string")
+    return part.select("p_partkey", pick(0).alias("description"), F.replace(pick(1), F.lit("{dn}"), dn).alias("raw_text"))
+
+
+@query(f"""SELECT p_partkey, cat AS product_category, sub AS product_subcategory, mat AS material, CASE WHEN dn < 0 THEN p_size * 10 + 100 ELSE dn END AS nominal_diameter_dn,
+branch AS secondary_nominal_diameter_dn, load AS load_class, norm, len AS pipe_length_mm, angle AS angle_deg, family AS system_family, conn AS connection_type, rel AS sortiment_relevant
+FROM part JOIN ({_READ_SQL}) v(k, cat, sub, mat, dn, branch, load, norm, len, angle, family, conn, rel) ON p_partkey % 12 = k""")
+def text_parameters(spark, sf):
+    out = parameters(phrased(Tables(spark, sf).part, _PHRASES))
+    return out.select(
+        "p_partkey", "product_category", "product_subcategory", "material", "nominal_diameter_dn", "secondary_nominal_diameter_dn", "load_class", "norm",
+        "pipe_length_mm", "angle_deg", "system_family", "connection_type", "sortiment_relevant",
+    )
+
+
+_ASSEMBLIES = (
+    ("Revisionsschacht", "Betonschacht DN 1.000 mit 3 x Schachtring, Konus, Abdeckung D400 Guss, Anschluss 150 mm"),
+    ("Entwässerungsrinne", "Entwässerungsrinne DN 150 E600 mit Einlaufkasten, Rost und Stirnwand"),
+    ("KG-Rohr", "KG-Rohr DN 110"),
+)
+
+
+@query("""SELECT p_partkey, part_no, component_name, dn, quantity, material FROM part JOIN (VALUES
+(0, 1, 'Schachtunterteil', 1000, 1, 'Beton'), (0, 2, 'Schachtring', 1000, 3, 'Beton'), (0, 3, 'Konus', 1000, 1, 'Beton'), (0, 4, 'Abdeckung', 1000, 1, 'Gusseisen'),
+(1, 1, 'Rinne', 150, 1, NULL), (1, 2, 'Einlaufkasten', 150, 1, NULL), (1, 3, 'Rost', 150, 1, NULL), (1, 4, 'Stirnwand', 150, 1, NULL)
+) v(k, part_no, component_name, dn, quantity, material) ON p_partkey % 3 = k""")
+def text_components(spark, sf):
+    out = component_parts(parameters(phrased(Tables(spark, sf).part, _ASSEMBLIES)))
+    one = out.select("p_partkey", F.posexplode("components").alias("nth", "x"))
+    return one.select("p_partkey", (c("nth") + 1).alias("part_no"), "x.component_name", "x.dn", "x.quantity", "x.material")
+
+
+_KINDS = (
+    ("Zulage für Erschwernis", "Zulage", "material"), ("Anschlussarbeiten", "Anschlussarbeiten am Bestand", None), ("Kopfloch", "Kopfloch DN 150", "material"),
+    ("Geotextil", "Geotextil verlegen", "dienstleistung"), ("Bordstein", "Bordstein setzen und herstellen", "dienstleistung"),
+    ("Bordstein", "Bordstein liefern und setzen", "dienstleistung"), ("Vlies", "Vlies bauseits, verlegen", "dienstleistung"), ("Rohr", "Rohr liefern", "material"),
+)
+
+
+@query("""SELECT p_partkey, kind, billable FROM part JOIN (VALUES (0, 'dienstleistung', false), (1, 'dienstleistung', false), (2, 'material', true), (3, 'material', true),
+(4, 'dienstleistung', false), (5, 'material', true), (6, 'dienstleistung', false), (7, 'material', true)) v(k, kind, billable) ON p_partkey % 8 = k""")
+def line_kinds(spark, sf):
+    given = F.get(F.array(*[F.lit(k).cast("string") for *_, k in _KINDS]), (c("p_partkey") % len(_KINDS)).cast("int"))
+    df = phrased(Tables(spark, sf).part, tuple(x[:2] for x in _KINDS)).withColumn("position_type", given)
+    kind = kinds.as_material(c("description"), c("raw_text"), kinds.as_service(c("description"), c("raw_text"), c("position_type")))
+    return df.select("p_partkey", kind.alias("kind"), (kind == "material").alias("billable"))
+
+
+# -- replies to inquiries ------------------------------------------------------------------
+
+_REPLY_SQL = """g AS (SELECT l_orderkey AS mail_id, l_partkey AS inquiry_id, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE min(l_linenumber) % 2 END AS number, min(l_suppkey) AS s, max(l_quantity) AS q
+  FROM lineitem GROUP BY l_orderkey, l_partkey),
+p AS (SELECT mail_id, inquiry_id, number, mail_id % 2 = 0 AS by_supplier, mail_id % 3 = 0 AS by_project, (CASE WHEN s % 3 = 0 THEN 35 ELSE 0 END) + (CASE WHEN s % 5 = 0 THEN 25 ELSE 0 END)
+  + (CASE WHEN q * 2 <= 21 THEN 12 WHEN q * 2 > 90 THEN -8 ELSE 0 END) + least(18, inquiry_id % 8 * 3) AS score FROM g)"""
+
+
+@query(f"""WITH {_REPLY_SQL}, r AS (SELECT *, row_number() OVER w AS nth, lead(score) OVER w AS second, count(*) OVER (PARTITION BY mail_id, number) AS n, count(*) OVER (PARTITION BY mail_id) AS n_mail
+  FROM p WINDOW w AS (PARTITION BY mail_id, number ORDER BY score DESC, inquiry_id)),
+k AS (SELECT *, nth = 1 AND (n = 1 OR by_supplier) AND CASE WHEN number IS NULL THEN score >= 14 AND (n = 1 OR score - second >= 5) ELSE by_supplier OR by_project OR score >= 5 END AS good FROM r)
+SELECT mail_id, inquiry_id, score FROM k WHERE good OR n_mail = 1""")
+def reply_inquiry_choice(spark, sf):
+    number = F.when(c("l_orderkey") % 4 != 0, F.min("l_linenumber") % 2)
+    g = Tables(spark, sf).lineitem.groupBy("l_orderkey", "l_partkey").agg(number.alias("number"), F.min("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
+    score = inquiries.inquiry_score(c("s") % 3 == 0, c("s") % 5 == 0, c("q") * 2, c("l_partkey") % 8)
+    pairs = g.select(c("l_orderkey").alias("mail_id"), c("l_partkey").alias("inquiry_id"), "number", score.alias("score"), (c("l_orderkey") % 2 == 0).alias("by_supplier"), (c("l_orderkey") % 3 == 0).alias("by_project"))
+    return inquiries.chosen(pairs).select("mail_id", "inquiry_id", "score")
+
+
+@query("""SELECT conv_id, turn, role, string_agg(x, ',' ORDER BY x) AS addresses, n FROM (
+SELECT conv_id, turn, role, 'kontakt@firma' || conv_id % 50 || '.de' AS x, count(*) AS n FROM conversations GROUP BY ALL
+UNION SELECT conv_id, turn, role, CASE WHEN conv_id % 3 = 0 THEN 'vertrieb@haus.de' ELSE 'info@werk.com' END, count(*) FROM conversations GROUP BY ALL) GROUP BY conv_id, turn, role, n""")
+def reply_addresses(spark, sf):
+    sender = F.concat(F.lit(" Kontakt@Firma"), (c("conv_id") % 50).cast("string"), F.lit(".de "))
+    named = F.lit("Original-Empfänger: Vertrieb@Haus.de\n\nInfo: info@werk.com")
+    body = F.when(c("conv_id") % 3 == 0, named).otherwise(F.lit("Fragen bitte an Info@Werk.com"))
+    found = F.array_join(F.array_sort(inquiries.addresses(sender, body)), ",")
+    return Tables(spark, sf).conversations.groupBy("conv_id", "turn", "role", found.alias("addresses")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, o_custkey AS inquiry_ref, o_orderkey % 9 AS project_ref, (o_orderkey % 9) || '.' || (o_custkey % 30 + 10) AS number_ref FROM orders""")
+def reply_references(spark, sf):
+    number = F.concat_ws(".", (c("o_orderkey") % 9).cast("string"), (c("o_custkey") % 30 + 10).cast("string"))
+    corpus = F.format_string("Re: Anfrage [TBX-INQ-%d]\nProjekt TBX-PROJ-%d-OZ-%s", c("o_custkey"), (c("o_orderkey") % 9).cast("int"), number)
+    read = Tables(spark, sf).orders.select("o_orderkey", inquiries.inquiry_references(corpus).alias("i"), inquiries.project_references(corpus).alias("p"))
+    return read.select("o_orderkey", c("i")[0].alias("inquiry_ref"), c("p")[0]["project"].alias("project_ref"), c("p")[0]["number"].alias("number_ref"))
+
+
+@query("""SELECT l_orderkey, l_partkey, CAST(2 * (1 + CAST(o_custkey % 2 = 0 AS INT)) + CASE WHEN l_partkey % 2 = 0 THEN 8 ELSE 0 END + CASE WHEN o_custkey % 4 = 0 THEN 4 ELSE 0 END + CASE WHEN l_suppkey % 3 = 0 THEN 3 ELSE 0 END AS INT) AS score
+FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey""")
+def suggestion_offer_score(spark, sf):
+    t = Tables(spark, sf)
+    df = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").distinct().join(t.orders, c("l_orderkey") == c("o_orderkey"))
+    article = F.concat(F.lit("Q-"), c("l_partkey").cast("string"))
+    offer = F.concat_ws(" ", F.lit("muffenrohr"), F.when(c("o_custkey") % 2 == 0, F.lit("kanal")), F.when(c("o_custkey") % 4 == 0, F.lit("DN 150")), F.when(c("l_partkey") % 2 == 0, F.concat(F.lit("("), F.lower(article), F.lit(")"))))
+    words = lambda *x: txt.ascii_tokens(F.concat_ws(" ", *x))
+    maker = F.when(c("l_suppkey") % 3 == 0, F.lit("Haus GmbH")).otherwise(F.lit("Werk"))
+    score = inquiries.suggestion_score(words(F.lit("Muffenrohr Kanal")), words(F.regexp_replace(offer, r"\(.*\)", "")), article, offer, F.lit(150), maker, F.lit("haus nord"))
+    return df.select("l_orderkey", "l_partkey", score.cast("int").alias("score"))
