@@ -110,7 +110,8 @@ def candidates(index: DataFrame, anchored: DataFrame) -> DataFrame:
     starts = (
         shifted(index, anchored).where("start >= 0")
         .groupBy("doc_id", "text_hash", "window", "start", "n_terms").count()
-        .where("count = n_terms").select("doc_id", "text_hash", "window", "start")
+        # repeated rows count their postings each; what passes by that is verified below
+        .where("count >= n_terms").select("doc_id", "text_hash", "window", "start")
     )
     phrases = small(
         anchored.select("window", "item", F.array_join("phrase", " ").alias("phrase"), F.size("phrase").alias("n")).distinct(),
