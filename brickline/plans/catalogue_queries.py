@@ -679,7 +679,7 @@ _ASSEMBLIES = (
 ) v(k, part_no, component_name, dn, quantity, material) ON p_partkey % 3 = k""")
 def text_components(spark, sf):
     out = component_parts(parameters(phrased(Tables(spark, sf).part, _ASSEMBLIES)))
-    one = out.select("p_partkey", F.posexplode("components").alias("nth", "x"))
+    one = out.select("p_partkey", F.posexplode_outer("components").alias("nth", "x")).where("x is not null")
     return one.select("p_partkey", (c("nth") + 1).alias("part_no"), "x.component_name", "x.dn", "x.quantity", "x.material")
 
 
