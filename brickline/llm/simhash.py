@@ -239,7 +239,13 @@ def deduplicated(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFram
         .select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"), "n"),
         "kept",
     )
-    out = docs.join(kept.drop("n"), docs["doc_id"].eqNullSafe(F.col("k_id")) & (text_hash == F.col("k_hash")), "left_semi")
+    return kept_rows(docs, kept.drop("n"))
+
+
+def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents named by kept (k_id, k_hash: doc_id and the text's hash)."""
+    text_hash = F.xxhash64("text")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("k_id")) & (text_hash == F.col("k_hash")), "left_semi")
     again = docs.groupBy("doc_id", text_hash.alias("h")).count().where("count > 1")
     if again.isEmpty():
         return out
