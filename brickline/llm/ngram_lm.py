@@ -8,8 +8,8 @@ The filter is broadcast to the workers, who score whole texts:
     P(w | h) = (1 - l) P(w) + l c(h w) / c(h),    P(w) = (c(w) + a) / (N + a (V + 1))
 
 with all counts from probes.  The weight l depends on c(h) and is fitted by
-expectation maximisation on leave-one-out counts of a bounded sample of
-training texts.
+expectation maximisation on leave-one-out counts of all training texts; a level
+of c(h) with too few tokens takes the weight of the nearest fitted one.
 
 The unigram base score needs exact counts.  The ``HEAD`` most frequent words go
 to the workers; the other words' counts are joined by shuffle.
@@ -53,8 +53,8 @@ HEAD = 1 << 19
 KEY_BITS = 40
 #: Tokens handled together.
 SLICE = 1 << 19
-#: Training texts of which the weights are fitted.
-TUNE_ROWS = 2_000
+#: Tokens that a level of c(h) needs for a weight of its own.
+FIT_TOKENS = 50
 U = np.uint64
 
 
@@ -325,14 +325,16 @@ def _ratios(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How far the pair's leave-one-out share is from the word's, by c(h)'s level."""
         model = shared.value
+        total = np.zeros(len(MIDDLE) * len(RATIOS), np.int64)
         for batch in batches:
             for _, _, h, counts in slices(batch):
                 c, level, before, pair = model.parts(h, counts)
                 single = model.single(np.maximum(c - 1, 0))
                 share = np.maximum(pair - 1, 0) / np.maximum(before - 1, 1)
                 bin_ = np.clip(np.searchsorted(RATIOS, np.minimum(share, 1) / single, "right") - 1, 0, len(RATIOS) - 1)
-                cell, n = np.unique(level * len(RATIOS) + bin_, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+                total += np.bincount(np.minimum(level, len(MIDDLE) - 1) * len(RATIOS) + bin_, minlength=len(total))
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
     return run
 
@@ -342,24 +344,26 @@ def fitted_weights(cells: dict[int, int]) -> np.ndarray:
     table = np.zeros((len(MIDDLE), len(RATIOS)))
     for cell, n in cells.items():
         table[cell // len(RATIOS), cell % len(RATIOS)] += n
-    out = np.zeros(len(MIDDLE))
+    out, fitted = np.zeros(len(MIDDLE)), []
     for level in range(1, len(MIDDLE)):
         # levels beside it lend some weight, so that rare levels are not overfitted
         n = table[level] + 0.25 * (table[level - 1] + table[min(level + 1, len(MIDDLE) - 1)])
-        if n.sum() < 50:
+        if n.sum() < FIT_TOKENS:
             continue
         weight = 0.2
         for _ in range(60):
             weight = min(float((n * weight * RATIOS / (1 - weight + weight * RATIOS)).sum() / n.sum()), 0.999)
         out[level] = min(max(weight, 1e-6), 0.95)
+        fitted.append(level)
+    for level in range(1, len(MIDDLE) if fitted else 0):
+        out[level] = out[min(fitted, key=lambda x: abs(x - level))]
     return out
 
 
-def fit(docs: DataFrame, train: Column, filter_bits: int = FILTER_BITS, tune_rows: int = TUNE_ROWS) -> tuple[Model, Broadcast, DataFrame]:
+def fit(docs: DataFrame, train: Column, filter_bits: int = FILTER_BITS) -> tuple[Model, Broadcast, DataFrame]:
     """The model, its broadcast (before the weights), and the exact word counts (h, n) as a stored table."""
     spark = docs.sparkSession
-    rows = docs.where(train).select(F.encode("text", "utf-8").alias("text"), F.xxhash64("doc_id", "text").alias("at"))
-    texts = rows.select("text")
+    texts = docs.where(train).select(F.encode("text", "utf-8").alias("text"))
     words = stored(texts.mapInArrow(_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
     end = END - (1 << 64) if END >> 63 else END
     tokens, types, n_docs = words.agg(
@@ -388,12 +392,9 @@ def fit(docs: DataFrame, train: Column, filter_bits: int = FILTER_BITS, tune_row
         at = r["seg"] * seg_size // 8
         bits[at : at + seg_size // 8] = np.frombuffer(r["bits"], np.uint8)
     model = Model(seg_bits, bits, least, int(tokens), int(types))
-    sample = rows
-    if n_docs > tune_rows:
-        sample = rows.where(F.pmod("at", F.lit(1 << 20)) < int(tune_rows / n_docs * (1 << 20)))
     # the weights go with the tasks, so that one broadcast serves fitting and scoring
     shared = spark.sparkContext.broadcast(model)
-    cells = sample.select("text").mapInArrow(_ratios(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = texts.mapInArrow(_ratios(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     model.weights = fitted_weights({r["cell"]: r["n"] for r in cells})
     return model, shared, words
 
