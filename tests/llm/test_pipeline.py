@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_similarity import brute_kept
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
@@ -36,11 +36,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in before} - {r["doc_id"] for r in after} == {10**6, 10**6 + 1}
 
     before, after = seen["near_dedup"]
-    root = brute_components([brute_fingerprint(r["text"]) for r in before])
-    groups = {}
-    for r, k in zip(before, root, strict=True):
-        groups.setdefault(k, []).append(r["doc_id"])
-    assert sorted(r["doc_id"] for r in after) == sorted(min(g) for g in groups.values())
+    before.sort(key=lambda r: r["doc_id"])
+    assert sorted(r["doc_id"] for r in after) == [before[i]["doc_id"] for i in brute_kept([r["text"] for r in before])]
 
     before, after = seen["decontamination"]
     items = [words(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
