@@ -81,8 +81,7 @@ ORACLE["op5_benchmark_decontamination"] = decontaminate.oracle()
 
 @query
 def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, freq = tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
-    return tokens.read_tokens(blocks, freq).drop("ids")
+    return tokens.read_tokens(spark, tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path())).drop("ids")
 
 
 @query

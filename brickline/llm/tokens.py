@@ -1,19 +1,21 @@
 """Token ids of whole texts, written as blocks of a static range ANS.
 
-Documents are range-partitioned and sorted by id, tokenized, and their ids kept
-in a table of the shared folder.  A count of all ids gives the frequency table
-that every block shares.  Blocks of whole documents are then encoded (rans.py)
-and written as a table of the shared folder, the file format here: a row has
-its first token's place, its documents' ids and lengths, and the block's bytes.
-``read_tokens`` decodes blocks independently of one another.
+Documents are range-partitioned and sorted by id (or stay in the order of the
+files they are stored in), tokenized, and their ids kept in a table of the shared
+folder.  A count of all ids gives the frequency table that every block shares.
+Blocks of whole documents are then encoded (rans.py).  The file format is a
+folder of the shared one: ``table`` has the frequencies, ``blocks`` a row per
+block with its first token's place, its documents' ids and lengths, and the
+block's bytes, which name the table's checksum.  ``read_tokens`` needs the folder
+only and decodes blocks independently of one another.
 
 A word's ids don't depend on the words around it with a tokenizer that drops
 white space, so each worker tokenizes a word once and keeps its ids, up to
-``KEPT_WORDS`` words, after which it begins anew.
+``KEPT_WORDS`` words or ``KEPT_BYTES`` bytes, after which it begins anew.
 
-Scale: one shuffle of the texts (the range sort); everything else is a scan,
-plus counts of at most one row per id of the vocabulary and one row per
-partition, which are all that the driver sees.  A block is closed at
+Scale: one shuffle of the texts (the range sort), none in stored order; everything
+else is a scan, plus counts of at most one row per id of the vocabulary and one
+row per partition or piece of a file, which are all that the driver sees.  A block is closed at
 ``BLOCK_TOKENS`` ids, so a task's memory doesn't follow its partition.
 
 Defined cases: a null or empty text has the end id only; null doc_ids come
@@ -37,15 +39,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickline.llm import rans
-from brickline.llm.common import stored
+from brickline.llm.common import new_folder, stored
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
 KEPT_WORDS = 1_500_000
+KEPT_BYTES = 64 << 20
 #: Documents tokenized together.
 GROUP = 128
 
@@ -93,7 +96,7 @@ class WordCache:
 
     def reset(self) -> None:
         self.code: dict[bytes, int] = {}
-        self.flat, self.used = array("I"), 0
+        self.flat, self.begins, self.sizes, self.held = array("I"), array("q"), array("q"), 0
 
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -106,9 +109,11 @@ class WordCache:
         return BYTE_PIECES.findall(text.lower())
 
     def keep(self, word: bytes, ids: list[int]) -> None:
-        self.code[word] = self.used << 24 | len(ids)
+        self.code[word] = len(self.begins)
+        self.begins.append(len(self.flat))
+        self.sizes.append(len(ids))
         self.flat.extend(ids)
-        self.used += len(ids)
+        self.held += len(word) + 4 * len(ids)
 
     def learn(self, word: bytes) -> None:
         if self.by_piece and word.islower() and word.isalpha():
@@ -123,7 +128,7 @@ class WordCache:
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text, each with its end id."""
-        if len(self.code) > KEPT_WORDS:
+        if len(self.code) > KEPT_WORDS or self.held > KEPT_BYTES:
             self.reset()
         if END_KEY not in self.code:
             self.keep(END_KEY, [end_id])
@@ -138,11 +143,11 @@ class WordCache:
             if words[i] not in self.code:
                 self.learn(words[i])
             codes[i] = self.code[words[i]]
-        sizes = codes & 0xFFFFFF
+        # taken by index at once, since an array that is viewed can't grow
+        sizes = np.frombuffer(self.sizes, np.int64)[codes]
         ends = np.cumsum(sizes)
-        places = np.repeat((codes >> 24) - (ends - sizes), sizes)
+        places = np.repeat(np.frombuffer(self.begins, np.int64)[codes] - (ends - sizes), sizes)
         places += np.arange(len(places))
-        # a copy, since an array that is viewed can't grow
         ids = np.frombuffer(self.flat, np.uint32)[places]
         last = ends[np.cumsum(counts) - 1]
         return ids, np.diff(last, prepend=0)
@@ -157,25 +162,42 @@ def cache(path: str) -> WordCache:
     return _caches[path]
 
 
-TOKENS = "part int, start long, doc_id {id}, n int, ids binary"
+#: A run is a partition, or rows of one file that follow one another from row `first`.
+RUN = ["part", "file", "first"]
+TOKENS = "part long, file string, first long, start long, doc_id {id}, n int, ids binary"
 
 
-def _tokenize(path: str, end_id: int):
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Groups of rows of one file that follow one another."""
+    at, name = batch.column("at").to_numpy(), batch.column("file").to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero((np.diff(at) != 1) | (name[1:] != name[:-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+        yield from ((i, min(i + GROUP, b)) for i in range(a, b, GROUP))
+
+
+def _tokenize(path: str, end_id: int, by_file: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, start = cache(path), TaskContext.get().partitionId(), 0
+        words, start = cache(path), 0
+        part, file, first, due = TaskContext.get().partitionId(), "", 0, 0
         for batch in batches:
-            for at in range(0, len(batch), GROUP):
-                rows = batch.slice(at, GROUP)
+            groups = runs(batch) if by_file else ((i, min(i + GROUP, len(batch))) for i in range(0, len(batch), GROUP))
+            for a, b in groups:
+                rows = batch.slice(a, b - a)
+                if by_file:
+                    at = (rows.column("part")[0].as_py(), rows.column("file")[0].as_py(), rows.column("at")[0].as_py())
+                    if at != (part, file, due):
+                        (part, file, first), start = at, 0
+                    due = at[2] + len(rows)
                 ids, counts = words.encode([t or b"" for t in rows.column("text").to_pylist()], end_id)
                 ends = np.cumsum(counts)
                 raw, size = ids.astype(words.width).tobytes(), int(words.width[-1])
                 cells = [raw[size * (e - c) : size * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(rows), part, np.int32)), pa.array(start + ends - counts),
-                        rows.column("doc_id"), pa.array(counts.astype(np.int32)), pa.array(cells, pa.binary()),
+                        pa.array([part] * len(rows), pa.int64()), pa.array([file] * len(rows)), pa.array([first] * len(rows), pa.int64()),
+                        pa.array(start + ends - counts), rows.column("doc_id"), pa.array(counts.astype(np.int32)), pa.array(cells, pa.binary()),
                     ],
-                    ["part", "start", "doc_id", "n", "ids"],
+                    [*RUN, "start", "doc_id", "n", "ids"],
                 )
                 start += int(ends[-1])
 
@@ -201,12 +223,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
 
+#: One row per id that occurs, with the checksum that blocks name.
+TABLE = "id long, freq long, table_crc32 long"
 BLOCKS = "first_token long, doc_ids array<{id}>, lengths array<int>, block binary"
 
 
-def _encode(freq: dict[int, int], base: dict[int, int], kind: pa.DataType):
+def _encode(freq: dict[int, int], base: dict[tuple, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rans.Table(freq)
+        table, kind = rans.Table(freq), pa.int64()
         docs, cells, sizes, held, first, due = [], [], [], 0, 0, None
 
         def block() -> pa.RecordBatch:
@@ -221,8 +245,9 @@ def _encode(freq: dict[int, int], base: dict[int, int], kind: pa.DataType):
             )
 
         for batch in batches:
-            for part, start, doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "doc_id", "n", "ids")), strict=True):
-                at = base[part] + start
+            kind = batch.column("doc_id").type
+            for *run, start, doc, n, ids in zip(*(batch.column(c).to_pylist() for c in (*RUN, "start", "doc_id", "n", "ids")), strict=True):
+                at = base[tuple(run)] + start
                 # a block is a run of documents that follow one another
                 if cells and (at != due or held + n > BLOCK_TOKENS):
                     yield block()
@@ -239,20 +264,31 @@ def _encode(freq: dict[int, int], base: dict[int, int], kind: pa.DataType):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataFrame, dict[int, int]]:
-    """The stored blocks, and the frequency table that reads them."""
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.encode("text", "utf-8").alias("text"), F.xxhash64("text").alias("h"))
-    ranged = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    ids = stored(ranged.mapInArrow(_tokenize(tokenizer, end_id), TOKENS.format(id=kind)), "token-ids")
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, order: str = "doc_id") -> str:
+    """The folder of the written files.  order: ``doc_id``, or ``stored`` for a scan of
+    Parquet files whose rows are to stay in the files' order (by part number, name, row)."""
+    kind, by_file = dict(docs.dtypes)["doc_id"], order == "stored"
+    text = F.encode("text", "utf-8").alias("text")
+    if by_file:
+        name = F.col("_metadata.file_name")
+        number = F.coalesce(F.regexp_extract(name, r"part-([0-9]+)", 1).try_cast("long"), F.lit(0))
+        rows = docs.select("doc_id", text, number.alias("part"), name.alias("file"), F.col("_metadata.row_index").alias("at"))
+    else:
+        hashed = docs.select("doc_id", text, F.xxhash64("text").alias("h"))
+        rows = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    ids = stored(rows.mapInArrow(_tokenize(tokenizer, end_id, by_file), TOKENS.format(id=kind)), "token-ids")
     counts = ids.select("n", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     freq = rans.frequencies({r["id"]: r["n"] for r in counts})
     base, upto = {}, 0
-    for r in sorted(ids.groupBy("part").agg(F.sum("n").alias("n")).collect()):
-        base[r["part"]] = upto
-        upto += r["n"]
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    return stored(ids.mapInArrow(_encode(freq, base, arrow), BLOCKS.format(id=kind)), "token-blocks", "none"), freq
+    for *run, n in sorted(ids.groupBy(*RUN).agg(F.sum("n").alias("n")).collect()):
+        base[tuple(run)] = upto
+        upto += n
+    spark = docs.sparkSession
+    folder = new_folder(spark, "tokens")
+    check = rans.Table(freq).check
+    spark.createDataFrame([(i, f, check) for i, f in sorted(freq.items())], TABLE).coalesce(1).write.parquet(f"{folder}/table")
+    ids.mapInArrow(_encode(freq, base), BLOCKS.format(id=kind)).write.option("compression", "none").parquet(f"{folder}/blocks")
+    return folder
 
 
 def _decode(freq: dict[int, int]):
@@ -276,8 +312,10 @@ def _decode(freq: dict[int, int]):
     return run
 
 
-def read_tokens(blocks: DataFrame, freq: dict[int, int]) -> DataFrame:
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids_crc32, ids (little-endian
-    unsigned 32-bit), decoded from the stored blocks."""
+    unsigned 32-bit), decoded from the files of the folder alone."""
+    freq = {r["id"]: r["freq"] for r in spark.read.schema(TABLE).parquet(f"{folder}/table").collect()}
+    blocks = spark.read.parquet(f"{folder}/blocks")
     kind = dict(blocks.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
     return blocks.mapInArrow(_decode(freq), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -41,7 +41,7 @@ def test_against_the_library(spark):
     texts = [None, "", " \n ", "word " * 50_000] + [" ".join(rng.choices(bits, k=rng.randrange(1, 60))) for _ in range(200)]
     rows = [(i if i % 50 else None, t, "s", 3) for i, t in enumerate(texts)] + [(7, "same", "s", 3)] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string, part int")
-    got = tokens.read_tokens(*tokens.write_tokens(docs, PATH)).collect()
+    got = tokens.read_tokens(spark, tokens.write_tokens(docs, PATH)).collect()
     own = Tokenizer.from_file(PATH)
     want = sorted((i if i is not None else -1, tuple(own.encode(t or "", add_special_tokens=False).ids) + (1,)) for i, t, *_ in rows)
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == want
@@ -55,4 +55,23 @@ def test_against_the_library(spark):
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert tokens.read_tokens(*tokens.write_tokens(docs, PATH)).count() == 0
+    assert tokens.read_tokens(spark, tokens.write_tokens(docs, PATH)).count() == 0
+
+
+def test_stored_order_and_a_reader_that_has_the_files_only(spark, tmp_path):
+    rows = [(i % 7, f"w{i} tail {i}") for i in range(500)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.option("maxRecordsPerFile", 40).parquet(path)
+    docs = spark.read.parquet(path)
+    folder = tokens.write_tokens(docs, PATH, order="stored")
+    got = sorted(tokens.read_tokens(spark, folder).collect(), key=lambda r: r["start"])
+    as_stored = docs.select("doc_id", "text", "_metadata.file_name", "_metadata.row_index").collect()
+    as_stored.sort(key=lambda r: (r["file_name"], r["row_index"]))
+    own = tokens.cache(PATH).tokenizer
+    at = 0
+    for r, d in zip(got, as_stored, strict=True):
+        ids = [*own.encode(d["text"], add_special_tokens=False).ids, 1]
+        assert (r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) == (d["doc_id"], at, ids)
+        at += len(ids)
+    freq = spark.read.parquet(f"{folder}/table").collect()
+    assert sum(r["freq"] for r in freq) == 1 << rans.SCALE and len({r["table_crc32"] for r in freq}) == 1
