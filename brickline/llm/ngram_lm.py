@@ -3,7 +3,6 @@
 Counts of words and of word pairs are quantised to levels (``level_bounds``);
 an n-gram of level q is put into a Bloom filter q times, once with each level
 1..q.  Its count is read back by probing level after level until one is absent.
-The filter is broadcast to the workers, who score whole texts:
 
     P(w | h) = (1 - l) P(w) + l c(h w) / c(h),    P(w) = (c(w) + a) / (N + a (V + 1))
 
@@ -11,15 +10,20 @@ with all counts from probes.  The weight l depends on c(h) and is fitted by
 expectation maximisation on leave-one-out counts of all training texts; a level
 of c(h) with too few tokens takes the weight of the nearest fitted one.
 
-The unigram base score needs exact counts.  The ``HEAD`` most frequent words go
-to the workers; the other words' counts are joined by shuffle.
-
-Scale: a task sums up its own n-grams before anything is shuffled.  Pairs travel
-as packed blocks, one per segment of the hash space; the number of segments
-follows the number of shuffle partitions, and each segment of the filter is
-built by itself.  The filter has ``FILTER_BITS`` bits whatever the input: pairs
-seen once are never stored, and where more n-grams qualify than the filter has
-room for (``BITS_PER_ENTRY``), the least count that enters rises.
+Every n-gram of the training texts enters, those seen once included, with
+``BITS_PER_ENTRY`` bits a level, so the filter grows with the corpus.  It is cut
+into segments of the hash space, about ``SEGMENT`` n-gram occurrences each.  Up
+to ``BROADCAST_BYTES`` it is broadcast to the workers; a larger one stays a table,
+and the n-grams of the texts go to its segments instead.  The probes are the
+same in both ways, and so are the scores.
+
+Scale: texts are hashed once, into slices of about ``SLICE`` tokens (a table of
+the shared folder, words by number within their slice).  A task sums up its own
+n-grams before they are shuffled, and asks for each n-gram of a slice once.  The
+groups that tasks hold are segments, slices and, for words that are in every
+slice, at most 65,536 slices' requests; none grows with the corpus.  Only the
+number of tokens and the histogram of the weights reach the driver.  The exact
+word counts of the base score lie beside the segments.
 
 Defined cases: a null text is the empty text and consists of the end token; a
 null doc_id hashes as the empty text; repeated rows count and are scored each;
@@ -32,10 +36,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -45,14 +47,15 @@ from brickline.llm.common import stored
 ALPHA = 0.1
 #: White space can't be in a word, so these are no words.
 END, BEGIN = xxh64_intdigest(b"\nend"), xxh64_intdigest(b"\nbegin")
-FILTER_BITS = 1 << 28
 BITS_PER_ENTRY = 12
 PROBES = 6
-HEAD = 1 << 19
+BROADCAST_BYTES = 8 << 20
+#: Tokens of a slice, bytes that are split at once, keys that a task sums up before it hands them on.
+SLICE, PIECE, HELD = 1 << 17, 1 << 20, 1 << 20
+#: N-gram occurrences of a segment, about.
+SEGMENT = 1 << 19
 #: Bits of a pair's hash that travel, below its segment's.
-KEY_BITS = 40
-#: Tokens handled together.
-SLICE = 1 << 19
+KEY_BITS = 32
 #: Tokens that a level of c(h) needs for a weight of its own.
 FIT_TOKENS = 50
 U = np.uint64
@@ -85,34 +88,79 @@ def word_keys(word: np.ndarray) -> np.ndarray:
     return mixed(word ^ U(0xD6E8FEB86659FD93))
 
 
-def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's with its end token, and their numbers."""
-    out: list[int] = []
-    counts = []
-    for text in texts:
-        n = len(out)
-        if text:
-            out += map(xxh64_intdigest, text.lower().split())
-        out.append(END)
-        counts.append(len(out) - n)
-    return np.array(out, U), np.array(counts, np.int64)
-
-
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows begin..end, their tokens' hashes and numbers; about SLICE tokens each."""
-    texts, begin, size = batch.column(column).to_pylist(), 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or b"")
-        if size >= 6 * SLICE or i == len(texts) - 1:
-            yield (begin, i + 1, *hashed(texts[begin : i + 1]))
-            begin, size = i + 1, 0
-
-
-def befores(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    out = np.empty_like(h)
-    out[1:] = h[:-1]
-    out[np.cumsum(counts) - counts] = BEGIN
-    return out
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text cut between words into pieces of about PIECE bytes."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        while end < len(text) and not text[end : end + 1].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def hashed(text: bytes | None) -> np.ndarray:
+    """Hashes of a text's tokens, the end token included."""
+    out = [np.fromiter(map(xxh64_intdigest, p.lower().split()), U) for p in pieces(text or b"")]
+    return np.concatenate([*out, np.array([END], U)])
+
+
+SLICES = "slice long, doc_ids array<{id}>, held array<boolean>, counts array<int>, words binary, codes binary, n_train long"
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        begin, hashes = 0, []
+        for i, text in enumerate(batch.column("text")):
+            hashes.append(hashed(text.as_py()))
+            if sum(map(len, hashes)) < SLICE and i < len(batch) - 1:
+                continue
+            words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+            part, counts = batch.slice(begin, len(hashes)), np.array([len(h) for h in hashes], np.int64)
+            held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            width = "<u2" if len(words) <= 1 << 16 else "<u4"
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([at]), pa.array([part.column("doc_id").to_pylist()], pa.list_(part.column("doc_id").type)),
+                    pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([counts.tolist()], pa.list_(pa.int32())),
+                    pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([codes.astype(width).tobytes()], pa.binary()),
+                    pa.array([int(counts[~held].sum())]),
+                ],
+                [c.split()[0] for c in SLICES.split(", ")],
+            )
+            at, begin, hashes = at + 1, i + 1, []
+
+
+class Slice:
+    """A row of the slices: its words, their number at each token, and the texts' sizes."""
+
+    def __init__(self, row: dict):
+        self.row, self.words = row, np.frombuffer(row["words"], "<u8")
+        self.counts = np.array(row["counts"], np.int64)
+        size = int(self.counts.sum())
+        self.codes = np.frombuffer(row["codes"], "<u2" if len(row["codes"]) == 2 * size else "<u4").astype(np.int64)
+        self.train = ~np.repeat(np.array(row["held"], bool), self.counts)
+        self.first = np.cumsum(self.counts) - self.counts
+
+    def pairs(self) -> np.ndarray:
+        """The pair that ends at each token."""
+        h = self.words[self.codes]
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[self.first] = BEGIN
+        return pair_keys(before, h)
+
+
+#: The key under which the number of training texts is kept, as that of their beginning.
+BEGIN_KEY = word_keys(np.array([BEGIN], U))[0]
+
+
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 class Sums:
@@ -122,217 +170,273 @@ class Sums:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.held += len(self.parts[-1][0])
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.held += len(keys)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         parts, self.parts, self.held = self.parts, [], 0
-        if len(parts) == 1:
-            return parts[0]
+        if not parts:
+            return np.zeros(0, U), np.zeros(0, np.int64)
         return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
-
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = Sums()
 
-    def out() -> pa.RecordBatch:
-        keys, counts = sums.take()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "n"])
+def low_bits(keys: np.ndarray, seg_bits: int) -> np.ndarray:
+    return ((keys << U(seg_bits)) >> U(64 - KEY_BITS)).astype("<u4")
 
-    for batch in batches:
-        for _, _, h, _ in slices(batch):
-            sums.add(h)
-            if sums.held > 2 * SLICE:
-                yield out()
-    if sums.parts:
-        yield out()
-
-
-PACKED = "ord int, seg int, keys binary, counts binary"
-
-
-def packed(order: int, keys: np.ndarray, counts: np.ndarray, seg_bits: int) -> pa.RecordBatch:
-    """Sorted keys with counts as one row per segment."""
-    seg = (keys >> U(64 - seg_bits)).astype(np.int64)
-    first = np.flatnonzero(np.diff(seg, prepend=-1))
-    low = (keys >> U(64 - seg_bits - KEY_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
-    ends = np.append(first[1:], len(keys)).tolist()
-    k, c = [], []
-    for a, b in zip(first.tolist(), ends, strict=True):
-        k.append(np.ascontiguousarray(low[a:b]).tobytes())
-        c.append(counts[a:b].astype("<u4").tobytes())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(first), order, np.int32)), pa.array(seg[first].astype(np.int32)), pa.array(k, pa.binary()), pa.array(c, pa.binary())],
-        ["ord", "seg", "keys", "counts"],
-    )
 
+def by_segment(seg_bits: int, *sorted_keys: np.ndarray) -> Iterator[tuple[int, list[slice]]]:
+    """Each segment that has keys, and its part of each of the sorted arrays."""
+    segs = [(k >> U(64 - seg_bits)).astype(np.int64) if seg_bits else np.zeros(len(k), np.int64) for k in sorted_keys]
+    every = np.unique(np.concatenate(segs))
+    bounds = [(np.searchsorted(s, every), np.searchsorted(s, every, "right")) for s in segs]
+    for i, seg in enumerate(every.tolist()):
+        yield seg, [slice(int(a[i]), int(b[i])) for a, b in bounds]
 
-def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BITS // 8)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, : KEY_BITS // 8] = raw
-    return wide.view("<u8")[:, 0], np.frombuffer(counts, "<u4").astype(np.int64)
 
+def batch_of(cells: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], k) for i, k in enumerate(kinds)], names)
 
-def _pairs(seg_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        for batch in batches:
-            for _, _, h, counts in slices(batch):
-                sums.add(pair_keys(befores(h, counts), h))
-                if sums.held > 4 * SLICE:
-                    yield packed(2, *sums.take(), seg_bits)
-        if sums.parts:
-            yield packed(2, *sums.take(), seg_bits)
 
-    return run
+LONG, BYTES = pa.int64(), pa.binary()
+COUNTED = "seg long, salt long, words binary, word_counts binary, pairs binary, pair_counts binary"
 
 
-def _pack_words(seg_bits: int):
+def _count(seg_bits: int, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                keys = word_keys(batch.column("h").to_numpy().view(U))
-                order = np.argsort(keys)
-                n = np.minimum(batch.column("n").to_numpy(), (1 << 32) - 1)
-                yield packed(1, keys[order], n[order], seg_bits)
+        words, pairs, salt = Sums(), Sums(), TaskContext.get().partitionId() % salts
+
+        def out() -> pa.RecordBatch:
+            (w, n), (p, m) = words.take(), pairs.take()
+            cells = [
+                (seg, salt, w[a].astype("<u8").tobytes(), n[a].astype("<i8").tobytes(), low_bits(p[b], seg_bits).tobytes(), m[b].astype("<i8").tobytes())
+                for seg, (a, b) in by_segment(seg_bits, w, p)
+            ]
+            return batch_of(cells, [c.split()[0] for c in COUNTED.split(", ")], [LONG, LONG, BYTES, BYTES, BYTES, BYTES])
+
+        for row in rows(batches):
+            s = Slice(row)
+            if s.train.any():
+                n = np.bincount(s.codes[s.train], minlength=len(s.words))
+                words.add(word_keys(s.words[n > 0]), n[n > 0])
+                pairs.add(*np.unique(s.pairs()[s.train], return_counts=True))
+                pairs.add(np.array([BEGIN_KEY]), np.array([row["held"].count(False)]))
+            if words.held + pairs.held > HELD:
+                yield out()
+        if words.held + pairs.held:
+            yield out()
 
     return run
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    """One segment's n-grams of one order, summed; pairs seen once end here."""
-    parts = [unpacked(k, c) for k, c in zip(group["keys"], group["counts"], strict=True)]
-    keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-    order = int(group["ord"].iloc[0])
-    keep = counts >= order
-    low = keys[keep].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
-    n = np.minimum(counts[keep], (1 << 32) - 1).astype("<u4")
-    return pd.DataFrame({
-        "ord": [order], "seg": [int(group["seg"].iloc[0])],
-        "keys": [np.ascontiguousarray(low).tobytes()], "counts": [n.tobytes()],
-    })
-
+def _joined(group: pa.Table, keys: str, counts: str, width: str) -> tuple[np.ndarray, np.ndarray]:
+    k = np.frombuffer(b"".join(group.column(keys).to_pylist()), width)
+    return summed(k, np.frombuffer(b"".join(group.column(counts).to_pylist()), "<i8"))
 
-def levels_of(counts: np.ndarray, least: int) -> np.ndarray:
-    """Level of each count where `least` is the lowest that is stored (level 1)."""
-    return np.searchsorted(BOUNDS, counts, "right") - np.searchsorted(BOUNDS, least, "right") + 1
 
+def _merged(group: pa.Table) -> pa.Table:
+    """The counts of one segment and salt as one row."""
+    (w, n), (p, m) = _joined(group, "words", "word_counts", "<u8"), _joined(group, "pairs", "pair_counts", "<u4")
+    cell = (group.column("seg")[0].as_py(), group.column("salt")[0].as_py(), w.tobytes(), n.tobytes(), p.tobytes(), m.tobytes())
+    return pa.Table.from_batches([batch_of([cell], group.column_names, [LONG, LONG, BYTES, BYTES, BYTES, BYTES])])
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[tuple[int, int], int] = {}
-    for batch in batches:
-        for order, counts in zip(batch.column("ord").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            level, n = np.unique(np.searchsorted(BOUNDS, np.frombuffer(counts, "<u4"), "right"), return_counts=True)
-            for a, b in zip(level.tolist(), n.tolist(), strict=True):
-                total[order, a] = total.get((order, a), 0) + b
-    rows = [(o, lv, n) for (o, lv), n in total.items()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["ord", "level", "n"]
-    )
 
-
-def places(low: np.ndarray, order: int, level: int, seg_bits_size: int) -> Iterator[np.ndarray]:
+def places(low: np.ndarray, order: int, level: int, size: int) -> Iterator[np.ndarray]:
     """The bits of (n-gram, level) inside its segment."""
-    x = mixed(low ^ (U(order) << U(60)) ^ (U(level) << U(48)))
+    x = mixed(low.astype(U) ^ U(order << 60) ^ U(level << 48))
     step = mixed(x ^ U(0xA5A5A5A55A5A5A5A)) | U(1)
     for i in range(PROBES):
-        yield ((x + U(i) * step) & U(seg_bits_size - 1)).astype(np.int64)
+        yield ((((x + U(i) * step) >> U(32)) * U(size)) >> U(32)).astype(np.int64)
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(BOUNDS, counts, "right")
+
 
+SEGMENTS = "seg long, size long, bits binary, words binary, word_counts binary, tokens long, types long"
 
-def _build(least: dict[int, int], seg_size: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(seg_size, bool)
-        for order, keys, counts in zip(group["ord"], group["keys"], group["counts"], strict=True):
-            low, n = unpacked(keys, counts)
-            level = levels_of(n, least[order])
+
+def _build(seg_bits: int, bits_per_entry: int):
+    def run(group: pa.Table) -> pa.Table:
+        """One segment of the filter, and the exact counts of its words."""
+        (w, n), (p, m) = _joined(group, "words", "word_counts", "<u8"), _joined(group, "pairs", "pair_counts", "<u4")
+        ngrams = [(1, low_bits(w, seg_bits), levels_of(n)), (2, p, levels_of(m))]
+        size = max(64, bits_per_entry * sum(int(level.sum()) for _, _, level in ngrams))
+        bits = np.zeros(size, bool)
+        for order, low, level in ngrams:
             for q in range(1, int(level.max(initial=0)) + 1):
                 low, level = low[level >= q], level[level >= q]
-                for at in places(low, order, q, seg_size):
+                for at in places(low, order, q, size):
                     bits[at] = True
-        return pd.DataFrame({"seg": [int(group["seg"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        cell = (group.column("seg")[0].as_py(), size, np.packbits(bits, bitorder="little").tobytes(), w.tobytes(), n.tobytes(), int(n.sum()), len(w))
+        return pa.Table.from_batches([batch_of([cell], [c.split()[0] for c in SEGMENTS.split(", ")], [LONG, LONG, BYTES, BYTES, BYTES, LONG, LONG])])
 
     return run
 
 
-class Model:
-    """The filter and what reading it takes; goes to the workers as one broadcast."""
-
-    def __init__(self, seg_bits: int, bits: np.ndarray, least: dict[int, int], tokens: int, types: int):
-        self.seg_bits, self.bits, self.least = seg_bits, bits, least
-        self.tokens, self.types = tokens, types
-        self.weights = np.zeros(len(MIDDLE))
-
-    def counts(self, keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Levels and counts of n-grams (by key), by probes of level after level."""
-        seg_size = len(self.bits) * 8 >> self.seg_bits
-        seg = (keys >> U(64 - self.seg_bits)).astype(np.int64) * seg_size
-        low = (keys >> U(64 - self.seg_bits - KEY_BITS)) & U((1 << KEY_BITS) - 1)
-        level = np.zeros(len(keys), np.int64)
-        at, q = np.arange(len(keys)), 0
-        while len(at):
+class Segment:
+    """A segment of the filter, to be probed."""
+
+    def __init__(self, row: dict | None):
+        row = row or {"size": 64, "bits": bytes(8), "words": b"", "word_counts": b""}
+        self.size, self.bits = row["size"], np.frombuffer(row["bits"], np.uint8)
+        self.words, self.word_counts = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["word_counts"], "<i8")
+
+    def levels(self, low: np.ndarray, order: int) -> np.ndarray:
+        """Levels of n-grams, by probes of level after level."""
+        level, at, q = np.zeros(len(low), np.uint8), np.arange(len(low)), 0
+        while len(at) and q + 2 < len(MIDDLE):
             q += 1
-            here, place = low[at], seg[at]
             alive = np.arange(len(at))
-            for bit in places(here, order, q, seg_size):
-                spot = place[alive] + bit[alive]
+            for spot in places(low[at], order, q, self.size):
+                spot = spot[alive]
                 alive = alive[(self.bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
+                if not len(alive):
+                    break
             at = at[alive]
             level[at] = q
-            if q + 2 >= len(MIDDLE):
-                break
-        shift = int(np.searchsorted(BOUNDS, self.least[order], "right")) - 1
-        full = np.where(level > 0, level + shift, 0)
-        return full, MIDDLE[np.minimum(full, len(MIDDLE) - 1)]
+        return level
+
+    def answer(self, words: np.ndarray, pairs: np.ndarray, seg_bits: int) -> tuple[bytes, bytes, bytes]:
+        """Exact counts and levels of words (whole keys), levels of pairs (low bits)."""
+        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
+        exact = np.where(self.words[at] == words, self.word_counts[at], 0) if len(self.words) else np.zeros(len(words), np.int64)
+        return exact.astype("<i8").tobytes(), self.levels(low_bits(words, seg_bits), 1).tobytes(), self.levels(pairs, 2).tobytes()
+
+
+def requests(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the slice's words and of its pairs, each once."""
+    return np.sort(word_keys(s.words)), np.unique(np.append(s.pairs(), BEGIN_KEY))
 
-    def parts(self, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each token: c(w), level and c of the word before, c of the pair."""
-        words, back = np.unique(h, return_inverse=True)
-        level, count = self.counts(word_keys(words), 1)
-        before = befores(h, counts)
-        first = np.cumsum(counts) - counts
-        prior = np.empty(len(h), np.int64)
-        prior[1:] = back[:-1]
-        prior[first] = len(words)
-        begin = self.counts(word_keys(np.array([BEGIN], U)), 1)
-        level, c_before = np.append(level, begin[0])[prior], np.append(count, begin[1])[prior]
-        pairs, again = np.unique(pair_keys(before, h), return_inverse=True)
-        return count[back], level, c_before, self.counts(pairs, 2)[1][again]
+
+ASKED = "seg long, salt long, slice long, words binary, pairs binary"
+ANSWERED = "slice long, seg long, exact binary, word_levels binary, pair_levels binary"
+
+
+def _ask(seg_bits: int, salts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows(batches):
+            w, p = requests(Slice(row))
+            cells = [
+                (seg, row["slice"] % salts, row["slice"], w[a].astype("<u8").tobytes(), low_bits(p[b], seg_bits).tobytes())
+                for seg, (a, b) in by_segment(seg_bits, w, p)
+            ]
+            yield batch_of(cells, [c.split()[0] for c in ASKED.split(", ")], [LONG, LONG, LONG, BYTES, BYTES])
+
+    return run
+
+
+def _answer(seg_bits: int):
+    names, kinds = [c.split()[0] for c in ANSWERED.split(", ")], [LONG, LONG, BYTES, BYTES, BYTES]
+
+    def run(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        cells, own = [], Segment(segment.to_pylist()[0] if len(segment) else None)
+        if len(asked):
+            # what the slices ask for is probed together
+            columns = [asked.column(c).to_pylist() for c in ("words", "pairs")]
+            w, p = np.frombuffer(b"".join(columns[0]), "<u8"), np.frombuffer(b"".join(columns[1]), "<u4")
+            (w, back), (p, again) = (np.unique(x, return_inverse=True) for x in (w, p))
+            exact, wl, pl = own.answer(w, p, seg_bits)
+            exact, wl, pl = np.frombuffer(exact, "<i8")[back], np.frombuffer(wl, np.uint8)[back], np.frombuffer(pl, np.uint8)[again]
+            a = b = 0
+            for i, (x, y) in enumerate(zip(*columns, strict=True)):
+                c, d = a + len(x) // 8, b + len(y) // 4
+                cells.append((asked.column("slice")[i].as_py(), asked.column("seg")[i].as_py(), exact[a:c].tobytes(), wl[a:c].tobytes(), pl[b:d].tobytes()))
+                a, b = c, d
+        return pa.Table.from_batches([batch_of(cells, names, kinds)])
+
+    return run
+
+
+#: For each token the level of its word and of the pair that ends there; the texts' exact sums.
+LEVELS = "doc_ids array<{id}>, held array<boolean>, counts array<int>, known array<long>, logs array<double>, begin int, words binary, pairs binary"
+
+
+def placed(row: dict, exact: bytes, word_levels: bytes, pair_levels: bytes, kind: pa.DataType) -> pa.RecordBatch:
+    """The answers to a slice's requests, in their order, laid on its tokens."""
+    s = Slice(row)
+    w, p = requests(s)
+    at = np.searchsorted(w, word_keys(s.words))
+    exact = np.frombuffer(exact, "<i8")[at]
+    levels, pairs = np.frombuffer(word_levels, np.uint8)[at], np.frombuffer(pair_levels, np.uint8)
+    begin = int(pairs[np.searchsorted(p, BEGIN_KEY)])
+    cell = (
+        row["doc_ids"], row["held"], row["counts"], np.add.reduceat((exact > 0).astype(np.int64)[s.codes], s.first).tolist(),
+        np.add.reduceat(np.log10(exact + ALPHA)[s.codes], s.first).tolist(), begin,
+        levels[s.codes].tobytes(), pairs[np.searchsorted(p, s.pairs())].tobytes(),
+    )
+    kinds = [pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(LONG), pa.list_(pa.float64()), pa.int32(), BYTES, BYTES]
+    return batch_of([cell], [c.split()[0] for c in LEVELS.split(", ")], kinds)
+
+
+def _place(one: pa.Table, answers: pa.Table) -> pa.Table:
+    answers = answers.sort_by("seg")
+    joined = [b"".join(answers.column(c).to_pylist()) for c in ("exact", "word_levels", "pair_levels")]
+    return pa.Table.from_batches([placed(one.to_pylist()[0], *joined, one.schema.field("doc_ids").type.value_type)])
+
+
+def _probe(shared, seg_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Requests and answers at once, with the whole filter at hand."""
+        filters = {seg: Segment(row) for seg, row in shared.value.items()}
+        for batch in batches:
+            for row in rows([batch]):
+                w, p = requests(Slice(row))
+                answers = [
+                    filters.get(seg, Segment(None)).answer(w[a], low_bits(p[b], seg_bits), seg_bits) for seg, (a, b) in by_segment(seg_bits, w, p)
+                ]
+                yield placed(row, *map(b"".join, zip(*answers, strict=True)), batch.schema.field("doc_ids").type.value_type)
+
+    return run
+
+
+class Model:
+    """What turns levels into probabilities."""
+
+    def __init__(self, tokens: int, types: int):
+        self.tokens, self.types, self.weights = tokens, types, np.zeros(len(MIDDLE))
 
     def single(self, c: np.ndarray) -> np.ndarray:
         # a quantised count may be above the exact one, but no word is more than all
         return (np.minimum(c, self.tokens) + ALPHA) / (self.tokens + ALPHA * (self.types + 1))
 
-    def log_scores(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        c, level, before, pair = self.parts(h, counts)
+    def parts(self, row: dict) -> tuple[np.ndarray, ...]:
+        """Of each token: c(w), level and c of the word before, c of the pair."""
+        level, counts = np.frombuffer(row["words"], np.uint8).astype(np.int64), np.array(row["counts"], np.int64)
+        before = np.empty_like(level)
+        before[1:] = level[:-1]
+        before[np.cumsum(counts) - counts] = row["begin"]
+        return MIDDLE[level], before, MIDDLE[before], MIDDLE[np.frombuffer(row["pairs"], np.uint8)]
+
+    def log_scores(self, row: dict) -> np.ndarray:
+        c, level, before, pair = self.parts(row)
         weight = np.where(before > 0, self.weights[level], 0.0)
         p = (1 - weight) * self.single(c) + weight * np.minimum(pair / np.maximum(before, 1), 1.0)
+        counts = np.array(row["counts"], np.int64)
         return np.add.reduceat(np.log10(p), np.cumsum(counts) - counts)
 
 
 RATIOS = np.concatenate([[0.0], 10 ** np.linspace(-3, 9, 121)])
 
 
-def _ratios(shared):
+def _ratios(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How far the pair's leave-one-out share is from the word's, by c(h)'s level."""
-        model = shared.value
+        """How far the pair's leave-one-out share is from the word's, by c(h)'s level, over training texts."""
         total = np.zeros(len(MIDDLE) * len(RATIOS), np.int64)
-        for batch in batches:
-            for _, _, h, counts in slices(batch):
-                c, level, before, pair = model.parts(h, counts)
-                single = model.single(np.maximum(c - 1, 0))
-                share = np.maximum(pair - 1, 0) / np.maximum(before - 1, 1)
-                bin_ = np.clip(np.searchsorted(RATIOS, np.minimum(share, 1) / single, "right") - 1, 0, len(RATIOS) - 1)
-                total += np.bincount(np.minimum(level, len(MIDDLE) - 1) * len(RATIOS) + bin_, minlength=len(total))
+        for row in rows(batches):
+            c, level, before, pair = model.parts(row)
+            single = model.single(np.maximum(c - 1, 0))
+            share = np.maximum(pair - 1, 0) / np.maximum(before - 1, 1)
+            bin_ = np.clip(np.searchsorted(RATIOS, np.minimum(share, 1) / single, "right") - 1, 0, len(RATIOS) - 1)
+            train = ~np.repeat(np.array(row["held"], bool), row["counts"])
+            total += np.bincount((level * len(RATIOS) + bin_)[train], minlength=len(total))
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
@@ -360,111 +464,57 @@ def fitted_weights(cells: dict[int, int]) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, train: Column, filter_bits: int = FILTER_BITS) -> tuple[Model, Broadcast, DataFrame]:
-    """The model, its broadcast (before the weights), and the exact word counts (h, n) as a stored table."""
-    spark = docs.sparkSession
-    texts = docs.where(train).select(F.encode("text", "utf-8").alias("text"))
-    words = stored(texts.mapInArrow(_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
-    end = END - (1 << 64) if END >> 63 else END
-    tokens, types, n_docs = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("n"))), F.lit(0))
-    ).first()
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seg_bits = max(6, (partitions - 1).bit_length())
-    begin = BEGIN - (1 << 64) if BEGIN >> 63 else BEGIN
-    contexts = words.unionByName(spark.createDataFrame([(begin, n_docs)], "h long, n long").where("n > 0"))
-    blocks = texts.mapInArrow(_pairs(seg_bits), PACKED).unionByName(contexts.mapInArrow(_pack_words(seg_bits), PACKED))
-    merged = stored(blocks.groupBy("ord", "seg").applyInPandas(_merge, PACKED), "lm-ngrams")
-    levels = merged.mapInArrow(_histogram, "ord long, level long, n long").groupBy("ord", "level").agg(F.sum("n").alias("n")).collect()
-    room, least = filter_bits // BITS_PER_ENTRY, {1: 1, 2: 2}
-
-    def entries(order: int) -> int:
-        base = int(np.searchsorted(BOUNDS, least[order], "right"))
-        return sum(r["n"] * (r["level"] - base + 1) for r in levels if r["ord"] == order and r["level"] >= base)
-
-    for order, share in ((1, room // 2), (2, room)):
-        while entries(order) + (entries(1) if order == 2 else 0) > share:
-            least[order] = int(BOUNDS[np.searchsorted(BOUNDS, least[order], "right")])
-    seg_size = filter_bits >> seg_bits
-    built = stored(merged.groupBy("seg").applyInPandas(_build(least, seg_size), "seg int, bits binary"), "lm-filter")
-    bits = np.zeros(filter_bits // 8, np.uint8)
-    for r in built.toLocalIterator():
-        at = r["seg"] * seg_size // 8
-        bits[at : at + seg_size // 8] = np.frombuffer(r["bits"], np.uint8)
-    model = Model(seg_bits, bits, least, int(tokens), int(types))
-    # the weights go with the tasks, so that one broadcast serves fitting and scoring
-    shared = spark.sparkContext.broadcast(model)
-    cells = texts.mapInArrow(_ratios(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+def fit(
+    docs: DataFrame, train: Column, bits_per_entry: int = BITS_PER_ENTRY, broadcast_bytes: int = BROADCAST_BYTES, segment: int = SEGMENT
+) -> tuple[Model, DataFrame]:
+    """The model, and the levels of all texts' tokens (LEVELS) as a stored table."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    texts = docs.select("doc_id", (~train).alias("held_out"), F.encode("text", "utf-8").alias("text"))
+    slices = stored(texts.mapInArrow(_slices, SLICES.format(id=kind)), "lm-slices")
+    n_train, n_slices = slices.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count("*")).first()
+    seg_bits, salts = max(0, (2 * n_train // segment).bit_length()), 1 + n_slices // 65536
+    counted = slices.mapInArrow(_count(seg_bits, salts), COUNTED)
+    if salts > 1:
+        counted = counted.groupBy("seg", "salt").applyInArrow(_merged, COUNTED)
+    built = stored(counted.groupBy("seg").applyInArrow(_build(seg_bits, bits_per_entry), SEGMENTS), "lm-filter")
+    tokens, types, size = built.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types")], F.sum("size") / 8 + 16 * F.sum("types")).first()
+    form = LEVELS.format(id=kind)
+    if (size or 0) <= broadcast_bytes:
+        shared = spark.sparkContext.broadcast({r["seg"]: r.asDict() for r in built.collect()})
+        levels = slices.mapInArrow(_probe(shared, seg_bits), form)
+    else:
+        asked = slices.mapInArrow(_ask(seg_bits, salts), ASKED)
+        copies = built.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        answers = asked.groupBy("seg", "salt").cogroup(copies.groupBy("seg", "salt")).applyInArrow(_answer(seg_bits), ANSWERED)
+        levels = slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_place, form)
+    levels, model = stored(levels, "lm-levels"), Model(int(tokens), int(types))
+    cells = levels.mapInArrow(_ratios(model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     model.weights = fitted_weights({r["cell"]: r["n"] for r in cells})
-    return model, shared, words
+    return model, levels
 
 
-SCORED = "row long, doc_id {id}, held_out boolean, n_tokens long, known long, logs double, score double, rest array<long>"
+SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, logs double, score double"
 
 
-def _pack_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cells = [[batch.column(c).to_numpy().astype("<i8").tobytes()] for c in ("h", "n")]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in cells], ["h", "n"])
-
-
-def _score(shared, weights: np.ndarray, shared_head):
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (head, head_counts) = shared.value, shared_head.value
-        model.weights = weights
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for begin, end, h, counts in slices(batch):
-                part, first = batch.slice(begin, end - begin), np.cumsum(counts) - counts
-                at = np.minimum(np.searchsorted(head, h), max(len(head) - 1, 0))
-                found = head[at] == h if len(head) else np.zeros(len(h), bool)
-                logs = np.where(found, np.log10(np.where(found, head_counts[at] if len(head) else 0, 0) + ALPHA), 0.0)
-                rest = np.concatenate([[0], np.cumsum(~found)])
-                offsets = rest[np.append(first, len(h))].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + len(part))), part.column("doc_id"), part.column("held_out"),
-                        pa.array(counts), pa.array(np.add.reduceat(found.astype(np.int64), first)),
-                        pa.array(np.add.reduceat(logs, first)), pa.array(model.log_scores(h, counts)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[~found].view(np.int64))),
-                    ],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rest"],
-                )
-                row += len(part)
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                flat = [row.column(c)[0].values for c in ("doc_ids", "held", "counts", "known", "logs")]
+                flat[2] = flat[2].cast(LONG)
+                score = pa.array(model.log_scores(row.to_pylist()[0]))
+                yield pa.RecordBatch.from_arrays([*flat, score], [c.split()[0] for c in SCORED.split(", ")])
 
     return run
 
 
-def score_documents(docs: DataFrame, train: Column, head: int = HEAD, **options) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    model, shared, words = fit(docs, train, **options)
-    # the words whose counts reach a bound that at most `head` words reach
-    steps = words.groupBy(F.floor(F.log2("n") * 4).alias("step")).count().orderBy(F.desc("step")).collect()
-    taken, least = 0, None
-    for r in steps:
-        if taken + r["count"] > head:
-            break
-        taken, least = taken + r["count"], r["step"]
-    top = words.where(F.floor(F.log2("n") * 4) >= least) if least is not None else words.where("false")
-    parts = top.select("h", "n").mapInArrow(_pack_head, "h binary, n binary").collect()
-    keys, counts = (np.frombuffer(b"".join(r[c] for r in parts), "<i8") for c in ("h", "n"))
-    order = np.argsort(keys.view(U))
-    shared_head = spark.sparkContext.broadcast((keys.view(U)[order], counts[order].astype(np.float64)))
-    rows = docs.select("doc_id", (~train).alias("held_out"), F.encode("text", "utf-8").alias("text"))
-    scored = stored(rows.mapInArrow(_score(shared, model.weights, shared_head), SCORED.format(id=dict(docs.dtypes)["doc_id"])), "lm-scored")
-    rest = (
-        scored.select("row", F.explode("rest").alias("h")).groupBy("row", "h").count()
-        .join(words, "h", "left").groupBy("row").agg(
-            F.sum(F.when(F.col("n").isNotNull(), F.col("count")).otherwise(0)).alias("rest_known"),
-            F.sum(F.col("count") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))).alias("rest_logs"),
-        )
-    )
+    model, levels = fit(docs, train, **options)
+    scored = levels.mapInArrow(_score(model), SCORED.format(id=dict(docs.dtypes)["doc_id"]))
     bottom = float(np.log10(model.tokens + ALPHA * (model.types + 1)))
-    return scored.join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("rest_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("rest_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(bottom)).alias("base_score"),
-        "score",
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(bottom)).alias("base_score"), "score",
     )

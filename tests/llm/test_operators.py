@@ -171,7 +171,7 @@ def test_bloom_model(spark):
     texts = odd_texts()
     docs = table(spark, texts)
     train = F.coalesce(F.col("doc_id"), F.lit(0)) % 4 != 0
-    got = ngram_lm.score_documents(docs, train, head=4, filter_bits=1 << 20).collect()
+    got = ngram_lm.score_documents(docs, train).collect()
     token = lambda t: [*(t or "").encode().lower().split(), None]
     counts, n = {}, 0
     for i, t in texts:
@@ -186,7 +186,7 @@ def test_bloom_model(spark):
     have = sorted((r["n_tokens"], r["n_known"], r["base_score"]) for r in got)
     assert [h[:2] for h in have] == [w[:2] for w in sorted(want)] and np.allclose([h[2] for h in have], [w[2] for w in sorted(want)])
     assert {r["train_tokens"] for r in got} == {n} and all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
-    assert ngram_lm.score_documents(docs, F.lit(False), filter_bits=1 << 20).where("n_known > 0").count() == 0
+    assert ngram_lm.score_documents(docs, F.lit(False)).where("n_known > 0").count() == 0
 
 
 def test_quality_and_language_edges(spark):

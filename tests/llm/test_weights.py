@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from brickline.llm import ngram_lm
@@ -8,7 +11,7 @@ def test_weights_are_fitted_on_every_training_text(spark, monkeypatch):
     seen, whole = {}, ngram_lm.fitted_weights
     monkeypatch.setattr(ngram_lm, "fitted_weights", lambda cells: seen.update(cells) or whole(cells))
     docs = spark.range(6_000).selectExpr("id as doc_id", "concat('a b w', id % 50) as text")
-    ngram_lm.fit(docs, F.col("doc_id") % 2 == 0, filter_bits=1 << 20)
+    ngram_lm.fit(docs, F.col("doc_id") % 2 == 0)
     assert sum(seen.values()) == 3_000 * 4
 
 
@@ -18,3 +21,59 @@ def test_a_sparse_level_takes_the_nearest_weight():
     assert got[0] == 0 and np.all(got[1:] > 0)
     assert got[8] == got[6] != got[19] == got[17] and got[-1] == got[21]
     assert not ngram_lm.fitted_weights({}).any()
+
+
+def brute_scores(texts, train):
+    """Scores from exact counts of levels, and weights fitted on exact leave-one-out counts."""
+    words, pairs, tokens = {}, {}, 0
+    lists = [[*(t or "").encode().lower().split(), None] for t in texts]
+    for ws, is_train in zip(lists, train, strict=True):
+        if is_train:
+            for a, b in zip(["begin", *ws], ws, strict=False):
+                words[b] = words.get(b, 0) + 1
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+                tokens += 1
+    model = ngram_lm.Model(tokens, len(words))
+    words["begin"] = sum(train)
+    level = lambda n: int(np.searchsorted(ngram_lm.BOUNDS, n, "right"))
+    rows = []
+    for ws, is_train in zip(lists, train, strict=True):
+        l1, l2 = [level(words.get(w, 0)) for w in ws], [level(pairs.get(p, 0)) for p in zip(["begin", *ws], ws, strict=False)]
+        rows.append({"held": [not is_train], "counts": [len(ws)], "begin": level(words["begin"]), "words": bytes(l1), "pairs": bytes(l2)})
+    cells = {}
+    for row in rows:
+        if not row["held"][0]:
+            for c, lv, before, pair in zip(*model.parts(row), strict=True):
+                ratio = min(max(pair - 1, 0) / max(before - 1, 1), 1) / model.single(np.array(max(c - 1, 0)))
+                cell = lv * len(ngram_lm.RATIOS) + min(max(int(np.searchsorted(ngram_lm.RATIOS, ratio, "right")) - 1, 0), len(ngram_lm.RATIOS) - 1)
+                cells[cell] = cells.get(cell, 0) + 1
+    model.weights = ngram_lm.fitted_weights(cells)
+    out = []
+    for ws, is_train in zip(lists, train, strict=True):
+        total = 0.0
+        for a, b in zip(["begin", *ws], ws, strict=False):
+            c, h, p = (ngram_lm.MIDDLE[level(x)] for x in (words.get(b, 0), words.get(a, 0), pairs.get((a, b), 0)))
+            weight = model.weights[level(words.get(a, 0))] if h > 0 else 0.0
+            total += np.log10((1 - weight) * model.single(np.array(c)) + weight * min(p / max(h, 1), 1.0))
+        out.append(float(total))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "segment": 64}])
+def test_scores_against_brute_force(spark, monkeypatch, options):
+    rng = random.Random(2)
+    some = [" ".join(rng.choices([f"w{int(rng.paretovariate(0.6))}" for _ in range(60)], k=rng.randrange(1, 200))) for _ in range(120)]
+    some += [some[0], some[1].upper(), None, "", " \n ", "é É 日本 " * 30, "long word " * 90_000]
+    train = [i % 3 != 0 for i in range(len(some))]
+    docs = spark.createDataFrame(list(zip(range(len(some)), some, train, strict=True)), "doc_id long, text string, train boolean")
+    got = sorted(ngram_lm.score_documents(docs, F.col("train"), bits_per_entry=60, **options).collect())
+    assert [r["held_out"] for r in got] == [not t for t in train]
+    assert np.allclose([r["score"] for r in got], brute_scores(some, train), rtol=1e-9)
+
+
+def test_scores_of_an_empty_table_and_without_training_rows(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string")
+    assert ngram_lm.score_documents(docs.limit(0), F.lit(True)).count() == 0
+    for options in ({}, {"broadcast_bytes": -1}):
+        got = ngram_lm.score_documents(docs, F.lit(False), **options).collect()
+        assert sorted(r["n_tokens"] for r in got) == [1, 3] and not any(r["n_known"] for r in got)
