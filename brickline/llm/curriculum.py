@@ -18,7 +18,7 @@ over as many groups as any other.  Only the range sort moves whole rows.
 
 Defined cases: a null text has no words and is never taken; a null source is a
 source of its own (last); a null id hashes as the empty text; repeated rows are
-separate rows; extra columns are carried in ``row`` on request and can't clash;
+separate rows; rows with one id differ in place by their texts; extra columns are carried in ``row`` on request and can't clash;
 an empty table gives an empty result.
 """
 
@@ -97,7 +97,9 @@ def mix_plan(
     nothing is taken.
     """
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    # the text's hash spreads null and repeated ids, and orders them
+    own = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
+    h = F.md5(own.cast("binary"))
     rows = docs.select(
         *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if keep_row else []),
         "doc_id", "source", words.alias("size"), h.alias("h"), F.substring(h, 1, 3).alias("bin"),

@@ -71,10 +71,10 @@ def anchor_terms(docs: DataFrame, wins: DataFrame, anchors: int) -> DataFrame:
     """window, item, phrase, term, off, n_terms: each window's rarest terms."""
     spots = wins.select("window", "item", "phrase", F.posexplode("phrase").alias("off", "term"))
     terms = small(spots.select("term").distinct(), F.octet_length("term"))
-    counts = tokens(docs).join(terms, "term", "left_semi").groupBy("term").count()
+    counts = stored(tokens(docs).join(terms, "term", "left_semi").groupBy("term").count(), "term-counts")
     rarity = Window.partitionBy("window").orderBy(F.coalesce("count", F.lit(0)), "term", "off")
     return stored(
-        spots.join(counts, "term", "left")
+        spots.join(small(counts, F.octet_length("term")), "term", "left")
         .withColumn("rank", F.row_number().over(rarity))
         .where(F.col("rank") <= anchors)
         .withColumn("n_terms", F.least(F.size("phrase"), F.lit(anchors)))

@@ -10,8 +10,10 @@ language's n-grams and at least ``MIN_RATIO`` of its share in any other language
 so lines of a second language inside a document don't spoil the filter.  By the
 first rule a filter holds at most ``1 / MIN_SHARE`` n-grams.
 
-Learning takes a bounded sample: ``train_rows`` labelled rows (by hash; all rows
-if there are fewer).  Prediction is a map over whole texts.
+Learning takes a bounded sample of labelled rows, by hash: ``train_rows`` shared
+equally among the languages, of each language all rows if there are fewer, so a rare
+language is learned too.  Prediction is a map over whole texts.  A mask has as many
+words of 64 languages as there must be.
 
 Scale: learning counts n-grams inside tasks before a shuffle of (language,
 n-gram) rows; the driver gets the filters' entries only, which are bounded as
@@ -69,7 +71,7 @@ def cells(g: np.ndarray, k: int) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    filters: np.ndarray  # masks of languages, by cell
+    filters: list[np.ndarray]  # masks of languages by cell, 64 languages each
     false_rate: np.ndarray  # of each language's filter
 
     def scores(self, buffers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,16 +81,17 @@ class Model:
         if not full or not self.languages:
             return best, score
         g = grams(b"".join(buffers[i] for i in full) + b"    ")
-        masks = self.filters[cells(g, 0)]
-        for k in range(1, len(MULTIPLIERS)):
-            masks &= self.filters[cells(g, k)]
+        at = [cells(g, k) for k in range(len(MULTIPLIERS))]
         sizes = np.array([len(buffers[i]) for i in full])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        one = masks.dtype.type(1)
-        counts = np.stack(
-            [np.add.reduceat((masks >> masks.dtype.type(i)) & one, starts, dtype=np.int64) for i in range(len(self.languages))],
-            axis=1,
-        )
+        starts, counts = np.concatenate([[0], np.cumsum(sizes)[:-1]]), []
+        for word, first in zip(self.filters, range(0, len(self.languages), 64), strict=True):
+            masks = word[at[0]]
+            for place in at[1:]:
+                masks &= word[place]
+            one = masks.dtype.type(1)
+            for i in range(min(64, len(self.languages) - first)):
+                counts.append(np.add.reduceat((masks >> masks.dtype.type(i)) & one, starts, dtype=np.int64))
+        counts = np.stack(counts, axis=1)
         true = np.maximum((counts - sizes[:, None] * self.false_rate) / (1 - self.false_rate), 0)
         total = true.sum(axis=1)
         best[full] = true.argmax(axis=1)
@@ -118,16 +121,16 @@ def learn(docs: DataFrame, train: Column, train_rows: int = TRAIN_ROWS) -> Model
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     totals = rows.groupBy("lang").count().collect()  # a row per language
     languages = [r["lang"] for r in sorted(totals, key=lambda r: (-r["count"], r["lang"]))]
-    if len(languages) > 64:
-        raise ValueError("more than 64 languages need wider masks")
-    n = sum(r["count"] for r in totals)
-    if n > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(train_rows / n * (1 << 20)))
+    share = train_rows / max(len(languages), 1)
+    # a row per language
+    kept = [(r["lang"], min(1 << 30, int(share / r["count"] * (1 << 30)) + 1)) for r in totals]
+    most = F.broadcast(docs.sparkSession.createDataFrame(kept, "lang string, below long"))
+    rows = rows.join(most, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("below"))
     counted = rows.select("lang", "text").mapInArrow(_count(languages), "l int, g long, n long")
     counted = counted.groupBy("l", "g").agg(F.sum("n").alias("n"))
     sums = {r["l"]: r["n"] for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     if not sums:
-        return Model([], np.zeros(CELLS, np.uint8), np.zeros(0))
+        return Model([], [], np.zeros(0))
     total = F.create_map(*[F.lit(x) for pair in sorted(sums.items()) for x in pair])
     shares = counted.withColumn("share", F.col("n") / F.element_at(total, F.col("l")))
     highest = shares.groupBy("g").agg(F.max("share").alias("most"), F.collect_list(F.struct("l", "share")).alias("every"))
@@ -138,14 +141,16 @@ def learn(docs: DataFrame, train: Column, train_rows: int = TRAIN_ROWS) -> Model
         .select("g", F.col("e.l").alias("l"))
         .toPandas()
     )
-    bits = next(b for b in (8, 16, 32, 64) if len(languages) <= b)
-    kind = np.dtype(f"uint{bits}").type
-    filters = np.zeros(CELLS, kind)
+    filters, fill = [], np.zeros(len(languages))
+    for first in range(0, len(languages), 64):
+        kind = np.dtype(f"uint{next(b for b in (8, 16, 32, 64) if min(64, len(languages) - first) <= b)}").type
+        filters.append(np.zeros(CELLS, kind))
     for i, part in entries.groupby("l"):
-        g = part["g"].to_numpy().astype(np.uint32)
+        g, word = part["g"].to_numpy().astype(np.uint32), filters[i // 64]
+        bit = word.dtype.type(1 << (i % 64))
         for k in range(len(MULTIPLIERS)):
-            filters[np.unique(cells(g, k))] |= kind(1 << i)
-    fill = np.array([np.count_nonzero(filters & kind(1 << i)) / CELLS for i in range(len(languages))])
+            word[np.unique(cells(g, k))] |= bit
+        fill[i] = np.count_nonzero(word & bit) / CELLS
     return Model(languages, filters, np.minimum(fill ** len(MULTIPLIERS), 0.999))
 
 

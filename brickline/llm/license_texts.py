@@ -103,3 +103,20 @@ SPELLINGS: list[tuple[str, str]] = [
     ("copyright owner", "copyright holder"),
     ("https ", "http "),
 ]
+
+#: Licence, digest and length of the canonical form of its entire text, for long licences.
+KNOWN_DIGESTS: list[tuple[str, str, int]] = [
+    ("Apache-2.0", "8f86909a6dbf3a124c7a7d11b3aaf31f", 9926),
+    ("Artistic-1.0-Perl", "a8b0fb0c6e43a3b36bdc159e59dbfd1e", 5833),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48", 6692),
+    ("GFDL-1.2-only", "eafdbd3fd6ad83ba93ee32190290d7bf", 19580),
+    ("GFDL-1.3-only", "726881efb60deef866eb1e87ba5896cc", 22015),
+    ("GPL-1.0-only", "824bfa08ef115d28b935bb45d075bc18", 11764),
+    ("GPL-2.0-only", "30b82780876558cb4f80d263305eef51", 17116),
+    ("GPL-3.0-only", "cca5340bce3be2e4c60f6e8e82aaabdf", 33405),
+    ("LGPL-2.0-only", "6885b1a1b528de907e6c89bd80a1ea4f", 24128),
+    ("LGPL-2.1-only", "79aa7998cfa6069eae71d7bea9b32641", 25215),
+    ("LGPL-3.0-only", "b31b7335bc37919e8cdd79154e04d88d", 7104),
+    ("MPL-1.1", "4ed6600fcf5321eb9dcd2181cde18632", 22447),
+    ("MPL-2.0", "7d4b8b0889da3c01eff3fe431102e6d6", 14342),
+]

@@ -12,18 +12,20 @@ of c(h) with too few tokens takes the weight of the nearest fitted one.
 
 Every n-gram of the training texts enters, those seen once included, with
 ``BITS_PER_ENTRY`` bits a level, so the filter grows with the corpus.  It is cut
-into segments of the hash space, about ``SEGMENT`` n-gram occurrences each.  Up
-to ``BROADCAST_BYTES`` it is broadcast to the workers; a larger one stays a table,
-and the n-grams of the texts go to its segments instead.  The probes are the
-same in both ways, and so are the scores.
+into segments of the hash space, about ``SEGMENT`` n-gram occurrences each.  Where
+it can't be above ``BROADCAST_BYTES``, by the number of training tokens, it is
+broadcast to the workers.  A larger one is spread over them by segment, and the
+n-grams of the texts go to their segments, with their counts, to be probed there.
+The probes are the same in all ways, and so are the scores.
 
 Scale: texts are hashed once, into slices of about ``SLICE`` tokens (a table of
-the shared folder, words by number within their slice).  A task sums up its own
-n-grams before they are shuffled, and asks for each n-gram of a slice once.  The
-groups that tasks hold are segments, slices and, for words that are in every
-slice, at most 65,536 slices' requests; none grows with the corpus.  Only the
-number of tokens and the histogram of the weights reach the driver.  The exact
-word counts of the base score lie beside the segments.
+the shared folder, words by number within their slice).  A slice sends each of
+its n-grams once.  The groups that tasks hold are segments and slices; beyond
+``MOST_SLICES`` slices, a frequent word would make its segment's group grow with
+their number, so counts are merged by parts first and requests are dealt by parts.
+Only the number of tokens and the histogram of the weights reach the driver.  The
+exact word counts of the base score lie beside the segments; words are told
+apart by 48 bits of their hash.
 
 Defined cases: a null text is the empty text and consists of the end token; a
 null doc_id hashes as the empty text; repeated rows count and are scored each;
@@ -49,7 +51,10 @@ ALPHA = 0.1
 END, BEGIN = xxh64_intdigest(b"\nend"), xxh64_intdigest(b"\nbegin")
 BITS_PER_ENTRY = 12
 PROBES = 6
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 64 << 20
+#: The most bytes that a training token can add: a word and a pair, each of a level, and a word's count.
+TOKEN_BYTES = 2 * BITS_PER_ENTRY / 8 + 16
+MOST_SLICES = 1 << 16
 #: Tokens of a slice, bytes that are split at once, keys that a task sums up before it hands them on.
 SLICE, PIECE, HELD = 1 << 17, 1 << 20, 1 << 20
 #: N-gram occurrences of a segment, about.
@@ -59,6 +64,29 @@ KEY_BITS = 32
 #: Tokens that a level of c(h) needs for a weight of its own.
 FIT_TOKENS = 50
 U = np.uint64
+WORD_BYTES = 6
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Hashes of words, WORD_BYTES each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
+    wide[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WORD_BYTES)
+    return wide.view("<u8")[:, 0]
+
+
+def packed_counts(n: np.ndarray) -> bytes:
+    """Counts in a byte each; 255 stands for one of the long ones that follow the bytes."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+
+
+def unpacked_counts(raw: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(raw, "<i8", -1, size) if len(raw) > size else 0
+    return n
 
 
 def level_bounds(ratio: float = 1.25, most: int = 1 << 50) -> np.ndarray:
@@ -103,7 +131,7 @@ def pieces(text: bytes) -> Iterator[bytes]:
 def hashed(text: bytes | None) -> np.ndarray:
     """Hashes of a text's tokens, the end token included."""
     out = [np.fromiter(map(xxh64_intdigest, p.lower().split()), U) for p in pieces(text or b"")]
-    return np.concatenate([*out, np.array([END], U)])
+    return np.concatenate([*out, np.array([END], U)]) >> U(64 - 8 * WORD_BYTES)
 
 
 SLICES = "slice long, doc_ids array<{id}>, held array<boolean>, counts array<int>, words binary, codes binary, n_train long"
@@ -125,7 +153,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array([at]), pa.array([part.column("doc_id").to_pylist()], pa.list_(part.column("doc_id").type)),
                     pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([counts.tolist()], pa.list_(pa.int32())),
-                    pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([codes.astype(width).tobytes()], pa.binary()),
+                    pa.array([packed(words)], pa.binary()), pa.array([codes.astype(width).tobytes()], pa.binary()),
                     pa.array([int(counts[~held].sum())]),
                 ],
                 [c.split()[0] for c in SLICES.split(", ")],
@@ -137,7 +165,7 @@ class Slice:
     """A row of the slices: its words, their number at each token, and the texts' sizes."""
 
     def __init__(self, row: dict):
-        self.row, self.words = row, np.frombuffer(row["words"], "<u8")
+        self.row, self.words = row, unpacked(row["words"])
         self.counts = np.array(row["counts"], np.int64)
         size = int(self.counts.sum())
         self.codes = np.frombuffer(row["codes"], "<u2" if len(row["codes"]) == 2 * size else "<u4").astype(np.int64)
@@ -215,9 +243,11 @@ def _count(seg_bits: int, salts: int):
 
         def out() -> pa.RecordBatch:
             (w, n), (p, m) = words.take(), pairs.take()
+            order = np.argsort(word_keys(w))
+            w, n = w[order], n[order]
             cells = [
-                (seg, salt, w[a].astype("<u8").tobytes(), n[a].astype("<i8").tobytes(), low_bits(p[b], seg_bits).tobytes(), m[b].astype("<i8").tobytes())
-                for seg, (a, b) in by_segment(seg_bits, w, p)
+                (seg, salt, packed(w[a]), packed_counts(n[a]), low_bits(p[b], seg_bits).tobytes(), packed_counts(m[b]))
+                for seg, (a, b) in by_segment(seg_bits, word_keys(w), p)
             ]
             return batch_of(cells, [c.split()[0] for c in COUNTED.split(", ")], [LONG, LONG, BYTES, BYTES, BYTES, BYTES])
 
@@ -225,7 +255,7 @@ def _count(seg_bits: int, salts: int):
             s = Slice(row)
             if s.train.any():
                 n = np.bincount(s.codes[s.train], minlength=len(s.words))
-                words.add(word_keys(s.words[n > 0]), n[n > 0])
+                words.add(s.words[n > 0], n[n > 0])
                 pairs.add(*np.unique(s.pairs()[s.train], return_counts=True))
                 pairs.add(np.array([BEGIN_KEY]), np.array([row["held"].count(False)]))
             if words.held + pairs.held > HELD:
@@ -236,15 +266,22 @@ def _count(seg_bits: int, salts: int):
     return run
 
 
-def _joined(group: pa.Table, keys: str, counts: str, width: str) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(b"".join(group.column(keys).to_pylist()), width)
-    return summed(k, np.frombuffer(b"".join(group.column(counts).to_pylist()), "<i8"))
+def summed_counts(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """Words with their counts and pairs with theirs, those of count 0 left out."""
+    words = [unpacked(x) for x in group.column("words").to_pylist()]
+    pairs = [np.frombuffer(x, "<u4") for x in group.column("pairs").to_pylist()]
+    out = []
+    for keys, column in ((words, "word_counts"), (pairs, "pair_counts")):
+        counts = [unpacked_counts(x, len(k)) for x, k in zip(group.column(column).to_pylist(), keys, strict=True)]
+        k, n = summed(np.concatenate(keys), np.concatenate(counts))
+        out += [k[n > 0], n[n > 0]]
+    return tuple(out)
 
 
 def _merged(group: pa.Table) -> pa.Table:
     """The counts of one segment and salt as one row."""
-    (w, n), (p, m) = _joined(group, "words", "word_counts", "<u8"), _joined(group, "pairs", "pair_counts", "<u4")
-    cell = (group.column("seg")[0].as_py(), group.column("salt")[0].as_py(), w.tobytes(), n.tobytes(), p.tobytes(), m.tobytes())
+    w, n, p, m = summed_counts(group)
+    cell = (group.column("seg")[0].as_py(), group.column("salt")[0].as_py(), packed(w), packed_counts(n), p.tobytes(), packed_counts(m))
     return pa.Table.from_batches([batch_of([cell], group.column_names, [LONG, LONG, BYTES, BYTES, BYTES, BYTES])])
 
 
@@ -260,23 +297,30 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(BOUNDS, counts, "right")
 
 
-SEGMENTS = "seg long, size long, bits binary, words binary, word_counts binary, tokens long, types long"
+SEGMENTS = "seg long, size long, bits binary, words binary, word_counts binary, types long"
+
+
+def built(group: pa.Table, seg_bits: int, bits_per_entry: int) -> dict:
+    """One segment of the filter, and the exact counts of its words."""
+    w, n, p, m = summed_counts(group)
+    ngrams = [(1, low_bits(word_keys(w), seg_bits), levels_of(n)), (2, p, levels_of(m))]
+    size = max(64, bits_per_entry * sum(int(level.sum()) for _, _, level in ngrams))
+    bits = np.zeros(size, bool)
+    for order, low, level in ngrams:
+        for q in range(1, int(level.max(initial=0)) + 1):
+            low, level = low[level >= q], level[level >= q]
+            for at in places(low, order, q, size):
+                bits[at] = True
+    return {
+        "seg": group.column("seg")[0].as_py(), "size": size, "bits": np.packbits(bits, bitorder="little").tobytes(),
+        "words": packed(w), "word_counts": packed_counts(n), "types": len(w),
+    }
 
 
 def _build(seg_bits: int, bits_per_entry: int):
     def run(group: pa.Table) -> pa.Table:
-        """One segment of the filter, and the exact counts of its words."""
-        (w, n), (p, m) = _joined(group, "words", "word_counts", "<u8"), _joined(group, "pairs", "pair_counts", "<u4")
-        ngrams = [(1, low_bits(w, seg_bits), levels_of(n)), (2, p, levels_of(m))]
-        size = max(64, bits_per_entry * sum(int(level.sum()) for _, _, level in ngrams))
-        bits = np.zeros(size, bool)
-        for order, low, level in ngrams:
-            for q in range(1, int(level.max(initial=0)) + 1):
-                low, level = low[level >= q], level[level >= q]
-                for at in places(low, order, q, size):
-                    bits[at] = True
-        cell = (group.column("seg")[0].as_py(), size, np.packbits(bits, bitorder="little").tobytes(), w.tobytes(), n.tobytes(), int(n.sum()), len(w))
-        return pa.Table.from_batches([batch_of([cell], [c.split()[0] for c in SEGMENTS.split(", ")], [LONG, LONG, BYTES, BYTES, BYTES, LONG, LONG])])
+        cell = tuple(built(group, seg_bits, bits_per_entry).values())
+        return pa.Table.from_batches([batch_of([cell], [c.split()[0] for c in SEGMENTS.split(", ")], [LONG, LONG, BYTES, BYTES, BYTES, LONG])])
 
     return run
 
@@ -285,9 +329,10 @@ class Segment:
     """A segment of the filter, to be probed."""
 
     def __init__(self, row: dict | None):
-        row = row or {"size": 64, "bits": bytes(8), "words": b"", "word_counts": b""}
+        row = row or {"size": 64, "bits": bytes(8), "words": b"", "word_counts": b"", "types": 0}
         self.size, self.bits = row["size"], np.frombuffer(row["bits"], np.uint8)
-        self.words, self.word_counts = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["word_counts"], "<i8")
+        self.words, self.types = unpacked(row["words"]), row["types"]
+        self.word_counts = unpacked_counts(row["word_counts"], len(self.words))
 
     def levels(self, low: np.ndarray, order: int) -> np.ndarray:
         """Levels of n-grams, by probes of level after level."""
@@ -304,82 +349,111 @@ class Segment:
             level[at] = q
         return level
 
-    def answer(self, words: np.ndarray, pairs: np.ndarray, seg_bits: int) -> tuple[bytes, bytes, bytes]:
-        """Exact counts and levels of words (whole keys), levels of pairs (low bits)."""
+    def answer(self, words: np.ndarray, pairs: np.ndarray, seg_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exact counts and levels of words (hashes), levels of pairs (low bits)."""
         at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
         exact = np.where(self.words[at] == words, self.word_counts[at], 0) if len(self.words) else np.zeros(len(words), np.int64)
-        return exact.astype("<i8").tobytes(), self.levels(low_bits(words, seg_bits), 1).tobytes(), self.levels(pairs, 2).tobytes()
+        return exact, self.levels(low_bits(word_keys(words), seg_bits), 1), self.levels(pairs, 2)
 
 
 def requests(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the slice's words and of its pairs, each once."""
-    return np.sort(word_keys(s.words)), np.unique(np.append(s.pairs(), BEGIN_KEY))
+    """The slice's words in the order of their keys, and the sorted keys of its pairs, each once."""
+    return s.words[np.argsort(word_keys(s.words))], np.unique(np.append(s.pairs(), BEGIN_KEY))
 
 
-ASKED = "seg long, salt long, slice long, words binary, pairs binary"
-ANSWERED = "slice long, seg long, exact binary, word_levels binary, pair_levels binary"
+ASKED = "seg long, salt long, slice long, words binary, word_counts binary, pairs binary, pair_counts binary"
+ANSWERED = "slice long, seg long, exact binary, word_levels binary, pair_levels binary, types long"
 
 
-def _ask(seg_bits: int, salts: int):
+def _ask(seg_bits: int, salts: int, counted: bool):
+    """Each slice's n-grams by segment; with what training texts add to their counts, if counted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows(batches):
-            w, p = requests(Slice(row))
-            cells = [
-                (seg, row["slice"] % salts, row["slice"], w[a].astype("<u8").tobytes(), low_bits(p[b], seg_bits).tobytes())
-                for seg, (a, b) in by_segment(seg_bits, w, p)
-            ]
-            yield batch_of(cells, [c.split()[0] for c in ASKED.split(", ")], [LONG, LONG, LONG, BYTES, BYTES])
+            s = Slice(row)
+            w, p = requests(s)
+            if counted:
+                n = _in_order(s, w)
+                m = np.bincount(np.searchsorted(p, s.pairs()[s.train]), minlength=len(p))
+                m[np.searchsorted(p, BEGIN_KEY)] += row["held"].count(False)
+            cells = []
+            for seg, (a, b) in by_segment(seg_bits, word_keys(w), p):
+                counts = (packed_counts(n[a]), packed_counts(m[b])) if counted else (b"", b"")
+                cells.append((seg, row["slice"] % salts, row["slice"], packed(w[a]), counts[0], low_bits(p[b], seg_bits).tobytes(), counts[1]))
+            yield batch_of(cells, [c.split()[0] for c in ASKED.split(", ")], [LONG, LONG, LONG, BYTES, BYTES, BYTES, BYTES])
 
     return run
 
 
-def _answer(seg_bits: int):
-    names, kinds = [c.split()[0] for c in ANSWERED.split(", ")], [LONG, LONG, BYTES, BYTES, BYTES]
+def _in_order(s: Slice, w: np.ndarray) -> np.ndarray:
+    """How often each of the words w, an order of the slice's, stands in training texts."""
+    return np.bincount(s.codes[s.train], minlength=len(s.words))[np.searchsorted(s.words, w)]
+
 
+def answers_of(asked: pa.Table, own: Segment, seg_bits: int) -> pa.Table:
+    """What the slices ask of a segment, probed together."""
+    words = [unpacked(x) for x in asked.column("words").to_pylist()]
+    pairs = [np.frombuffer(x, "<u4") for x in asked.column("pairs").to_pylist()]
+    (w, back), (p, again) = (np.unique(np.concatenate(x), return_inverse=True) for x in (words, pairs))
+    exact, wl, pl = own.answer(w, p, seg_bits)
+    exact, wl, pl, cells, a, b = exact[back], wl[back], pl[again], [], 0, 0
+    for i, (x, y) in enumerate(zip(words, pairs, strict=True)):
+        c, d = a + len(x), b + len(y)
+        cells.append((
+            asked.column("slice")[i].as_py(), asked.column("seg")[i].as_py(), packed_counts(exact[a:c]), wl[a:c].tobytes(), pl[b:d].tobytes(),
+            0 if i else own.types,
+        ))
+        a, b = c, d
+    return pa.Table.from_batches([batch_of(cells, [c.split()[0] for c in ANSWERED.split(", ")], [LONG, LONG, BYTES, BYTES, BYTES, LONG])])
+
+
+def _answer(seg_bits: int):
     def run(asked: pa.Table, segment: pa.Table) -> pa.Table:
-        cells, own = [], Segment(segment.to_pylist()[0] if len(segment) else None)
-        if len(asked):
-            # what the slices ask for is probed together
-            columns = [asked.column(c).to_pylist() for c in ("words", "pairs")]
-            w, p = np.frombuffer(b"".join(columns[0]), "<u8"), np.frombuffer(b"".join(columns[1]), "<u4")
-            (w, back), (p, again) = (np.unique(x, return_inverse=True) for x in (w, p))
-            exact, wl, pl = own.answer(w, p, seg_bits)
-            exact, wl, pl = np.frombuffer(exact, "<i8")[back], np.frombuffer(wl, np.uint8)[back], np.frombuffer(pl, np.uint8)[again]
-            a = b = 0
-            for i, (x, y) in enumerate(zip(*columns, strict=True)):
-                c, d = a + len(x) // 8, b + len(y) // 4
-                cells.append((asked.column("slice")[i].as_py(), asked.column("seg")[i].as_py(), exact[a:c].tobytes(), wl[a:c].tobytes(), pl[b:d].tobytes()))
-                a, b = c, d
-        return pa.Table.from_batches([batch_of(cells, names, kinds)])
+        own = Segment(segment.to_pylist()[0] if len(segment) else None)
+        own.types = 0
+        return answers_of(asked, own, seg_bits) if len(asked) else batchless()
+
+    return run
+
+
+def batchless() -> pa.Table:
+    return pa.Table.from_batches([batch_of([], [c.split()[0] for c in ANSWERED.split(", ")], [LONG, LONG, BYTES, BYTES, BYTES, LONG])])
+
+
+def _build_and_answer(seg_bits: int, bits_per_entry: int):
+    def run(asked: pa.Table) -> pa.Table:
+        return answers_of(asked, Segment(built(asked, seg_bits, bits_per_entry)), seg_bits)
 
     return run
 
 
 #: For each token the level of its word and of the pair that ends there; the texts' exact sums.
-LEVELS = "doc_ids array<{id}>, held array<boolean>, counts array<int>, known array<long>, logs array<double>, begin int, words binary, pairs binary"
+LEVELS = "doc_ids array<{id}>, held array<boolean>, counts array<int>, known array<long>, logs array<double>, begin int, words binary, pairs binary, types long"
 
 
-def placed(row: dict, exact: bytes, word_levels: bytes, pair_levels: bytes, kind: pa.DataType) -> pa.RecordBatch:
+def placed(row: dict, exact: np.ndarray, word_levels: bytes, pair_levels: bytes, types: int, kind: pa.DataType) -> pa.RecordBatch:
     """The answers to a slice's requests, in their order, laid on its tokens."""
     s = Slice(row)
     w, p = requests(s)
-    at = np.searchsorted(w, word_keys(s.words))
-    exact = np.frombuffer(exact, "<i8")[at]
-    levels, pairs = np.frombuffer(word_levels, np.uint8)[at], np.frombuffer(pair_levels, np.uint8)
+    at = np.empty(len(w), np.int64)
+    at[np.searchsorted(s.words, w)] = np.arange(len(w))
+    exact, levels, pairs = exact[at], np.frombuffer(word_levels, np.uint8)[at], np.frombuffer(pair_levels, np.uint8)
     begin = int(pairs[np.searchsorted(p, BEGIN_KEY)])
     cell = (
         row["doc_ids"], row["held"], row["counts"], np.add.reduceat((exact > 0).astype(np.int64)[s.codes], s.first).tolist(),
         np.add.reduceat(np.log10(exact + ALPHA)[s.codes], s.first).tolist(), begin,
-        levels[s.codes].tobytes(), pairs[np.searchsorted(p, s.pairs())].tobytes(),
+        levels[s.codes].tobytes(), pairs[np.searchsorted(p, s.pairs())].tobytes(), types,
     )
-    kinds = [pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(LONG), pa.list_(pa.float64()), pa.int32(), BYTES, BYTES]
+    kinds = [pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(LONG), pa.list_(pa.float64()), pa.int32(), BYTES, BYTES, LONG]
     return batch_of([cell], [c.split()[0] for c in LEVELS.split(", ")], kinds)
 
 
 def _place(one: pa.Table, answers: pa.Table) -> pa.Table:
     answers = answers.sort_by("seg")
-    joined = [b"".join(answers.column(c).to_pylist()) for c in ("exact", "word_levels", "pair_levels")]
-    return pa.Table.from_batches([placed(one.to_pylist()[0], *joined, one.schema.field("doc_ids").type.value_type)])
+    words, pairs = (answers.column(c).to_pylist() for c in ("word_levels", "pair_levels"))
+    exact = np.concatenate([unpacked_counts(x, len(w)) for x, w in zip(answers.column("exact").to_pylist(), words, strict=True)])
+    types = sum(answers.column("types").to_pylist())
+    return pa.Table.from_batches([placed(one.to_pylist()[0], exact, b"".join(words), b"".join(pairs), types, one.schema.field("doc_ids").type.value_type)])
 
 
 def _probe(shared, seg_bits: int):
@@ -389,10 +463,11 @@ def _probe(shared, seg_bits: int):
         for batch in batches:
             for row in rows([batch]):
                 w, p = requests(Slice(row))
-                answers = [
-                    filters.get(seg, Segment(None)).answer(w[a], low_bits(p[b], seg_bits), seg_bits) for seg, (a, b) in by_segment(seg_bits, w, p)
+                got = [
+                    filters.get(seg, Segment(None)).answer(w[a], low_bits(p[b], seg_bits), seg_bits) for seg, (a, b) in by_segment(seg_bits, word_keys(w), p)
                 ]
-                yield placed(row, *map(b"".join, zip(*answers, strict=True)), batch.schema.field("doc_ids").type.value_type)
+                exact, words, pairs = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield placed(row, exact, words.tobytes(), pairs.tobytes(), 0, batch.schema.field("doc_ids").type.value_type)
 
     return run
 
@@ -465,29 +540,36 @@ def fitted_weights(cells: dict[int, int]) -> np.ndarray:
 
 
 def fit(
-    docs: DataFrame, train: Column, bits_per_entry: int = BITS_PER_ENTRY, broadcast_bytes: int = BROADCAST_BYTES, segment: int = SEGMENT
+    docs: DataFrame, train: Column, bits_per_entry: int = BITS_PER_ENTRY, broadcast_bytes: int = BROADCAST_BYTES, segment: int = SEGMENT,
+    most_slices: int = MOST_SLICES,
 ) -> tuple[Model, DataFrame]:
     """The model, and the levels of all texts' tokens (LEVELS) as a stored table."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", (~train).alias("held_out"), F.encode("text", "utf-8").alias("text"))
     slices = stored(texts.mapInArrow(_slices, SLICES.format(id=kind)), "lm-slices")
     n_train, n_slices = slices.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count("*")).first()
-    seg_bits, salts = max(0, (2 * n_train // segment).bit_length()), 1 + n_slices // 65536
-    counted = slices.mapInArrow(_count(seg_bits, salts), COUNTED)
-    if salts > 1:
-        counted = counted.groupBy("seg", "salt").applyInArrow(_merged, COUNTED)
-    built = stored(counted.groupBy("seg").applyInArrow(_build(seg_bits, bits_per_entry), SEGMENTS), "lm-filter")
-    tokens, types, size = built.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types")], F.sum("size") / 8 + 16 * F.sum("types")).first()
-    form = LEVELS.format(id=kind)
-    if (size or 0) <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast({r["seg"]: r.asDict() for r in built.collect()})
+    seg_bits, salts = max(0, (2 * n_train // segment).bit_length()), 1 + n_slices // most_slices
+    form, is_small, types = LEVELS.format(id=kind), n_train * TOKEN_BYTES <= broadcast_bytes, 0
+    if is_small or salts > 1:
+        counted = slices.mapInArrow(_count(seg_bits, salts), COUNTED)
+        if salts > 1:
+            counted = counted.groupBy("seg", "salt").applyInArrow(_merged, COUNTED)
+        segments = stored(counted.groupBy("seg").applyInArrow(_build(seg_bits, bits_per_entry), SEGMENTS), "lm-filter")
+        types = segments.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    if is_small:
+        shared = spark.sparkContext.broadcast({r["seg"]: r.asDict() for r in segments.collect()})
         levels = slices.mapInArrow(_probe(shared, seg_bits), form)
     else:
-        asked = slices.mapInArrow(_ask(seg_bits, salts), ASKED)
-        copies = built.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        answers = asked.groupBy("seg", "salt").cogroup(copies.groupBy("seg", "salt")).applyInArrow(_answer(seg_bits), ANSWERED)
+        asked = slices.mapInArrow(_ask(seg_bits, salts, salts == 1), ASKED)
+        if salts == 1:
+            answers = asked.groupBy("seg").applyInArrow(_build_and_answer(seg_bits, bits_per_entry), ANSWERED)
+        else:
+            copies = segments.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+            answers = asked.groupBy("seg", "salt").cogroup(copies.groupBy("seg", "salt")).applyInArrow(_answer(seg_bits), ANSWERED)
         levels = slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_place, form)
-    levels, model = stored(levels, "lm-levels"), Model(int(tokens), int(types))
+    levels = stored(levels, "lm-levels")
+    types += levels.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    model = Model(int(n_train), int(types))
     cells = levels.mapInArrow(_ratios(model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     model.weights = fitted_weights({r["cell"]: r["n"] for r in cells})
     return model, levels

@@ -6,9 +6,11 @@ embedded, and given a gated attention weight, tanh(V h) * sigmoid(U h), that is
 learned from document labels alone.  The weighted sum of the embeddings is the
 document's representation, and its logistic score is the result.
 
-Learning takes a bounded sample: ``train_rows`` labelled documents (by hash; all
-if there are fewer), whose passages' encodings are the only rows that the driver
-gets.  Scoring is a map over whole texts.
+Learning takes a bounded sample, by hash: at most about ``train_rows`` labelled
+documents and ``train_bytes`` of their texts, without texts of more than a hundredth
+of that; their passages' encodings are the only rows that the driver gets.  Scoring
+is a map over whole texts.  A text is encoded in pieces of ``PIECE`` words, whose
+attention is pooled as it comes, so memory doesn't follow the longest text.
 
 Defined cases: a null text, or one without words, is a bag of one empty passage
 and gets a score too; repeated rows are scored each; labels without a document,
@@ -18,6 +20,7 @@ row the score is 0.5; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,11 @@ from pyspark.sql import functions as F
 PASSAGE = 40
 TRAIN_ROWS = 4_000
 PAIR_CELLS = 64
+TRAIN_BYTES = 32 << 20
 SLICE = 1 << 20
+#: Words of a piece: whole passages.
+PIECE = PASSAGE << 11
+WORDS = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 HIDDEN, GATE = 24, 12
 
 
@@ -52,6 +59,19 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 N_FEATURES = N_CLASSES + PAIR_CELLS + 6
 
 
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text cut before every PIECE-th word; a short one as it is."""
+    if len(text) < 2 * PIECE:
+        yield text
+        return
+    at = 0
+    for i, m in enumerate(WORDS.finditer(text)):
+        if i and i % PIECE == 0:
+            yield text[at : m.start()]
+            at = m.start()
+    yield text[at:]
+
+
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage, and the number of passages of each text (>= 1)."""
     # a space before and after each text keeps words of different texts apart
@@ -177,10 +197,32 @@ class Mil:
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Score of each text, and the place (in words) of its weightiest passage."""
-        x, bags = encode(texts)
-        f = self.forward(x, bags)
-        top = [int(f["a"][s : s + n].argmax()) * PASSAGE for s, n in zip(f["at"].tolist(), bags.tolist(), strict=True)]
-        return f["y"], np.array(top)
+        short = [i for i, t in enumerate(texts) if len(t) < 2 * PIECE]
+        score, top = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        if short:
+            x, bags = encode([texts[i] for i in short])
+            f = self.forward(x, bags)
+            score[short] = f["y"]
+            top[short] = [int(f["a"][s : s + n].argmax()) * PASSAGE for s, n in zip(f["at"].tolist(), bags.tolist(), strict=True)]
+        for i in set(range(len(texts))) - set(short):
+            score[i], top[i] = self.pooled(texts[i])
+        return score, top
+
+    def pooled(self, text: bytes) -> tuple[float, int]:
+        """Score and weightiest passage of one text, piece after piece: sums of weights and
+        of weighted passages, scaled to the largest logit so far."""
+        p, most, weight, total, top, before = self.p, -np.inf, 0.0, np.zeros(HIDDEN), 0, 0
+        for piece in pieces(text):
+            x, bags = encode([piece])
+            z = np.clip((x - self.mean) / self.scale, -8, 8)
+            h = np.tanh(z @ p["E"] + p["e"])
+            s = (np.tanh(h @ p["V"]) * sigmoid(h @ p["U"])) @ p["w"]
+            if s.max() > most:
+                shrink = np.exp(most - s.max())
+                weight, total, most, top = weight * shrink, total * shrink, s.max(), (before + int(s.argmax())) * PASSAGE
+            a = np.exp(s - most)
+            weight, total, before = weight + a.sum(), total + a @ h, before + int(bags[0])
+        return float(sigmoid(total / weight @ p["c"] + p["b"][0])), top
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +234,16 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, train_rows: int = TRAIN_ROWS) -> Mil | None:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Mil | None:
     """The model, from at most about train_rows labelled documents where train holds."""
     known = labels.where(train & F.col("quality").isNotNull()).select("doc_id", "quality").dropna()
-    n = known.count()
-    if n > train_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(train_rows / n * (1 << 20)))
-    # bounded by train_rows rows
-    rows = docs.select("doc_id", F.encode("text", "utf-8").alias("text")).join(F.broadcast(known), "doc_id").select("quality", "text")
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).where(F.col("size") <= train_bytes // 100)
+    n, size = known.join(sized, "doc_id").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    share = min(1.0, train_rows / max(n, 1), train_bytes / max(size, 1))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # bounded by train_rows rows, as long as ids don't repeat without end
+    rows = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= train_bytes // 100).select("doc_id", F.encode("text", "utf-8").alias("text"))
+    rows = rows.join(F.broadcast(known), "doc_id").select("quality", "text")
     got = rows.mapInArrow(_encode, "y double, n int, x binary").orderBy(F.xxhash64("x")).collect()
     if not got:
         return None

@@ -36,7 +36,7 @@ ORACLE["op1_license_scan"] = licenses.oracle()
 
 @query
 def op3_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = telephony.decode_media(telephony.store_media(table(spark, sf_dir, "documents")))
+    decoded = telephony.store_pcm(telephony.store_media(table(spark, sf_dir, "documents")))
     parts = ["codec", "samples", "peak", "energy", "crossings", F.crc32("pcm")]
     return decoded.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",

@@ -10,9 +10,11 @@ reported by the first variant that it shares only.
 
 Scale: only distinct fingerprints are indexed, so copies cost nothing, however
 many.  A variant that more than ``DENSE`` fingerprints share is not joined:
-its members are dealt into blocks, pairs of blocks are compared with numpy, and
-only a spanning forest of the links leaves a task (components stay exact, and
-no group's pairs are emitted).  Components come from alternating large-star and
+its members meet in the values between them.  Two fingerprints are linked just
+if some value is within ``distance // 2`` bits of one and within the rest of the
+other; each value keeps one member of the first kind as its hub, to which the
+others are linked.  That is a fixed number of rows a member (2,081 at three
+bits), whatever the group's size, and the components stay exact.  Components come from alternating large-star and
 small-star steps, each round written to the shared folder; nothing but counts
 reaches the driver.
 
@@ -25,10 +27,9 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,10 @@ from xxhash import xxh64_intdigest
 from brickline.llm.common import stored
 
 SEED = 42
-#: Fingerprints that share a variant before the blockwise way takes over.
+#: Fingerprints that share a variant before the values between them take over.
 DENSE = 1024
+#: Bytes of variants that a task makes, and bytes of a variant's row.
+TASK_BYTES, VARIANT_BYTES = 64 << 20, 40
 #: Shingles hashed before their bits are counted.
 BATCH = 1 << 19
 LANES = np.uint64(0x0101010101010101)
@@ -125,36 +128,27 @@ def variants(distinct: DataFrame, distance: int) -> DataFrame:
     return distinct.selectExpr("fp", f"explode(concat({cells})) as v").select("v.seg", "v.hole", "v.rest", "fp")
 
 
-def _forest(distance: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Spanning links of the fingerprints of one pair of blocks."""
-        values = np.unique(group["fp"].to_numpy())
-        u = values.view(np.uint64)
-        above = list(range(len(u)))
-
-        def top(i: int) -> int:
-            while above[i] != i:
-                above[i] = above[above[i]]
-                i = above[i]
-            return i
-
-        links = []
-        for i in range(len(u)):
-            near = np.flatnonzero(np.bitwise_count(u[i + 1 :] ^ u[i]) <= distance) + i + 1
-            for j in near.tolist():
-                a, b = top(i), top(j)
-                if a != b:
-                    above[b] = a
-                    links.append((values[i], values[j]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+def masks(bits: int) -> list[int]:
+    """All values of up to so many set bits, as signed longs."""
+    every = [sum(1 << b for b in c) for n in range(bits + 1) for c in combinations(range(64), n)]
+    return [x - (1 << 64) if x >> 63 else x for x in every]
 
-    return run
+
+def hub_links(members: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) of fingerprints (fp) with the same components as all links within distance."""
+    near = lambda bits: F.explode(F.lit(np.array(masks(bits), np.int64))).alias("mask")
+    hubs = members.select("fp", near(distance // 2)).groupBy(F.expr("fp ^ mask").alias("between")).agg(F.min("fp").alias("hub"))
+    others = members.select("fp", near(distance - distance // 2)).select("fp", F.expr("fp ^ mask").alias("between"))
+    met = others.join(hubs, "between").where("fp <> hub")
+    return met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
 def links(distinct: DataFrame, distance: int = 3, dense: int = DENSE) -> DataFrame:
-    """Linked fingerprints (a, b), a < b.  distinct: one column, fp."""
+    """Linked fingerprints (a, b), a < b; of groups that share a variant with more than
+    dense members, links with the same components.  distinct: one column, fp."""
     # a stored table of fingerprints is small; its variants are many
-    index = variants(distinct.repartition("fp"), distance)
+    rows = distinct.count() * sum(bits for _, bits in segments(distance))
+    index = variants(distinct.repartition(max(8, rows * VARIANT_BYTES // TASK_BYTES), "fp"), distance)
     key = ["seg", "hole", "rest"]
     crowded = stored(
         index.groupBy(*key).count().where(F.col("count") > dense), "simhash-dense"
@@ -174,14 +168,7 @@ def links(distinct: DataFrame, distance: int = 3, dense: int = DENSE) -> DataFra
     )
     if none_crowded:
         return pairs
-    members = index.join(crowded, key).withColumn("blocks", F.ceil(F.col("count") / (dense // 2)).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    # block i meets block j in group (i, j), i <= j
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        *key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"
-    )
-    forest = dealt.groupBy(*key, "i", "j").applyInPandas(_forest(distance), "a long, b long")
-    return pairs.unionByName(forest.distinct())
+    return pairs.unionByName(hub_links(stored(index.join(crowded, key).select("fp").distinct(), "simhash-members"), distance))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,9 +233,12 @@ def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents named by kept (k_id, k_hash: doc_id and the text's hash)."""
     text_hash = F.xxhash64("text")
     out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("k_id")) & (text_hash == F.col("k_hash")), "left_semi")
-    again = docs.groupBy("doc_id", text_hash.alias("h")).count().where("count > 1")
+    again = stored(docs.groupBy(F.col("doc_id").alias("i"), text_hash.alias("h")).count().where("count > 1"), "repeated")
     if again.isEmpty():
         return out
-    # rows repeated with id and text are copies of one another
-    whole = out.select(F.struct(*[out[f"`{c}`"] for c in out.columns]).alias("row"), F.col("doc_id").alias("i"), text_hash.alias("h"))
-    return whole.groupBy("i", "h").agg(F.min("row").alias("row")).select("row.*")
+    # rows repeated with id and text are copies of one another: one stays, the first as JSON
+    same = out["doc_id"].eqNullSafe(F.col("i")) & (text_hash == F.col("h"))
+    whole = F.struct(*[out[f"`{c}`"] for c in out.columns])
+    repeated = out.join(again, same).select("i", "h", whole.alias("row"), F.to_json(whole).alias("as_text"))
+    first = repeated.groupBy("i", "h").agg(F.min_by("row", "as_text").alias("row")).select("row.*")
+    return out.join(again, same, "left_anti").unionByName(first)

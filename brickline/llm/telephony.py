@@ -5,7 +5,8 @@ a WAV container with the codec's format tag, as a table in the shared folder.
 ``decode_media`` reads that table back, takes the payload out of the container,
 expands mu-law and A-law through 256-entry tables, decodes ADPCM with numpy
 across blocks (one step of the nibble loop serves all blocks of a batch), and
-resamples to twice the rate with a half-band filter.
+resamples from 16 to 8 kHz with a half-band filter.  ``store_pcm`` writes that
+as a table of the shared folder too and reads it back.
 
 Scale: two map-only passes, no shuffle, nothing on the driver.  A task works on
 slices of about ``SLICE`` payload bytes, whatever the batch that Arrow hands it.
@@ -31,7 +32,8 @@ from brickline.llm.common import stored
 UNIT = 576
 #: Bytes of an ADPCM block; it divides UNIT.
 BLOCK = 288
-RATE = 8000
+#: Samples a second of the media, and of the stored PCM.
+RATE, PCM_RATE = 16_000, 8_000
 SLICE = 4 << 20
 MULAW, ALAW, ADPCM = "mulaw", "alaw", "adpcm"
 CODECS = (MULAW, ALAW, ADPCM)
@@ -114,14 +116,12 @@ def adpcm_decoded(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def doubled(pcm: np.ndarray) -> np.ndarray:
-    """Twice the sample rate: a half-band filter between samples, edges held."""
-    x = np.empty(len(pcm) + 3, dtype=np.int32)
-    x[1:-2], x[0], x[-2:] = pcm, pcm[0], pcm[-1]
-    out = np.empty(2 * len(pcm), dtype=np.int16)
-    out[::2] = pcm
-    out[1::2] = np.clip((9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4, -32768, 32767)
-    return out
+def halved(pcm: np.ndarray) -> np.ndarray:
+    """Half the sample rate: every second sample of a half-band low-pass, edges held."""
+    x = np.pad(pcm.astype(np.int32), (3, 4), mode="edge")
+    n = -(-len(pcm) // 2)
+    at = lambda k: x[3 + k : 3 + k + 2 * n : 2][:n]
+    return np.clip((16 * at(0) + 9 * (at(-1) + at(1)) - at(-3) - at(3) + 16) >> 5, -32768, 32767).astype(np.int16)
 
 
 def slices(sizes: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -176,7 +176,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at += len(b)
             cols: list[list] = [[] for _ in range(11)]
             for i, (codec, payload) in enumerate(parsed):
-                out = doubled(pcm[i])
+                out = halved(pcm[i])
                 wide = out.astype(np.int64)
                 row = (
                     codec, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
@@ -206,5 +206,10 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 
 def decode_media(media: DataFrame) -> DataFrame:
-    """Decoded and resampled PCM (16 bit, little-endian, twice the rate) with digests."""
+    """Decoded and resampled PCM (16 bit, little-endian, PCM_RATE) with digests."""
     return media.mapInArrow(_decode, DECODED.format(id=dict(media.dtypes)["doc_id"]))
+
+
+def store_pcm(media: DataFrame) -> DataFrame:
+    """The stored table of resampled PCM, its digests and figures beside it."""
+    return stored(decode_media(media), "media-pcm")

@@ -55,7 +55,7 @@ def test_against_brute_force(spark):
     check(spark, near_texts())
 
 
-def test_crowded_variants_take_the_blockwise_way(spark, monkeypatch):
+def test_crowded_variants_meet_in_the_values_between(spark, monkeypatch):
     whole = simhash.links
     monkeypatch.setattr(simhash, "links", lambda d, k: whole(d, k, dense=3))
     check(spark, near_texts(5))
@@ -82,3 +82,20 @@ def test_links_find_every_pair(spark, distance):
     got = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), distance).collect()
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= distance}
     assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2, 3, 4])
+def test_hubs_have_the_components_of_all_links(spark, distance):
+    rng = np.random.default_rng(distance + 10)
+    values = {int(s) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for s in rng.integers(0, 1 << 63, 8, dtype=np.uint64) for k in (0, 1, 2, 2, 3, 3, 4, 5)}
+    fps = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    found = simhash.hub_links(spark.createDataFrame([(v,) for v in fps], "fp long"), distance)
+    got = {r["node"]: r["root"] for r in simhash.components(found).collect()}
+    want = brute_components([v % (1 << 64) for v in fps], distance)
+    assert [got.get(v, v) for v in fps] == [fps[i] for i in want]
+
+
+def test_repeated_rows_with_maps(spark):
+    rows = [(1, "a b c d", {"k": 2}), (1, "a b c d", {"k": 1}), (2, "x y z", {"k": 3})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    assert sorted((r["doc_id"], r["more"]["k"]) for r in simhash.deduplicated(docs).collect()) == [(1, 1), (2, 3)]

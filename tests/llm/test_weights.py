@@ -59,7 +59,7 @@ def brute_scores(texts, train):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "segment": 64}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "segment": 64}, {"broadcast_bytes": 0, "segment": 64, "most_slices": 2}])
 def test_scores_against_brute_force(spark, monkeypatch, options):
     rng = random.Random(2)
     some = [" ".join(rng.choices([f"w{int(rng.paretovariate(0.6))}" for _ in range(60)], k=rng.randrange(1, 200))) for _ in range(120)]
@@ -71,6 +71,12 @@ def test_scores_against_brute_force(spark, monkeypatch, options):
     assert np.allclose([r["score"] for r in got], brute_scores(some, train), rtol=1e-9)
 
 
+def test_counts_travel_in_bytes():
+    n = np.array([0, 1, 254, 255, 256, 7, 1 << 40])
+    assert ngram_lm.unpacked_counts(ngram_lm.packed_counts(n), len(n)).tolist() == n.tolist()
+    assert ngram_lm.unpacked(ngram_lm.packed(np.array([0, (1 << 48) - 1], np.uint64))).tolist() == [0, (1 << 48) - 1]
+
+
 def test_scores_of_an_empty_table_and_without_training_rows(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string")
     assert ngram_lm.score_documents(docs.limit(0), F.lit(True)).count() == 0
