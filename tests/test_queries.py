@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from brickline.plans.catalogue_queries import ORACLE, QUERIES
+from brickline.plans.registry import ORACLE, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
