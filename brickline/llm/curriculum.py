@@ -14,7 +14,8 @@ level, found in closed form with window functions over one row per source.
 
 Scale: cumulative sums run in two steps, inside (source, hash bin) and over at
 most 4,096 bins of a source, so a source with a third of all rows is spread
-over as many groups as any other.  Only the range sort moves whole rows.
+over as many groups as any other.  Whole rows move in the range sort, and meet their
+places before it: by a broadcast of the narrow plan while that is small, else by a join.
 
 Defined cases: a null text has no words and is never taken; a null source is a
 source of its own (last); a null id hashes as the empty text; repeated rows are
@@ -29,8 +30,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brickline.llm.common import WORD
+from brickline.llm.common import WORD, stored
 
+#: Up to this measured size the plan is broadcast to the texts.
+BROADCAST_BYTES = 32 << 20
 Knots = Sequence[tuple[float, float]]
 WEIGHTS = (3, 1, 2)
 #: Early, even and late emphasis, taken in turn as the weights are.
@@ -81,6 +84,12 @@ def source_targets(
     )
 
 
+def place_hash() -> Column:
+    """A document's place in its source: the text's hash spreads null and repeated ids, and orders them."""
+    own = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
+    return F.md5(own.cast("binary"))
+
+
 def mix_plan(
     docs: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -97,9 +106,7 @@ def mix_plan(
     nothing is taken.
     """
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    # the text's hash spreads null and repeated ids, and orders them
-    own = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
-    h = F.md5(own.cast("binary"))
+    h = place_hash()
     rows = docs.select(
         *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if keep_row else []),
         "doc_id", "source", words.alias("size"), h.alias("h"), F.substring(h, 1, 3).alias("bin"),
@@ -134,7 +141,7 @@ def mix_plan(
 
     return out.select(
         *(["row"] if keep_row else []),
-        "doc_id", "source", "size", "source_size", "target", "start",
+        "doc_id", "h", "source", "size", "source_size", "target", "start",
         F.array(*takes).alias("takes"),
         F.array(*[F.when(t > 0, position(b)) for t, b in zip(takes, begin, strict=True)]).alias("positions"),
     )
@@ -146,10 +153,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     Here a document is whole or absent: a copy counts when at least half of it
     lies below the target, so a source differs from its target by half a document.
     """
-    plan = mix_plan(docs, keep_row=True, **options)
-    copies = plan.select("row", "size", F.posexplode(F.arrays_zip("takes", "positions")).alias("epoch", "copy"))
-    return (
-        copies.where((F.col("copy.takes") > 0) & (F.col("copy.takes") * 2 >= F.col("size")))
-        .orderBy("copy.positions", "epoch")
-        .select("row.*")
-    )
+    def copies(plan: DataFrame, *keep: str) -> DataFrame:
+        each = plan.select(*keep, "size", F.posexplode(F.arrays_zip("takes", "positions")).alias("epoch", "copy"))
+        whole = each.where((F.col("copy.takes") > 0) & (F.col("copy.takes") * 2 >= F.col("size")))
+        return whole.select(*keep, "epoch", F.col("copy.positions").alias("position"))
+
+    plan = stored(copies(mix_plan(docs, **options), "h"), "mix-plan")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    if plan.groupBy("h", "epoch").count().where("count > 1").isEmpty():
+        # texts meet their places, and move once, in the sort
+        small = F.broadcast(plan) if plan.count() * 96 <= BROADCAST_BYTES else plan
+        placed = docs.select(row, place_hash().alias("own")).join(small, F.col("own") == F.col("h"))
+    else:
+        placed = copies(mix_plan(docs, keep_row=True, **options), "row")
+    return placed.orderBy("position", "epoch").select("row.*")
