@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,12 +89,25 @@ def squeezed_lines(c: Column) -> Column:
     return F.array_join(F.filter(clean, lambda x: x != ""), "\n")
 
 
+def unescaped(c: Column) -> Column:
+    """HTML entities, named (with their semicolon) and numeric, to characters; others stay."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+
+    def piece(x: Column, i: Column) -> Column:
+        name = F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexed = F.when(name.rlike("^#[xX]"), F.substring(name, 3, 6)).otherwise(F.hex(F.substring(name, 2, 7).try_cast("long")))
+        point = F.conv(hexed, 16, 10).try_cast("long")
+        char = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+        valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+        found = F.when(F.startswith(name, F.lit("#")), F.when(valid, char)).otherwise(F.element_at(names, name))
+        return F.when((i > 0) & (name != "") & found.isNotNull(), F.concat(found, F.substring(x, F.length(name) + 2, F.length(x)))).when(i > 0, F.concat(F.lit("&"), x)).otherwise(x)
+
+    return F.array_join(F.transform(F.split(text_of(c), "&"), piece), "")
+
+
 def strip_html(c: Column) -> Column:
-    """Tags to spaces, the common entities to characters, white space squeezed."""
-    out = F.regexp_replace(text_of(c), r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
+    """Tags to blanks, entities to characters; line feeds stay, without white space around them."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(text_of(c), r"<[^>]*>", " ")), r"\s*\n\s*", "\n"))
 
 
 def clean_notice(c: Column) -> Column:

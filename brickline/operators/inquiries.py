@@ -82,6 +82,9 @@ def candidates(inquiries: DataFrame, hints: DataFrame) -> DataFrame:
 def chosen(pairs: DataFrame) -> DataFrame:
     """The inquiries that messages answer.
 
+    A message that names inquiries (is_named, if there is that column) answers all of its
+    candidates.
+
     pairs: mail_id, inquiry_id, number (null where the message names none), score,
     by_supplier, by_project (whether the message hints at either).  Several candidates
     need a supplier; without any hint the best needs LEAST points and a lead; without
@@ -96,7 +99,8 @@ def chosen(pairs: DataFrame) -> DataFrame:
     numbered = hinted | ((F.col("score") >= LEAST) & (alone | (lead >= LEAD)))
     unnumbered = (F.col("score") >= LEAST_UNNUMBERED) & (alone | (lead >= LEAD_UNNUMBERED))
     good = (F.col("nth_of_key") == 1) & (alone | F.col("by_supplier")) & F.when(F.col("number").isNull(), unnumbered).otherwise(numbered)
-    return ranked.where(good | (F.col("n_mail") == 1)).drop("nth_of_key", "second", "n_number", "n_mail")
+    named = F.coalesce(F.col("is_named"), F.lit(False)) if "is_named" in pairs.columns else F.lit(False)
+    return ranked.where(named | good | (F.col("n_mail") == 1)).drop("nth_of_key", "second", "n_number", "n_mail")
 
 
 def suggestion_score(suggested: Column, offered: Column, article: Column, offer_text: Column, dn: Column, maker: Column, supplier: Column) -> Column:

@@ -26,3 +26,9 @@ def in_region(lat: Column, lng: Column, city: Column, centre: tuple[float, float
 def geocoded(df: DataFrame, city: str, places: DataFrame) -> DataFrame:
     """Coordinates from a table (city, lat, lng) of known places."""
     return df.join(places.select(F.lower("city").alias("place"), "lat", "lng"), F.lower(F.col(city)) == F.col("place"), "left").drop("place")
+
+
+def relevant(df: DataFrame, source: str = "source", score: str = "relevance", least: int = 10, floor: int = 15, floored: str = "nrw") -> DataFrame:
+    """Notices of one source get at least the floor; those of the others below `least` go."""
+    own = F.col(source).eqNullSafe(F.lit(floored))
+    return df.where(own | (F.col(score) >= least)).withColumn(score, F.when(own, F.greatest(F.col(score), F.lit(floor))).otherwise(F.col(score)))

@@ -318,8 +318,8 @@ def geo_radius(spark, sf):
     return df.select("c_custkey", F.round(km, 3).alias("km"), near.alias("in_region"))
 
 
-@query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'),
-'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'))) AS clean_md5 FROM pages""")
+@query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'),
+'&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s*\n\s*', chr(10), 'g'))) AS clean_md5 FROM pages""")
 def html_clean(spark, sf):
     return Tables(spark, sf).pages.select("page_id", F.md5(txt.strip_html(c("html")).cast("binary")).alias("clean_md5"))
 
@@ -431,10 +431,11 @@ def dedupe_richer(spark, sf):
     return relational.richer(df, ["conv_id"], "at", ["role"], "text").select("conv_id", "role", F.length("text").alias("n"), "merged")
 
 
-@query("""SELECT conv_id, turn, role, CASE WHEN contains(lower(text), 'angebot') OR contains(lower(text), 'the') THEN 'offer'
-WHEN turn = 0 AND (contains(lower(text), 'que') OR contains(lower(text), 'der')) THEN 'new_document' ELSE 'ignored' END AS kind, count(*) AS n FROM conversations GROUP BY ALL""")
+@query("""SELECT conv_id, turn, role, CASE WHEN contains(lower(text), 'tbx-inq') OR contains(lower(text), 'tbx-proj') OR contains(lower(text), 'angebot') OR contains(lower(text), 'the') THEN 'offer' WHEN turn <> 0 THEN 'ignored'
+WHEN contains(lower(text), 'los') AND NOT (contains(lower(text), 'que') OR contains(lower(text), 'der')) THEN 'ignored' WHEN contains(lower(text), 'que') OR contains(lower(text), 'der') OR contains(lower(text), 'en') THEN 'new_document'
+ELSE 'ignored' END AS kind, count(*) AS n FROM conversations GROUP BY ALL""")
 def classify_message(spark, sf):
-    kind = ingest.classified(F.lit(""), c("text"), c("turn") == 0, ("angebot", "the"), ("que", "der"))
+    kind = ingest.classified(F.lit(""), c("text"), c("turn") == 0, ("angebot", "the"), ("que", "der"), ("los",), ("en",))
     return Tables(spark, sf).conversations.groupBy("conv_id", "turn", "role", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 

@@ -9,10 +9,68 @@ from pyspark.sql.types import StructType
 from brickline.functions.text import contains_any
 
 
-def classified(subject: Column, body: Column, has_document: Column, offer_words: tuple[str, ...], order_words: tuple[str, ...]) -> Column:
-    """offer, new_document or ignored; the first test that holds decides."""
-    text = F.lower(F.concat_ws(" ", subject, body))
-    return F.when(contains_any(text, offer_words), "offer").when(has_document & contains_any(text, order_words), "new_document").otherwise("ignored")
+#: The tags that our inquiries carry; words of invoices, and of bills of quantities, in a document's message.
+REFERENCE_TAGS = ("tbx-inq", "tbx-proj")
+AGAINST_DOCUMENT = ("invoice", "receipt", "statement", "billing", "stripe", "zahlungsbeleg", "beleg", "rechnung", "abrechnung", "quittung")
+FOR_DOCUMENT = ("lv", "leistungsverzeichnis", "ausschreibung", "anfrage", "bauprojekt", "bauvorhaben", "baustoff", "position")
+OFFER_WORDS = ("angebot", "lieferantenangebot", "preisangebot", "rueckmeldung", "rückmeldung")
+ORDER_WORDS = ("lv", "leistungsverzeichnis", "ausschreibung", "anfrage", "angebotsanfrage")
+
+
+def classified(
+    subject: Column, body: Column, has_document: Column, offer_words: tuple[str, ...] = OFFER_WORDS, order_words: tuple[str, ...] = ORDER_WORDS,
+    against: tuple[str, ...] = AGAINST_DOCUMENT, hints: tuple[str, ...] = FOR_DOCUMENT, names: Column | None = None,
+) -> Column:
+    """offer, new_document or ignored; the first test that holds decides: a reference tag or
+    an offer's word; no document; an invoice's word without an order's; an order's word or a hint.
+    names: the attachments' names, which count as text."""
+    text = F.lower(F.concat_ws("\n", subject, body, *([] if names is None else [names])))
+    order = contains_any(text, order_words)
+    return (
+        F.when(contains_any(text, (*REFERENCE_TAGS, *offer_words)), "offer").when(~F.coalesce(has_document, F.lit(False)), "ignored")
+        .when(contains_any(text, against) & ~order, "ignored").when(order | contains_any(text, hints), "new_document").otherwise("ignored")
+    )
+
+
+def is_own_copy(subject: Column, sender: Column, body: Column, n_attachments: Column, own_address: str) -> Column:
+    """A forwarded copy of one of our own inquiries: from our address, without attachments, marked twice."""
+    low = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    marked = F.startswith(low(subject), F.lit("[demo] anfrage:")) & F.contains(low(body), F.lit("[demo-weiterleitung]"))
+    return (F.coalesce(n_attachments, F.lit(0)) == 0) & (low(sender) == own_address.lower()) & marked
+
+
+def passage(corpus: Column, number: Column, least: int = 20, most: int = 2200) -> Column:
+    """The text from an item number on up to the next line that begins with one, least to most
+    characters long; null if there is none."""
+    start = F.instr(F.lower(corpus), F.lower(number))
+    tail = F.substring(corpus, start, F.length(corpus))
+    inside = F.regexp_extract(F.substring(tail, F.length(number) + 1, F.length(tail)), rf"(?s)^(.{{{least},{most}}}?)(?=\n\s*\d{{1,3}}(?:\.\d{{1,4}}){{1,3}}\b|\z)", 1)
+    return F.when((start > 0) & (number != "") & (inside != ""), F.concat(F.substring(tail, F.lit(1), F.length(number)), inside))
+
+
+def complete_objects(text: Column) -> Column:
+    """The objects of a JSON array that may be cut off: from the first bracket to the last brace
+    that closes an object on the array's level, as a valid array; null without one."""
+    body = F.regexp_extract(text, r"(?s)\[\s*(.*)$", 1)
+    flat = r"\{(?:[^{}\"]|\"(?:[^\"\\]|\\.)*\"|\{(?:[^{}\"]|\"(?:[^\"\\]|\\.)*\")*\})*\}"
+    found = F.regexp_extract_all(body, F.lit(flat), F.lit(0))
+    return F.when(F.size(found) > 0, F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")))
+
+
+def unwrapped(value: Column, language: str = "deu", depth: int = 3) -> Column:
+    """A text out of nested JSON: an object's language, else 'mul', else its first value; an array's
+    first element; to the given depth."""
+    for _ in range(depth):
+        first_value = F.get(F.map_values(F.from_json(value, "map<string,string>")), F.lit(0))
+        inner = F.coalesce(F.get_json_object(value, f"$.{language}"), F.get_json_object(value, "$.mul"), first_value)
+        item = F.get_json_object(value, "$[0]")
+        value = F.when(F.startswith(F.ltrim(value), F.lit("{")), inner).when(F.startswith(F.ltrim(value), F.lit("[")), item).otherwise(value)
+    return value
+
+
+def valid_offer_lines(df: DataFrame, name: str = "article_name", prices: tuple[str, ...] = ("unit_price", "total_price")) -> DataFrame:
+    """Lines with a name of two characters and more; negative prices become unknown."""
+    return df.where(F.length(F.trim(F.col(name))) >= 2).withColumns({p: F.when(F.col(p) >= 0, F.col(p)) for p in prices})
 
 
 def message_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 25) -> DataFrame:
