@@ -35,6 +35,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,15 +57,32 @@ BROADCAST_BYTES = 64 << 20
 TOKEN_BYTES = 2 * BITS_PER_ENTRY / 8 + 16
 MOST_SLICES = 1 << 16
 #: Tokens of a slice, bytes that are split at once, keys that a task sums up before it hands them on.
-SLICE, PIECE, HELD = 1 << 17, 1 << 20, 1 << 20
+SLICE, PIECE, HELD = 1 << 18, 1 << 20, 1 << 20
 #: N-gram occurrences of a segment, about.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 20
 #: Bits of a pair's hash that travel, below its segment's.
 KEY_BITS = 32
 #: Tokens that a level of c(h) needs for a weight of its own.
 FIT_TOKENS = 50
 U = np.uint64
 WORD_BYTES = 6
+GAP = (1 << 24) - 1
+
+
+def packed_pairs(low: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as gaps of three bytes; GAP stands for one of the long ones that follow."""
+    gaps = np.diff(low.astype(np.int64), prepend=0)
+    short = np.minimum(gaps, GAP).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return len(low).to_bytes(4, "little") + np.ascontiguousarray(short).tobytes() + gaps[gaps >= GAP].astype("<u4").tobytes()
+
+
+def unpacked_pairs(raw: bytes) -> np.ndarray:
+    size = int.from_bytes(raw[:4], "little")
+    wide = np.zeros((size, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(raw, np.uint8, 3 * size, 4).reshape(-1, 3)
+    gaps = wide.view("<u4")[:, 0].astype(np.int64)
+    gaps[gaps == GAP] = np.frombuffer(raw[4 + 3 * size :], "<u4")
+    return np.cumsum(gaps).astype("<u4")
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -80,10 +98,11 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 def packed_counts(n: np.ndarray) -> bytes:
     """Counts in a byte each; 255 stands for one of the long ones that follow the bytes."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+    return zlib.compress(np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes(), 1)
 
 
 def unpacked_counts(raw: bytes, size: int) -> np.ndarray:
+    raw = zlib.decompress(raw)
     n = np.frombuffer(raw, np.uint8, size).astype(np.int64)
     n[n == 255] = np.frombuffer(raw, "<i8", -1, size) if len(raw) > size else 0
     return n
@@ -246,7 +265,7 @@ def _count(seg_bits: int, salts: int):
             order = np.argsort(word_keys(w))
             w, n = w[order], n[order]
             cells = [
-                (seg, salt, packed(w[a]), packed_counts(n[a]), low_bits(p[b], seg_bits).tobytes(), packed_counts(m[b]))
+                (seg, salt, packed(w[a]), packed_counts(n[a]), packed_pairs(low_bits(p[b], seg_bits)), packed_counts(m[b]))
                 for seg, (a, b) in by_segment(seg_bits, word_keys(w), p)
             ]
             return batch_of(cells, [c.split()[0] for c in COUNTED.split(", ")], [LONG, LONG, BYTES, BYTES, BYTES, BYTES])
@@ -269,7 +288,7 @@ def _count(seg_bits: int, salts: int):
 def summed_counts(group: pa.Table) -> tuple[np.ndarray, ...]:
     """Words with their counts and pairs with theirs, those of count 0 left out."""
     words = [unpacked(x) for x in group.column("words").to_pylist()]
-    pairs = [np.frombuffer(x, "<u4") for x in group.column("pairs").to_pylist()]
+    pairs = [unpacked_pairs(x) for x in group.column("pairs").to_pylist()]
     out = []
     for keys, column in ((words, "word_counts"), (pairs, "pair_counts")):
         counts = [unpacked_counts(x, len(k)) for x, k in zip(group.column(column).to_pylist(), keys, strict=True)]
@@ -281,7 +300,7 @@ def summed_counts(group: pa.Table) -> tuple[np.ndarray, ...]:
 def _merged(group: pa.Table) -> pa.Table:
     """The counts of one segment and salt as one row."""
     w, n, p, m = summed_counts(group)
-    cell = (group.column("seg")[0].as_py(), group.column("salt")[0].as_py(), packed(w), packed_counts(n), p.tobytes(), packed_counts(m))
+    cell = (group.column("seg")[0].as_py(), group.column("salt")[0].as_py(), packed(w), packed_counts(n), packed_pairs(p), packed_counts(m))
     return pa.Table.from_batches([batch_of([cell], group.column_names, [LONG, LONG, BYTES, BYTES, BYTES, BYTES])])
 
 
@@ -329,7 +348,7 @@ class Segment:
     """A segment of the filter, to be probed."""
 
     def __init__(self, row: dict | None):
-        row = row or {"size": 64, "bits": bytes(8), "words": b"", "word_counts": b"", "types": 0}
+        row = row or {"size": 64, "bits": bytes(8), "words": b"", "word_counts": packed_counts(np.zeros(0, np.int64)), "types": 0}
         self.size, self.bits = row["size"], np.frombuffer(row["bits"], np.uint8)
         self.words, self.types = unpacked(row["words"]), row["types"]
         self.word_counts = unpacked_counts(row["word_counts"], len(self.words))
@@ -379,7 +398,7 @@ def _ask(seg_bits: int, salts: int, counted: bool):
             cells = []
             for seg, (a, b) in by_segment(seg_bits, word_keys(w), p):
                 counts = (packed_counts(n[a]), packed_counts(m[b])) if counted else (b"", b"")
-                cells.append((seg, row["slice"] % salts, row["slice"], packed(w[a]), counts[0], low_bits(p[b], seg_bits).tobytes(), counts[1]))
+                cells.append((seg, row["slice"] % salts, row["slice"], packed(w[a]), counts[0], packed_pairs(low_bits(p[b], seg_bits)), counts[1]))
             yield batch_of(cells, [c.split()[0] for c in ASKED.split(", ")], [LONG, LONG, LONG, BYTES, BYTES, BYTES, BYTES])
 
     return run
@@ -393,14 +412,14 @@ def _in_order(s: Slice, w: np.ndarray) -> np.ndarray:
 def answers_of(asked: pa.Table, own: Segment, seg_bits: int) -> pa.Table:
     """What the slices ask of a segment, probed together."""
     words = [unpacked(x) for x in asked.column("words").to_pylist()]
-    pairs = [np.frombuffer(x, "<u4") for x in asked.column("pairs").to_pylist()]
+    pairs = [unpacked_pairs(x) for x in asked.column("pairs").to_pylist()]
     (w, back), (p, again) = (np.unique(np.concatenate(x), return_inverse=True) for x in (words, pairs))
     exact, wl, pl = own.answer(w, p, seg_bits)
     exact, wl, pl, cells, a, b = exact[back], wl[back], pl[again], [], 0, 0
     for i, (x, y) in enumerate(zip(words, pairs, strict=True)):
         c, d = a + len(x), b + len(y)
         cells.append((
-            asked.column("slice")[i].as_py(), asked.column("seg")[i].as_py(), packed_counts(exact[a:c]), wl[a:c].tobytes(), pl[b:d].tobytes(),
+            asked.column("slice")[i].as_py(), asked.column("seg")[i].as_py(), packed_counts(exact[a:c]), zlib.compress(wl[a:c].tobytes(), 1), zlib.compress(pl[b:d].tobytes(), 1),
             0 if i else own.types,
         ))
         a, b = c, d
@@ -450,7 +469,7 @@ def placed(row: dict, exact: np.ndarray, word_levels: bytes, pair_levels: bytes,
 
 def _place(one: pa.Table, answers: pa.Table) -> pa.Table:
     answers = answers.sort_by("seg")
-    words, pairs = (answers.column(c).to_pylist() for c in ("word_levels", "pair_levels"))
+    words, pairs = ([zlib.decompress(x) for x in answers.column(c).to_pylist()] for c in ("word_levels", "pair_levels"))
     exact = np.concatenate([unpacked_counts(x, len(w)) for x, w in zip(answers.column("exact").to_pylist(), words, strict=True)])
     types = sum(answers.column("types").to_pylist())
     return pa.Table.from_batches([placed(one.to_pylist()[0], exact, b"".join(words), b"".join(pairs), types, one.schema.field("doc_ids").type.value_type)])

@@ -74,6 +74,8 @@ def test_scores_against_brute_force(spark, monkeypatch, options):
 def test_counts_travel_in_bytes():
     n = np.array([0, 1, 254, 255, 256, 7, 1 << 40])
     assert ngram_lm.unpacked_counts(ngram_lm.packed_counts(n), len(n)).tolist() == n.tolist()
+    for keys in ([], [0], [5, 9, 1 << 24, (1 << 24) + 7, (1 << 32) - 1], [(1 << 24) - 1, 1 << 25]):
+        assert ngram_lm.unpacked_pairs(ngram_lm.packed_pairs(np.array(keys, "<u4"))).tolist() == keys
     assert ngram_lm.unpacked(ngram_lm.packed(np.array([0, (1 << 48) - 1], np.uint64))).tolist() == [0, (1 << 48) - 1]
 
 
