@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the session's checkpoint folder.
 
     It cuts the lineage for recovery and keeps the optimiser from copying large
-    expressions into every place that refers to them.  Only where the session has
-    no spark.checkpoint.dir (a laptop, tests) a local folder is made."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brickline-"))
+    expressions into every place that refers to them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local master
+    (a laptop, tests) may name none: a folder of this machine is made then."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        path = tempfile.mkdtemp(prefix="brickline-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")

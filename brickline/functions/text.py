@@ -107,7 +107,8 @@ def unescaped(c: Column) -> Column:
 
 def strip_html(c: Column) -> Column:
     """Tags to blanks, entities to characters; line feeds stay, without white space around them."""
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(text_of(c), r"<[^>]*>", " ")), r"\s*\n\s*", "\n"))
+    lines = F.regexp_replace(unescaped(F.regexp_replace(text_of(c), r"<[^>]*>", " ")), r"(?U)\s*\n\s*", "\n")
+    return F.regexp_replace(lines, r"(?U)^\s+|\s+$", "")
 
 
 def clean_notice(c: Column) -> Column:

@@ -7,7 +7,10 @@ from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Stands for a missing mail id inside the tasks.
+NO_MAIL = -(1 << 63)
 COLUMNS = ["mail_id", "line_id", "request_id", "matched_by"]
 
 
@@ -52,6 +55,10 @@ def greedy_assignment(rows: DataFrame) -> DataFrame:
     """rows: mail_id, side ('line' or 'request'), id, number, tokens.
 
     The order within a mail decides, so a mail's rows stand together; a task goes
-    through its mails one by one and holds one of them at a time."""
-    rows = rows.select("mail_id", "side", "id", "number", "tokens").repartition("mail_id").sortWithinPartitions("mail_id", "side", "id")
-    return rows.mapInPandas(_mails, "mail_id long, line_id long, request_id long, matched_by string")
+    through its mails one by one and holds one of them at a time.  Rows without a
+    mail_id are one mail, with a null mail_id; repeated rows are lines of their own;
+    an empty table gives no rows."""
+    key = F.coalesce(F.col("mail_id").cast("long"), F.lit(NO_MAIL))
+    rows = rows.select(key.alias("mail_id"), "side", "id", "number", "tokens").repartition("mail_id").sortWithinPartitions("mail_id", "side", "id")
+    out = rows.mapInPandas(_mails, "mail_id long, line_id long, request_id long, matched_by string")
+    return out.withColumn("mail_id", F.nullif("mail_id", F.lit(NO_MAIL)))

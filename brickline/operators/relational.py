@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickline.functions.session import materialised
+
 
 def search_page(df: DataFrame, tests: list[Column | None], order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page and one row more (whose presence says that more follow).  A test
@@ -122,6 +124,24 @@ def next_numbers(df: DataFrame, prefix: Column, number: str) -> DataFrame:
     )
 
 
+def numbered_in_order(df: DataFrame, order: list[Column], name: str = "nth") -> DataFrame:
+    """All rows numbered from 1 in the order, which must be total: a range sort, and the numbers
+    of rows of the parts before; no part sees all rows."""
+    sort_keys = [o.alias(f"sort_{i}") for i, o in enumerate(order)]
+    keyed = df.select("*", *sort_keys)
+    keys = [f"sort_{i}" for i in range(len(order))]
+    parts = materialised(keyed.repartitionByRange(*keys).withColumn("sort_part", F.spark_partition_id()))
+    sizes, before, upto = parts.groupBy("sort_part").count().collect(), {}, 0
+    for r in sorted(sizes):
+        before[r["sort_part"]] = upto
+        upto += r["count"]
+    if not before:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("sort_part"))
+    own = F.row_number().over(Window.partitionBy("sort_part").orderBy(*keys))
+    return parts.withColumn(name, (own + offset).cast("long")).drop("sort_part", *keys)
+
+
 def batches_with_overlap(total: int | Column, size: int, overlap: int) -> Column:
     """Array of struct(first, last), pages from 1, each batch sharing `overlap` pages."""
     step = size - overlap

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brickline.functions import numbers as num
 from brickline.functions import text as txt
-from brickline.functions.session import materialised
+from brickline.functions.session import materialised, shared_folder
 from brickline.operators import catalogue, inquiries, lines, offers, reconcile, relational, tenders
 from brickline.operators.extraction import kinds
 from brickline.operators.extraction.parameters import component_parts, parameters
@@ -142,23 +142,19 @@ def superseded_anti_join(spark, sf):
     return relational.without_superseded(q, ["who", "what"], c("o_orderstatus") == "O", c("o_orderstatus") == "F")
 
 
-@query("""WITH pos AS (SELECT o_orderkey AS position_id, o_custkey AS item FROM orders),
-off AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_orderkey END AS position_id, l_suppkey % 300 AS item, l_partkey, l_extendedprice FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 45),
+@query("""WITH pos AS (SELECT o_orderkey AS position_id, o_custkey * 7 + 1000 AS item FROM orders),
+off AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_orderkey END AS position_id, l_suppkey * 1000 + l_partkey % 1000 AS item, l_partkey, l_extendedprice FROM lineitem),
 f AS (SELECT pos.position_id, pos.item, l_partkey, l_extendedprice, 'position_id' AS matched_by FROM pos JOIN off USING (position_id)),
 s AS (SELECT pos.position_id, pos.item, l_partkey, l_extendedprice, 'item' AS matched_by FROM pos JOIN off ON pos.item = off.item
 WHERE pos.position_id NOT IN (SELECT position_id FROM off WHERE position_id IS NOT NULL))
 SELECT * FROM f UNION ALL SELECT * FROM s""")
 def offers_two_key_fallback(spark, sf):
     t = Tables(spark, sf)
-    pos = t.orders.select(c("o_orderkey").alias("position_id"), c("o_custkey").alias("item"))
-    found = t.lineitem.where("l_linestatus = 'O' and l_quantity > 45").select(
-        F.when(c("l_linenumber") % 3 != 0, c("l_orderkey")).alias("position_id"), (c("l_suppkey") % 300).alias("item"), "l_partkey", "l_extendedprice"
+    pos = t.orders.select(c("o_orderkey").alias("position_id"), (c("o_custkey") * 7 + 1000).alias("item"))
+    found = t.lineitem.select(
+        F.when(c("l_linenumber") % 3 != 0, c("l_orderkey")).alias("position_id"), (c("l_suppkey") * 1000 + c("l_partkey") % 1000).alias("item"), "l_partkey", "l_extendedprice"
     )
-    by_id = found.select("position_id", "l_partkey", "l_extendedprice")
-    first = pos.join(by_id, "position_id").withColumn("matched_by", F.lit("position_id"))
-    rest = pos.join(by_id.select("position_id").distinct(), "position_id", "left_anti")
-    second = rest.join(found.select("item", "l_partkey", "l_extendedprice"), "item").withColumn("matched_by", F.lit("item"))
-    return first.unionByName(second)
+    return relational.two_key_fallback(pos, found, "position_id", "item")
 
 
 @query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS newest FROM events WHERE event_type <> 'view' GROUP BY 1""")
@@ -338,13 +334,13 @@ def number_parse_locale(spark, sf):
     return df.select("l_orderkey", "l_linenumber", "l_partkey", "amount_text", num.parse_number(c("amount_text")).alias("amount"))
 
 
-@query("""SELECT p_partkey, p_size * 10 AS main_dn, CASE WHEN p_partkey % 3 = 0 THEN p_size * 5 END AS branch_dn,
-CASE p_size * 10 WHEN 100 THEN 110 WHEN 110 THEN 100 WHEN 150 THEN 160 WHEN 160 THEN 150 WHEN 200 THEN 225 WHEN 250 THEN 280 WHEN 280 THEN 250 WHEN 300 THEN 315 WHEN 400 THEN 450 WHEN 450 THEN 400 END AS stands_for FROM part WHERE p_size >= 5""")
+@query("""SELECT p_partkey, p_size * 10 AS main_dn, CASE WHEN p_partkey % 3 = 0 AND p_size >= 2 THEN p_size * 5 END AS branch_dn,
+CASE p_size * 10 WHEN 100 THEN 110 WHEN 110 THEN 100 WHEN 150 THEN 160 WHEN 160 THEN 150 WHEN 200 THEN 225 WHEN 250 THEN 280 WHEN 280 THEN 250 WHEN 300 THEN 315 WHEN 400 THEN 450 WHEN 450 THEN 400 END AS stands_for FROM part""")
 def dn_pairs(spark, sf):
     from brickline.operators.matching.features import DN_PAIR, dn_equivalent
 
     written = F.when(c("p_partkey") % 3 == 0, F.format_string("Abzweig DN %d/%d", c("p_size") * 10, c("p_size") * 5)).otherwise(F.format_string("Rohr DN %d", c("p_size") * 10))
-    part = Tables(spark, sf).part.where("p_size >= 5").withColumn("written", written)
+    part = Tables(spark, sf).part.withColumn("written", written)
     pick = lambda i: F.regexp_extract("written", DN_PAIR, i).try_cast("int")
     main = F.coalesce(pick(1), F.regexp_extract("written", r"DN (\d+)", 1).try_cast("int"))
     # two digits at least make a diameter
@@ -367,7 +363,7 @@ SELECT a || '.' || b AS item, row_number() OVER (ORDER BY a, b) AS nth FROM k"""
 def oz_sort_normalise(spark, sf):
     raw = F.format_string(" %02d. %04d", c("l_linenumber"), (c("l_partkey") % 120).cast("int"))
     items = Tables(spark, sf).lineitem.select(txt.item_number(raw).alias("item")).distinct()
-    return items.withColumn("nth", F.row_number().over(Window.orderBy(txt.item_sort_key(c("item")))))
+    return relational.numbered_in_order(items, [txt.item_sort_key(c("item"))])
 
 
 _LINES_SQL = """ln AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"""
@@ -594,11 +590,11 @@ def ingest_stream_dedupe(spark, sf):
     import uuid
 
     events = Tables(spark, sf).events
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"/tmp/brickline-{uuid.uuid4().hex}"
-    at = f"{root.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     key = F.sha2(F.concat_ws("|", "user_id", "event_type", "props").cast("binary"), 256)
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
-    ingest.drained(ingest.once_per_key(stream.withColumn("message_key", key), "message_key"), f"{at}/table", f"{at}/checkpoint")
+    keyed = stream.withColumns({"message_key": key, "at": c("ts").cast("timestamp")})
+    ingest.drained(ingest.once_per_key(keyed, "message_key", "at", "3650 days"), f"{at}/table", f"{at}/checkpoint")
     seen = spark.read.parquet(f"{at}/table").select("user_id", "event_type", F.md5(c("props").cast("binary")).alias("props_md5"))
     counts = events.groupBy("user_id", "event_type", F.md5(c("props").cast("binary")).alias("props_md5")).agg(F.count("*").alias("n"))
     return seen.join(counts, ["user_id", "event_type", "props_md5"])

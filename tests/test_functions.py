@@ -33,7 +33,8 @@ def test_numbers(spark):
 def test_texts(spark):
     assert values(spark, "string", ["04.0010", "4.10.", "OZ 01.02", None], txt.item_number(c("x"))) == ["4.10", "4.10", "1.2", ""]
     assert values(spark, "string", ["a, b;c/ ", " ; ", None], txt.string_list(c("x"))) == [["a", "b", "c"], None, None]
-    assert values(spark, "string", ["<p>a&amp;b</p>\n c&nbsp;"], txt.strip_html(c("x"))) == ["a&b c"]
+    html = ["<p>a&amp;b</p>\n c&nbsp;", "Ma&szlig;e f&uuml;r 5 &#8364; &#x41;&#0;&unknown; & x", None, "&", "&lt;b&gt;"]
+    assert values(spark, "string", html, txt.strip_html(c("x"))) == ["a&b\nc", "Maße für 5 € A&#0;&unknown; & x", "", "&", "<b>"]
     assert values(spark, "string", ["Rohr und Bögen DN-150 ab"], txt.tokens(c("x"))) == [["rohr", "bögen", "dn-150"]]
     assert values(spark, "string", ["a  b\r\n\r\n c "], txt.squeezed_lines(c("x"))) == ["a b\nc"]
 
