@@ -99,9 +99,10 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((total, N_FEATURES), np.float32)
     size = np.maximum(length, 1)[:, None]
     x[:, :N_CLASSES] = np.bincount(of_byte * N_CLASSES + kind, minlength=total * N_CLASSES).reshape(total, -1) / size
-    pair = (kind[:-1] * 37 + kind[1:] * 101) % PAIR_CELLS
+    # a blank follows the last text as it follows the others, so that neighbours make no difference
+    pair = (kind * 37 + np.append(kind[1:], CLASS[32]) * 101) % PAIR_CELLS
     x[:, N_CLASSES : N_CLASSES + PAIR_CELLS] = (
-        np.bincount(of_byte[:-1] * PAIR_CELLS + pair, minlength=total * PAIR_CELLS).reshape(total, -1) / size
+        np.bincount(of_byte * PAIR_CELLS + pair, minlength=total * PAIR_CELLS).reshape(total, -1) / size
     )
     if len(begin):
         wide = end - begin
