@@ -75,3 +75,11 @@ def test_stages_against_brute_force(spark, tmp_path):
     ids = [(r["doc_id"], [*own.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in before]
     want = sorted((i, len(x), zlib.crc32(b"".join(n.to_bytes(4, "little") for n in x))) for i, x in ids)
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in after) == want
+
+
+def test_an_empty_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() == 0
