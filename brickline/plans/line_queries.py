@@ -265,7 +265,7 @@ def display_descriptions(spark, sf):
     return named.select("p", c("name").alias("title"), descriptions.display_description(c("name"), raw, fields).alias("description"))
 
 
-@query(r"""SELECT p_partkey AS p, CASE p_partkey % 3 WHEN 0 THEN 'Rohr DN150 liefern und verlegen, Graben 1,5 m' WHEN 1 THEN 'Bauteil, DIN 1045 gerade' ELSE 'Bauteil, gegossen' END AS described FROM part""")
+@query(r"""SELECT p_partkey AS p, CASE p_partkey % 3 WHEN 0 THEN 'Rohr DN150 liefern und verlegen, Graben 1, 5 m' WHEN 1 THEN 'Bauteil, DIN 1045 gerade' ELSE 'Bauteil, gegossen' END AS described FROM part""")
 def service_descriptions(spark, sf):
     described = F.when(c("p") % 3 == 0, F.lit("  Rohr DN150 liefern  und verlegen,")).when(c("p") % 3 == 1, F.lit("Übertrag")).otherwise(F.lit("Bauteil, gegossen"))
     raw = F.when(c("p") % 3 == 0, F.lit("Rohr DN150 liefern.\nGraben 1,5 m.\n3 m Rohr")).when(c("p") % 3 == 1, F.lit("Bauteil\n\nDIN 1045 gerade\n\nSeite 7")).otherwise(F.lit("Bauteil\n\n7 Stk"))
