@@ -39,14 +39,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "zstd", **options: object) -> DataFrame:
     """Write df as a table in the shared folder and return a scan of that table.
 
     This cuts the lineage: lost executors only have to read the table again.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

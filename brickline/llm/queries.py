@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickline.llm import curriculum, decontaminate, langid, licenses, ngram_lm, quality, ring, simhash, telephony, tokens
+from brickline.llm import curriculum, decontaminate, langid, licenses, manifest, ngram_lm, prefixes, quality, ranked, ring, simhash, telephony, tokens
 from brickline.llm.common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,27 @@ def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, sf_dir, "documents"), crc32_of_id(F.col("doc_id")) % 10 != 0)
 
 
+@query
+def op11_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_merkle_manifest"] = manifest.oracle()
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_ranked_search"] = ranked.oracle()
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
