@@ -2,11 +2,12 @@
 
 Each posting list is clustered by the similarity of its documents: every ``BLOCK``-th
 document is a centre, and a document joins the centre that its vector of weighted terms,
-projected to ``DIMENSIONS`` fixed directions, is nearest to.  A block keeps, for each
-term, the largest part of a score that any of its documents has (the coordinatewise
-maximum).  The sum of the summary over a query's terms bounds every score in the block,
-in whole numbers, so a block is skipped just if its bound is below the score that the
-query's last place already needs, and the result is exact, ties included.
+projected to ``DIMENSIONS`` fixed directions, is nearest to.  A block keeps the largest
+part of a score that any of its documents has (the coordinatewise maximum), for each
+term that some query asks together with the list's.  The sum of the summary over a
+query's terms bounds every score in the block, in whole numbers, so a block is skipped
+just if its bound is below the score that the query's last place already needs, and the
+result is exact, ties included.
 
 Scale: the documents are read once, into a table of their counts of the asked terms;
 counts over all documents give the weights.  The index lies in shards of ``SHARD``
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +42,7 @@ from brickline.llm.common import stored
 #: Terms: digits, ASCII letters in lower case and all that isn't ASCII, in UTF-8.
 TERM, SEPARATOR = re.compile(rb"[0-9a-z\x80-\xff]+"), re.compile(rb"[^0-9a-z\x80-\xff]")
 #: Documents to a shard and to a block, directions of the projection.
-SHARD, BLOCK, DIMENSIONS = 2048, 64, 16
+SHARD, BLOCK, DIMENSIONS = 1024, 16, 16
 #: Different terms of the queries that are asked at once; bytes of text counted at once.
 MOST_TERMS, PIECE = 4096, 1 << 20
 #: Cells of a shard's table of documents and terms, at most.
@@ -133,67 +135,89 @@ def clustered(rows: np.ndarray, vectors: np.ndarray) -> list[np.ndarray]:
     return np.split(rows[order], np.flatnonzero(np.diff(nearest[order])) + 1)
 
 
-def built(doc_ids: list[int | None], at: np.ndarray, ids: np.ndarray, part: np.ndarray, weights: np.ndarray) -> dict:
+def asked_together(queries: list[np.ndarray], terms: int) -> np.ndarray | None:
+    """Which terms some query asks together; none for a single query, which asks all."""
+    if len(queries) == 1:
+        return None
+    pairs = np.zeros((terms, terms), bool)
+    for ids in queries:
+        pairs[np.ix_(ids, ids)] = True
+    return pairs
+
+
+def built(doc_ids: np.ndarray, at: np.ndarray, ids: np.ndarray, part: np.ndarray, weights: np.ndarray, together: np.ndarray | None = None) -> dict:
     """A shard's row: at, ids, part are its postings (document, term, part of the score)."""
     terms, term = np.unique(ids, return_inverse=True)
-    n = len(doc_ids)
-    table = np.zeros((n, len(terms)), np.int32)
+    table = np.zeros((len(doc_ids), len(terms)), np.int32)
     table[at, term] = part
     directions = np.random.default_rng(7).standard_normal((len(weights), DIMENSIONS)).astype(np.float32)[terms]
     vectors = table.astype(np.float32) @ (directions * weights[terms, None].astype(np.float32))
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + np.float32(1e-9)
     order = np.lexsort((at, term))
     lists = np.split(at[order], np.flatnonzero(np.diff(term[order])) + 1) if len(order) else []
-    block_term, blocks, tops = [], [], []
+    block_term, blocks, of_term, in_block, most = [], [], [], [], []
     for t, rows in enumerate(lists):
+        asked = np.arange(len(terms)) if together is None else np.flatnonzero(together[terms[t]][terms])
         for block in clustered(rows, vectors):
+            top = table[np.ix_(block, asked)].max(axis=0)
+            here = np.flatnonzero(top)
+            of_term.append(asked[here].astype(np.int32))
+            most.append(top[here])
+            in_block.append(np.full(len(here), len(blocks), np.int32))
             block_term.append(t)
             blocks.append(block)
-            tops.append(table[block].max(axis=0))
-    summary = np.array(tops, np.int32).reshape(len(blocks), len(terms)).T
-    of_term, in_block = np.nonzero(summary)
-    pack = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
+    joined = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int32)
+    of_term, in_block, most = joined(of_term), joined(in_block), joined(most)
+    order = np.argsort(of_term, kind="stable")
+    pack = lambda x: np.ascontiguousarray(x, "<i4").tobytes()
     return {
-        "doc_ids": doc_ids, "terms": pack(terms, "<i4"), "at": pack(at, "<i4"), "term": pack(term, "<i4"), "part": pack(part, "<i4"),
-        "block_term": pack(block_term, "<i4"), "block_end": pack(np.cumsum([len(b) for b in blocks]), "<i4"),
-        "members": pack(np.concatenate(blocks) if blocks else [], "<i4"), "term_end": pack(np.searchsorted(of_term, np.arange(len(terms)), "right"), "<i4"),
-        "in_block": pack(in_block, "<i4"), "most": pack(summary[of_term, in_block], "<i4"),
+        "doc_ids": doc_ids, "terms": pack(terms), "at": pack(at), "term": pack(term), "part": pack(part), "block_term": pack(block_term),
+        "block_end": pack(np.cumsum([len(b) for b in blocks])), "members": pack(joined(blocks)),
+        "term_end": pack(np.searchsorted(of_term[order], np.arange(len(terms)), "right")), "in_block": pack(in_block[order]), "most": pack(most[order]),
     }
 
 
-def _indexed(weights: np.ndarray, n: int, length: int):
+def _indexed(weights: np.ndarray, n: int, length: int, shared):
     """m and the parts of the scores are 64-bit integers, divided rounding down."""
     shard = max(1, min(SHARD, CELLS // max(1, len(weights))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("doc_ids", pa.list_(pa.int64())), *[(c.split()[0], pa.binary()) for c in INDEX.split(", ")[1:]]])
-        doc_ids, at, ids, parts = [], [], [], []
+        together = asked_together(shared.value, len(weights))
+        held, size = [], 0
 
         def row() -> pa.RecordBatch:
-            made = built(doc_ids, np.array(at, np.int64), np.array(ids, np.int64), np.array(parts, np.int64), weights)
-            return pa.RecordBatch.from_pylist([made], kind)
+            ids, counts, terms, parts = (np.concatenate(x) for x in zip(*held, strict=True))
+            made = built(ids, np.repeat(np.arange(len(ids)), counts), terms, parts, weights, together)
+            cells = [pa.array([made["doc_ids"]], kind[0].type), *[pa.array([made[f.name]], f.type) for f in list(kind)[1:]]]
+            return pa.RecordBatch.from_arrays(cells, schema=kind)
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if not r["ids"]:
-                    continue
-                if len(doc_ids) == shard:
-                    yield row()
-                    doc_ids, at, ids, parts = [], [], [], []
-                m = 100 - 25 + (25 * r["n"] * n) // length
-                at += [len(doc_ids)] * len(r["ids"])
-                ids += r["ids"]
-                parts += [(1_000_000_000 * tf) // (1000 * tf + 12 * m) for tf in r["tfs"]]
-                doc_ids.append(r["doc_id"])
-        if doc_ids:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("ids")), 0))
+            for start in range(0, len(batch), shard):
+                rest = batch.slice(start, shard)
+                while len(rest):
+                    some, rest = rest.slice(0, shard - size), rest.slice(shard - size)
+                    ids = pc.fill_null(some.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)
+                    counts = pc.list_value_length(some.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64)
+                    terms, tfs = (some.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ids", "tfs"))
+                    m = 100 - 25 + (25 * some.column("n").to_numpy(zero_copy_only=False) * n) // length
+                    held.append((ids, counts, terms, (1_000_000_000 * tfs) // (1000 * tfs + 12 * np.repeat(m, counts))))
+                    size += len(some)
+                    if size == shard:
+                        yield row()
+                        held, size = [], 0
+        if held:
             yield row()
 
     return run
 
 
-def build_index(counts: DataFrame, weights: np.ndarray, n: int, length: int) -> DataFrame:
-    """The stored index: a row for each shard, a few to a group of rows in the files."""
-    made = counts.mapInArrow(_indexed(weights, n, length), INDEX)
+def build_index(counts: DataFrame, queries: list[np.ndarray], weights: np.ndarray, n: int, length: int) -> DataFrame:
+    """The stored index: a row for each shard, a few to a group of rows in the files.
+    queries: the terms that each asks."""
+    shared = counts.sparkSession.sparkContext.broadcast(queries)
+    made = counts.mapInArrow(_indexed(weights, n, length, shared), INDEX)
     return stored(made, "ranked-index", **{"parquet.block.row.count.limit": 4})
 
 
@@ -222,7 +246,7 @@ class Best:
 def searched(row: dict, queries: list[tuple[np.ndarray, np.ndarray]], best: list[Best]) -> int:
     """Look a shard through for all queries (asked terms, worth of each); blocks looked into."""
     whole = {c: np.frombuffer(row[c], "<i4") for c in row if c != "doc_ids"}
-    doc_ids = np.array([NO_ID if i is None else i for i in row["doc_ids"]], np.int64)
+    doc_ids = np.array(row["doc_ids"], np.int64)
     terms, block_term, block_end, term_end = (whole[c] for c in ("terms", "block_term", "block_end", "term_end"))
     table = np.zeros((len(doc_ids), len(terms)), np.int32)
     table[whole["at"], whole["term"]] = whole["part"]
@@ -290,12 +314,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         vocabulary = {t: i for i, t in enumerate(sorted({t for _, found in group for t in found}))}
         counts = term_counts(docs, vocabulary)
         weights, n, length = term_weights(counts, len(vocabulary))
-        index = build_index(counts, weights, n, length)
         queries = []
         for _, found in group:
             ids = np.array(sorted(vocabulary[t] for t in found), np.int64)
             times = {vocabulary[t]: m for t, m in found.items()}
             queries.append((ids, weights[ids] * np.array([times[i] for i in ids.tolist()], np.int64)))
+        index = build_index(counts, [ids for ids, _ in queries], weights, n, length)
         found = index.mapInArrow(_search(spark.sparkContext.broadcast(queries), k), FOUND)
         order = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
         names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(group)], f"at_q int, item_id {kind}")

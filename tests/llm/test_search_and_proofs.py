@@ -240,7 +240,7 @@ def test_blocks_are_skipped_and_nothing_is_lost():
     for s in range(0, 3000, 1500):
         some = docs[s : s + 1500]
         at = np.repeat(np.arange(len(some)), [len(t) for _, t, _ in some])
-        shards.append(ranked.built([i for i, *_ in some], at, np.concatenate([t for _, t, _ in some]), np.concatenate(parts[s : s + 1500]), weights))
+        shards.append(ranked.built(np.array([i for i, *_ in some]), at, np.concatenate([t for _, t, _ in some]), np.concatenate(parts[s : s + 1500]), weights))
     asked = [np.unique(np.concatenate([rng.integers(20 * g, 20 * g + 20, 5), rng.integers(240, 250, 3)])) for g in (0, 4, 7)]
     wanted = [(t, weights[t] * rng.integers(1, 3, len(t))) for t in asked]
     best = [ranked.Best(20) for _ in wanted]
