@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brickline.functions.session import materialised
+from brickline.functions.session import materialised, shared_folder
 from brickline.operators import statuslog
+from brickline.streaming import ingest, mailbox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +80,54 @@ SELECT project, CAST(len(inqs) AS BIGINT) AS n_inquiries, coalesce(p.n, 0) AS n_
 def project_states(spark, sf):
     log = inquiry_log(spark, sf)
     return statuslog.project_states(log, materialised(statuslog.folded(log)))
+
+
+# -- the mailbox: events as messages of three files ------------------------------------------
+
+#: Expressions that Spark and DuckDB both read, of e (the event).
+MESSAGE = {
+    "message_id": "concat('m', case when e % 11 = 0 then e % 77 when e % 5 = 0 then e - 1 else e end)",
+    "subject": "case when e % 101 = 0 then null when event_type = 'purchase' then concat('Re: TBX-INQ:', user_id) when event_type = 'error' then 'Unser Angebot' when event_type = 'signup' then 'Ausschreibung' when event_type = 'view' then 'Rechnung' else 'Newsletter' end",
+    "sender": "concat('s', user_id, '@firma.de')",
+    "body": "case when e % 101 = 0 then null when event_type = 'purchase' and e % 3 = 0 then concat('auch TBX-INQ ', user_id + 1) else 'Guten Tag' end",
+    "sent_at": "ts",
+    "n_attachments": "cast(0 as int)",
+    "content_hash": "case when e % 101 = 0 then null when event_type in ('signup', 'view') then concat('h', e % 40) end",
+}
+MAIL = f"""m AS (SELECT e, {', '.join(f'{x} AS {n}' for n, x in MESSAGE.items())} FROM (SELECT event_id AS e, * FROM events)),
+f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY e) = 1),
+k AS (SELECT *, CASE WHEN subject LIKE 'Re:%' OR subject = 'Unser Angebot' THEN 'offer' WHEN subject = 'Ausschreibung' THEN 'new_document' ELSE 'ignored' END AS category FROM f WHERE subject IS NOT NULL),
+named AS (SELECT DISTINCT message_id, e, unnest(list_transform(regexp_extract_all(subject || ' ' || body, 'TBX-INQ[: ]([0-9]+)', 1), lambda x: CAST(x AS BIGINT))) AS inquiry_id FROM k WHERE category = 'offer'),
+hits AS (SELECT n.* FROM named n JOIN supplier ON s_suppkey = inquiry_id AND s_suppkey % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY inquiry_id ORDER BY e) = 1),
+docs AS (SELECT * FROM k WHERE category = 'new_document' QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY e) = 1)"""
+
+
+def received(spark: SparkSession, sf: str) -> mailbox.Mailbox:
+    """The mailbox after the events, as messages in three files, one file a batch."""
+    folder = f"{shared_folder(spark)}/mailbox-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf}/events.parquet").withColumns({"e": c("event_id"), "ts": c("ts").cast("timestamp")})
+    messages = rows.selectExpr("e", *[f"{x} as {n}" for n, x in MESSAGE.items()])
+    last = rows.agg(F.max("e")).first()[0] or 0
+    for i in range(3):
+        part = messages.where((c("e") >= last * i // 3 + (i > 0)) & (c("e") <= last * (i + 1) // 3))
+        part.drop("e").coalesce(1).write.parquet(f"{folder}/in/file={i}")
+    inquiries = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        c("s_suppkey").alias("inquiry_id"), F.when(c("s_suppkey") % 4 == 0, "angebot_erhalten").when(c("s_suppkey") % 4 == 1, "offen").otherwise("angefragt").alias("status")
+    )
+    box = mailbox.Mailbox(spark, folder, "wir@firma.de")
+    stream = ingest.message_stream(spark, f"{folder}/in/*", messages.drop("e").schema, files_per_batch=1)
+    mailbox.sync(stream, box, inquiries, f"{folder}/checkpoint")
+    return box
+
+
+@query(f"""WITH {MAIL} SELECT message_id AS message_key, category, CASE category WHEN 'offer' THEN CASE WHEN n IS NULL THEN 'unmatched' ELSE 'matched ' || n END
+WHEN 'new_document' THEN CASE WHEN message_id IN (SELECT message_id FROM docs) THEN 'created' ELSE 'known' END ELSE 'ignored' END AS result FROM k LEFT JOIN (SELECT message_id, count(*) AS n FROM hits GROUP BY 1) USING (message_id)
+UNION ALL SELECT message_id, 'failed', 'empty message' FROM f WHERE subject IS NULL""")
+def mailbox_sync(spark, sf):
+    box = received(spark, sf)
+    return box.table("processed").unionByName(box.table("failed").select("message_key", F.lit("failed").alias("category"), c("problem").alias("result")))
+
+
+@query(f"WITH {MAIL} SELECT inquiry_id, message_id AS message_key FROM hits")
+def mailbox_offers(spark, sf):
+    return received(spark, sf).table("offers").select("inquiry_id", "message_key")
