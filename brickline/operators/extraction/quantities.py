@@ -5,11 +5,13 @@ stays empty."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickline.functions.numbers import parse_number
-from brickline.functions.text import contains_any, first_of, item_number, text_of
+from brickline.functions.text import contains_any, first_of, if_set, item_number, text_of
 
 c = F.col
 #: A line that begins with quantity and unit, as blocks are read.
@@ -72,31 +74,59 @@ def text_quantity(text: Column) -> Column:
     return F.struct(parse_number(F.regexp_replace(pattern, r"\s", "")).alias("quantity"), F.replace(unit, F.lit("."), F.lit("")).alias("unit"))
 
 
+#: Lines that a document's last block has, when quantities and when whole positions are looked for.
+LAST_LINES, LAST_LINES_MISSING = 60, 40
+#: Rows of dots and underscores to be filled in by hand.
+TO_FILL_IN = ("________", "..................")
+DESCRIPTION_MOST = 800
+
+
+def ended(blocks: DataFrame, most: int) -> Column:
+    """A block's text; of a document's last block (is_last) its first lines."""
+    text = text_of("text")
+    if "is_last" not in blocks.columns:
+        return text
+    return F.when(c("is_last"), F.array_join(F.slice(F.split(text, "\n"), 1, most), "\n")).otherwise(text)
+
+
 def filled_quantities(positions: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Positions whose unknown quantity or unit comes from their block (keys, text)."""
-    read = blocks.select(*keys, block_quantity(c("text")).alias("read"))
-    joined = positions.join(read, keys, "left")
-    return joined.withColumns({"quantity": F.coalesce("quantity", "read.quantity"), "unit": F.coalesce("unit", "read.unit")}).drop("read")
+    """Positions whose unknown quantity or unit comes from their block (keys, text; block and
+    is_last where a document has several).  Of a number's blocks the last counts; an empty
+    unit is unknown."""
+    place = c("block") if "block" in blocks.columns else F.lit(0)
+    last = blocks.select(*keys, place.alias("place"), ended(blocks, LAST_LINES).alias("text")).groupBy(*keys).agg(F.max_by("text", F.struct("place", "text")).alias("text"))
+    joined = positions.join(last.select(*keys, block_quantity(c("text")).alias("read")), keys, "left")
+    return joined.withColumns({"quantity": F.coalesce("quantity", "read.quantity"), "unit": F.coalesce(if_set(c("unit")), "read.unit", "unit")}).drop("read")
 
 
 def heading_blocks(lines: DataFrame, key: str) -> DataFrame:
-    """key, item, title, text of each numbered heading's block (document lines in order)."""
+    """key, block, item, title, text, is_last of each numbered heading's block (document lines in order)."""
     from brickline.operators.lines import block_texts, blocks
 
-    marked = blocks(lines.where(~c("line").rlike(SKIPPED)), key, c("line").rlike(HEADING))
-    whole = block_texts(marked, key)
+    whole = block_texts(blocks(lines, key, c("line").rlike(HEADING)), key)
     head = F.regexp_extract("text", r"^([^\n]*)", 1)
     return whole.select(
-        key, "block", item_number(F.regexp_extract(head, HEADING, 1)).alias("item"), F.trim(F.regexp_extract(head, HEADING, 2)).alias("title"), "text"
+        key, "block", item_number(F.regexp_extract(head, HEADING, 1)).alias("item"), F.trim(F.regexp_extract(head, HEADING, 2)).alias("title"), "text",
+        (c("block") == F.max("block").over(Window.partitionBy(key))).alias("is_last"),
     )
 
 
 def missing_positions(blocks: DataFrame, positions: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks whose number no position has, and which state quantity and unit, as service rows."""
-    read = blocks.withColumn("read", block_quantity(c("text")))
+    """Blocks whose number no position has, and which state quantity and unit, as service rows.
+
+    Their raw text is the title and the lines that say something; the description is the
+    same in one line, without the quantity."""
+    amount = lambda x: F.trim(x).rlike(BLOCK_LINE)
+    fill = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in TO_FILL_IN])
+    lines = F.split(ended(blocks, LAST_LINES_MISSING), "\n")
+    rest = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(SKIPPED) & (amount(x) | ~fill(x)))
+    said = F.concat(F.filter(F.array("title"), lambda x: (x != "") & ~amount(x)), F.transform(rest, lambda x: F.rtrim(x)))
+    read = blocks.withColumn("said", said).withColumn("raw_text", F.trim(F.array_join("said", "\n"))).withColumn("read", block_quantity(c("raw_text")))
     fresh = read.join(positions.select(*keys).distinct(), keys, "left_anti").where("read.quantity is not null and read.unit is not null")
+    text = F.trim(F.array_join(F.transform(F.filter("said", lambda x: ~amount(x)), lambda x: F.trim(x)), " "))
+    description = F.coalesce(if_set(text), if_set(c("title")), F.concat(F.lit("Position "), c("item")))
     return fresh.select(
-        *keys, c("title").alias("description"), c("text").alias("raw_text"), c("read.quantity").alias("quantity"), c("read.unit").alias("unit"),
+        *keys, F.substring(description, 1, DESCRIPTION_MOST).alias("description"), "raw_text", c("read.quantity").alias("quantity"), c("read.unit").alias("unit"),
         F.lit("dienstleistung").alias("position_type"), F.lit(False).alias("billable"),
     )
 

@@ -192,10 +192,15 @@ _BLOCK = f"""q AS (SELECT *, CASE WHEN p % 6 <> 5 THEN CASE WHEN p % 5 = 4 THEN
 CASE WHEN p % 6 <> 5 THEN {_UNIT} WHEN p % 2 = 0 THEN 'kg' END AS bu FROM ({duck(_QTY)}))"""
 
 
-@query(f"WITH {_BLOCK} SELECT p, coalesce(CASE WHEN p % 3 = 0 THEN 7.0 END, bq) AS quantity, coalesce(CASE WHEN p % 4 = 0 THEN 't' END, bu) AS unit FROM q")
+@query(f"WITH {_BLOCK} SELECT p, coalesce(CASE WHEN p % 3 = 0 THEN 7.0 END, CASE WHEN p % 10 <> 3 THEN bq END) AS quantity, coalesce(CASE WHEN p % 4 = 0 THEN 't' END, CASE WHEN p % 10 <> 3 THEN bu END, CASE WHEN p % 4 = 1 THEN '' END) AS unit FROM q")
 def filled_quantities(spark, sf):
-    rows = quantity_blocks(spark, sf)
-    return quantities.filled_quantities(rows.drop("text"), rows.select("p", "text"), ["p"]).select("p", "quantity", "unit")
+    """A number may have an earlier block, which doesn't count; every tenth has its quantity
+    after the line at which a document's last block ends."""
+    rows = quantity_blocks(spark, sf).withColumn("unit", F.when(c("p") % 4 == 1, F.lit("")).otherwise(c("unit")))
+    long = F.concat(F.repeat(F.lit("Text\n"), quantities.LAST_LINES), "text")
+    last = rows.select("p", F.lit(2).alias("block"), F.when(c("p") % 10 == 3, long).otherwise(c("text")).alias("text"), F.lit(True).alias("is_last"))
+    before = rows.where("p % 7 = 0").select("p", F.lit(1).alias("block"), F.lit("  11,5 kg").alias("text"), F.lit(False).alias("is_last"))
+    return quantities.filled_quantities(rows.drop("text"), before.unionByName(last), ["p"]).select("p", "quantity", "unit")
 
 
 @query(f"""WITH {_BLOCK} SELECT p, CASE WHEN p % 2 = 0 THEN 99.0 WHEN p % 6 <> 5 THEN CASE WHEN p % 5 = 4 THEN 5.0 ELSE bq END ELSE 5.0 END AS quantity,
@@ -210,19 +215,26 @@ def text_quantities(spark, sf):
     return rows.select("p", got["quantity"].alias("quantity"), got["unit"].alias("unit"))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_partkey) AS k, min(CAST(l_quantity AS INTEGER)) AS q FROM lineitem GROUP BY 1, 2)
-SELECT doc, '2.' || n AS item, 'Leistung ' || n AS description, CAST(q AS DOUBLE) AS quantity, CASE WHEN k % 2 = 0 THEN 'm' ELSE 'Stück' END AS unit, 'dienstleistung' AS position_type
-FROM l WHERE n % 2 = 0 AND k % 5 <> 0""")
+@query("""WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_partkey) AS k, min(CAST(l_quantity AS INTEGER)) AS q FROM lineitem GROUP BY 1, 2),
+t AS (SELECT *, CASE WHEN k % 3 = 0 THEN '' ELSE 'Leistung ' || n END AS title, CASE WHEN k % 2 = 0 THEN 'm' ELSE 'Stk' END AS unit, unnest(range(1 + CAST(n % 4 = 0 AS INTEGER))) AS again FROM l)
+SELECT doc, '2.' || n AS item, CASE WHEN title = '' THEN '' ELSE title || ' ' END || 'Text dazu ' || again AS description, CASE WHEN title = '' THEN '' ELSE title || chr(10) || '  ' END || 'Text dazu ' || again || chr(10) || q || ' ' || unit || ' ________' AS raw_text,
+CAST(q AS DOUBLE) AS quantity, CASE WHEN k % 2 = 0 THEN 'm' ELSE 'Stück' END AS unit, 'dienstleistung' AS position_type FROM t WHERE n % 2 = 0 AND k % 5 <> 0""")
 def missing_positions(spark, sf):
+    """Every fourth number stands twice; a title may be a quantity; pages, rows of dots and a
+    document's end say nothing."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(c("l_orderkey").alias("doc"), c("l_linenumber").alias("n")).agg(
         F.min("l_partkey").alias("k"), F.min(c("l_quantity").cast("int")).alias("q")
     )
-    amount = F.when(c("k") % 5 != 0, F.concat(c("q").cast("string"), F.lit(" "), F.when(c("k") % 2 == 0, F.lit("m")).otherwise(F.lit("Stk"))))
-    text = F.concat_ws("\n", F.format_string("02.%04d Leistung %d", "n", "n"), F.lit("Seite 3"), F.lit("Text dazu"), amount)
-    docs = lines.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    blocks = quantities.heading_blocks(numbered(docs.select("doc", F.concat(F.lit("Vorbemerkung\n"), "text").alias("text")), "doc", "text"), "doc")
+    text = lambda again: F.concat_ws(
+        "\n", F.concat(F.format_string("02.%04d ", "n"), F.when(c("k") % 3 == 0, F.lit("77 kg")).otherwise(F.format_string("Leistung %d", "n"))), F.lit("Seite 3"), F.lit("  "), F.lit(f"  Text dazu {again} "),
+        F.lit("Einheitspreis .................."), F.when(c("k") % 5 != 0, F.concat(c("q").cast("string"), F.lit(" "), F.when(c("k") % 2 == 0, F.lit("m")).otherwise(F.lit("Stk")), F.lit(" ________"))),
+    )
+    both = F.when(c("n") % 4 == 0, F.concat_ws("\n", text(0), text(1))).otherwise(text(0))
+    docs = lines.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", both.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    whole = F.concat(F.lit("Vorbemerkung\n"), "text", F.lit("\n3.1 Ende\n"), F.repeat(F.lit("Text\n"), quantities.LAST_LINES_MISSING), F.lit("5 m"))
+    blocks = quantities.heading_blocks(numbered(docs.select("doc", whole.alias("text")), "doc", "text"), "doc")
     known = lines.where("n % 2 = 1").select("doc", F.concat(F.lit("2."), c("n").cast("string")).alias("item"))
-    return quantities.missing_positions(blocks, known, ["doc", "item"]).select("doc", "item", "description", "quantity", "unit", "position_type")
+    return quantities.missing_positions(blocks, known, ["doc", "item"]).select("doc", "item", "description", "raw_text", "quantity", "unit", "position_type")
 
 
 @query("""SELECT p_partkey AS p, CASE p_partkey % 6 WHEN 0 THEN '1.5.' || p_partkey || ' Rohr' WHEN 1 THEN '1.2.' || p_partkey WHEN 2 THEN '5.3.2.' || p_partkey || ' Text' WHEN 3 THEN 'Projekt: ' || p_partkey

@@ -175,7 +175,7 @@ def message_texts(spark, sf):
     conv = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     n = c("conv_id").cast("string")
     corpus = F.concat(F.lit("Guten Tag\n"), F.when(c("conv_id") % 3 != 0, F.concat(F.lit("1.2."), n, F.lit(" Rohr und noch etwas mehr Text\n"))).otherwise(F.lit("")), F.lit(" 7.8.9 anderes"))
-    item = F.concat(F.lit('{"name": "a } ['), n, F.lit('", "n": {"x": 1}}'))
+    item = F.concat(F.lit('{"name": "a } ['), n, F.lit('", "n": {"x": [{"y": {"z": "}"}}]}}'))
     cut = F.concat(F.lit("```json\n["), F.array_join(F.array_repeat(item, (c("conv_id") % 4).cast("int")), ",\n"), F.lit(',{"name": "abgeschn'))
     objects = F.size(F.from_json(ingest.complete_objects(cut), "array<map<string,string>>"))
     title = F.when(c("conv_id") % 3 == 0, F.concat(F.lit('{"eng": "x", "deu": ["Titel '), n, F.lit('", "y"]}'))).when(c("conv_id") % 3 == 1, F.concat(F.lit('{"mul": "Mehr '), n, F.lit('"}'))).otherwise(F.concat(F.lit('[{"fra": "Erst '), n, F.lit('"}]')))

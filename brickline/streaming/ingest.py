@@ -48,12 +48,30 @@ def passage(corpus: Column, number: Column, least: int = 20, most: int = 2200) -
     return F.when((start > 0) & (number != "") & (inside != ""), F.concat(F.substring(tail, F.lit(1), F.length(number)), inside))
 
 
+#: A JSON text's pieces: what is between strings and brackets, strings, brackets.
+PIECE = r'[^"{}\[\]]++|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]]'
+
+
 def complete_objects(text: Column) -> Column:
-    """The objects of a JSON array that may be cut off: from the first bracket to the last brace
-    that closes an object on the array's level, as a valid array; null without one."""
-    body = F.regexp_extract(text, r"(?s)\[\s*(.*)$", 1)
-    flat = r"\{(?:[^{}\"]|\"(?:[^\"\\]|\\.)*\"|\{(?:[^{}\"]|\"(?:[^\"\\]|\\.)*\")*\})*\}"
-    found = F.regexp_extract_all(body, F.lit(flat), F.lit(0))
+    """The objects of a JSON array that may be cut off: all those that are closed on the
+    array's level, however deep they nest, as a valid array; null without one.
+
+    The depth is a running count of brackets outside of strings."""
+    body = F.regexp_extract(text, r"(?s)\[(.*)$", 1)
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s){PIECE}"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(state: Column, x: Column) -> Column:
+        depth = state["depth"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+        # below the array's level nothing counts any more
+        depth = F.when(state["depth"] < 0, -1).otherwise(depth)
+        inside = (state["depth"] > 0) | ((state["depth"] == 0) & x.isin("{", "["))
+        grown = F.when(inside, F.concat(state["open"], x)).otherwise("")
+        closed = inside & (depth == 0)
+        done = F.when(closed & F.startswith(grown, F.lit("{")), F.concat(state["done"], F.array(grown))).otherwise(state["done"])
+        return F.struct(depth.alias("depth"), F.when(closed, "").otherwise(grown).alias("open"), done.alias("done"))
+
+    found = F.aggregate(pieces, start, step)["done"]
     return F.when(F.size(found) > 0, F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")))
 
 

@@ -69,3 +69,16 @@ def test_numbers_in_order(spark):
     rows = spark.range(1000).select((c("id") * 7919 % 1000).alias("x"))
     got = relational.numbered_in_order(rows, [c("x")]).collect()
     assert all(r["nth"] == r["x"] + 1 for r in got) and relational.numbered_in_order(rows.limit(0), [c("x")]).count() == 0
+
+
+def test_objects_of_any_depth_are_recovered(spark):
+    from brickline.streaming.ingest import complete_objects
+
+    texts = [
+        '[{"a":{"b":{"c":1}}},{"d":1}', 'x [ {"a": "}]{"}, {"b": [1, {"c": "\\"}"}]},\n{"cut": {"e": 1}', "[]", None, "no array", '[{"a":1}] [{"b":2}]', '[1, {"a":1}, [2], "{", {"b"',
+        '[{"t": "' + "x\\n" * 20_000 + '"}, {"u": "',
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", complete_objects(F.col("t")).alias("got")).orderBy("i").collect()
+    assert [r.got for r in rows] == [
+        '[{"a":{"b":{"c":1}}},{"d":1}]', '[{"a": "}]{"},{"b": [1, {"c": "\\"}"}]}]', None, None, None, '[{"a":1}]', '[{"a":1}]', '[{"t": "' + "x\\n" * 20_000 + '"}]',
+    ]
