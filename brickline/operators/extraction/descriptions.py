@@ -5,9 +5,10 @@ rows are described each; an empty table stays empty."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickline.functions.session import materialised
 from brickline.functions.text import any_of, if_set, text_of
 
 c = F.col
@@ -188,3 +189,67 @@ def service_description(description: Column, raw: Column, most: int = 800) -> Co
     pieces = F.transform(F.split(derived, ","), lambda x: F.btrim(x, F.lit(" .")))
     step = lambda done, x: F.when((x == "") | F.contains(F.lower(done), F.lower(x)) | (F.length(done) + F.length(x) + 2 > most), done).otherwise(F.concat(done, F.lit(", "), x))
     return F.substring(F.aggregate(pieces, base, step), 1, most)
+
+
+#: The names that display_description gives to a line's columns.
+FIELDS = {
+    "dn": "nominal_diameter_dn", "second_dn": "secondary_nominal_diameter_dn", "material": "material", "sn": "stiffness_class_sn", "norm": "norm",
+    "load_class": "load_class", "dimensions": "dimensions", "system": "system_family", "reference": "reference_product",
+}
+#: Lines that are folded at once; a longer run of lines that refer back goes on with the carry.
+RUN = 1000
+
+
+def referred_title(title: Column, description: Column, label: Column, previous: Column) -> Column:
+    """The title of a line whose own is poor, as display_title has it."""
+    before = F.when(~is_poor_title(previous), F.trim(F.get(F.split(previous, ","), F.lit(0))))
+    found = squeezed(F.coalesce(before, label, title))
+    return F.when(found != "", found).otherwise(F.coalesce(if_set(squeezed(description)), F.lit("Position")))
+
+
+def finalised(lines: DataFrame, key: str, order: str) -> DataFrame:
+    """Lines with their final description; one whose own title is poor is named after the
+    final description of the material line before it.
+
+    A material line with a title of its own starts a run, so runs don't depend on one
+    another and are folded side by side, RUN lines at a time with the last text as carry.
+    order is unique in a key.  Nulls: a null type is neither service nor a line to be named
+    after; null texts are empty; an empty table stays empty."""
+    own, derived = squeezed("description"), derived_title(F.col("raw_text"), F.col("description"))
+    service, material = F.col("position_type").eqNullSafe("dienstleistung"), F.col("position_type").eqNullSafe("material")
+    first = lines.select(
+        F.col(key).alias("key_"), F.col(order).alias("at_"), text_of("description").alias("said_"), text_of("raw_text").alias("raw_"), service.alias("service_"), material.alias("material_"),
+        F.when(~is_poor_title(own), own).otherwise(derived).alias("title_"), human_label(F.col("product_category"), F.col("product_subcategory")).alias("label_"), is_poor_title(own).alias("bare_"),
+        F.struct(*[F.col(c).alias(n) for n, c in FIELDS.items()]).alias("fields_"),
+    )
+    known = F.when(F.col("bare_") | F.col("label_").isNotNull(), F.col("fields_.system"))
+    first = materialised(first.withColumns({"needs_": ~F.col("service_") & is_poor_title("title_"), "fields_": F.col("fields_").withField("system", known)}))
+    values = lambda x: {n: x[n] for n in FIELDS}
+    clean = squeezed("title_")
+    alone = F.when(F.col("service_"), service_description(F.col("said_"), F.col("raw_"))).otherwise(display_description(clean, F.col("raw_"), values(F.col("fields_"))))
+    so_far = Window.partitionBy("key_").orderBy("at_").rowsBetween(Window.unboundedPreceding, 0)
+    rows = first.withColumn("final_", F.when(~F.col("needs_"), alone)).withColumn("run_", F.sum((F.col("material_") & ~F.col("needs_")).cast("int")).over(so_far))
+    place = F.row_number().over(Window.partitionBy("key_", "run_").orderBy("at_")) - 1
+    rows = materialised(rows.withColumn("chunk_", F.floor(place / RUN)))
+    keys = ["key_", "run_"]
+    carry = rows.where("material_ and not needs_").select(*keys, F.col("final_").alias("carry_"))
+    done = rows.where("not needs_").select("key_", "at_", "final_")
+    entry = F.struct("at_", "said_", "raw_", "material_", "title_", "label_", "fields_")
+
+    def step(state: Column, x: Column) -> Column:
+        title = referred_title(x["title_"], x["said_"], x["label_"], state["carry"])
+        # the title is bound once
+        text = F.get(F.transform(F.array(title), lambda t: display_description(t, x["raw_"], values(x["fields_"]))), F.lit(0))
+        return F.get(F.transform(F.array(text), lambda t: F.struct(
+            F.when(x["material_"], t).otherwise(state["carry"]).alias("carry"), F.concat(state["out"], F.array(F.struct(x["at_"].alias("at"), t.alias("text")))).alias("out"))), F.lit(0))
+
+    last = rows.where("needs_").agg(F.max("chunk_")).first()[0]
+    for chunk in range(0 if last is None else last + 1):
+        part = rows.where((F.col("chunk_") == chunk) & F.col("needs_")).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("lines_"))
+        kind = f"array<struct<at:{dict(first.dtypes)['at_']},text:string>>"
+        start = F.struct(F.col("carry_").alias("carry"), F.array().cast(kind).alias("out"))
+        folded = materialised(part.join(carry, keys, "left").select(*keys, F.aggregate("lines_", start, step).alias("state")))
+        done = done.unionByName(folded.select("key_", F.explode("state.out").alias("x")).select("key_", F.col("x.at").alias("at_"), F.col("x.text").alias("final_")))
+        carry = carry.join(folded.select(*keys, F.col("state.carry").alias("new_")), keys, "full_outer").select(*keys, F.coalesce("new_", "carry_").alias("carry_"))
+    out = lines.join(done, F.col(key).eqNullSafe(F.col("key_")) & (F.col(order) == F.col("at_")), "left")
+    return out.withColumn("description", F.col("final_")).drop("key_", "at_", "final_")

@@ -78,6 +78,36 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return existing.unionByName(incoming.join(existing.select(key), key, "left_anti"))
 
 
+def insert_or_ignore(existing: DataFrame, incoming: DataFrame, order: str, uniques: list[list[str]]) -> DataFrame:
+    """The rows of incoming that sequential insertion by order keeps: those that share no
+    unique key with an existing row or with an earlier row that is kept.  A key with a null
+    is no key; order must be unique.
+
+    Round by round: a row that is the first of all that are left at each of its keys is
+    kept, and what shares a key with it goes.  A row that goes bars no later one any more.
+    A conflict chain that runs against chance takes a few rounds, each a pass over what is left."""
+    def keys(df: DataFrame) -> Column:
+        own = [F.when(reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in u]), F.concat(F.lit(f"{i}:"), F.to_json(F.struct(*u)))) for i, u in enumerate(uniques)]
+        return F.explode(F.array_compact(F.array(*own))).alias("unique_key")
+
+    taken = existing.select(keys(existing)).distinct()
+    left = materialised(incoming.select(F.col(order).alias("nth_row"), keys(incoming)))
+    hit = left.join(taken, "unique_key", "left_semi").select("nth_row").distinct()
+    left = materialised(left.join(hit, "nth_row", "left_anti"))
+    gone = [hit]
+    while not left.isEmpty():
+        first = left.groupBy("unique_key").agg(F.min("nth_row").alias("first_row"))
+        kept = left.join(first, "unique_key").groupBy("nth_row").agg(F.bool_and(F.col("nth_row") == F.col("first_row")).alias("is_first")).where("is_first").select("nth_row")
+        kept = materialised(kept)
+        barred = left.join(kept, "nth_row", "left_semi").select("unique_key").distinct()
+        rest = left.join(kept, "nth_row", "left_anti")
+        lost = materialised(rest.join(barred, "unique_key", "left_semi").select("nth_row").distinct())
+        gone.append(lost)
+        left = materialised(rest.join(lost, "nth_row", "left_anti"))
+    out = reduce(lambda a, b: a.unionByName(b), gone)
+    return incoming.join(out, F.col(order) == F.col("nth_row"), "left_anti")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, updated: list[str], newest: list[Column]) -> DataFrame:
     """Incoming rows (the newest of each key) inserted; on a hit only `updated` changes."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(*newest))

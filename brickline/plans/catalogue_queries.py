@@ -600,18 +600,40 @@ def ingest_stream_dedupe(spark, sf):
     return seen.join(counts, ["user_id", "event_type", "props_md5"])
 
 
-@query(None)
+_MAILS = """tok AS (SELECT p_partkey, list_distinct(string_split(concat_ws(' ', p_name, lower(p_type), lower(p_brand)), ' ')) AS tokens FROM part),
+r AS (SELECT DISTINCT l_orderkey AS mail_id, l_returnflag = 'R' AS request, l_linenumber * 1000003 + l_partkey AS id, CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_suppkey % 10 AS VARCHAR) END AS number, tokens FROM lineitem JOIN tok ON l_partkey = p_partkey),
+q AS (SELECT mail_id, list({'id': id, 'number': number, 'tokens': tokens} ORDER BY id) FILTER (request) AS reqs FROM r GROUP BY 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY mail_id ORDER BY id) AS n FROM r WHERE NOT request)"""
+
+
+@query(f"""WITH RECURSIVE {_MAILS}, st AS (SELECT mail_id, CAST(0 AS BIGINT) AS n, coalesce(reqs, []) AS free, CAST(NULL AS BIGINT) AS line_id, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS matched_by FROM q
+UNION ALL SELECT mail_id, n, list_filter(free, lambda x: x.id IS DISTINCT FROM chosen), id, chosen, CASE WHEN named IS NOT NULL THEN 'number' WHEN best IS NOT NULL THEN 'tokens' WHEN sole IS NOT NULL THEN 'sole' END
+FROM (SELECT *, coalesce(named, best, sole) AS chosen FROM (SELECT st.mail_id, l.n, st.free, l.id, CASE WHEN len(list_filter(st.free, lambda x: x.id = w.id)) > 0 THEN w.id END AS named,
+  CASE WHEN len(st.free) = 1 THEN st.free[1].id END AS sole, list_sort(list_filter(list_transform(st.free, lambda x: {{'less': -len(list_intersect(x.tokens, l.tokens)), 'id': x.id}}), lambda y: y.less <= -2))[1].id AS best
+  FROM st JOIN l ON l.mail_id = st.mail_id AND l.n = st.n + 1 LEFT JOIN (SELECT mail_id, number, max(id) AS id FROM r WHERE request AND number IS NOT NULL GROUP BY 1, 2) w ON w.mail_id = l.mail_id AND w.number = l.number)))
+SELECT mail_id, line_id, request_id, matched_by FROM st WHERE n > 0""")
 def greedy_assignment(spark, sf):
+    """Returned lines are the open requests, the others what a mail offers."""
     t = Tables(spark, sf)
-    parts = t.part.select("p_partkey", F.split(F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand")), " ").alias("tokens"))
-    side = lambda flag, name: t.lineitem.where(c("l_returnflag") == flag).join(parts, c("l_partkey") == c("p_partkey")).select(
-        c("l_orderkey").alias("mail_id"), F.lit(name).alias("side"), (c("l_linenumber") * 1000003 + c("l_partkey")).cast("long").alias("id"),
-        F.when(c("l_linenumber") % 3 == 0, c("l_suppkey").cast("string")).alias("number"), "tokens",
+    parts = t.part.select("p_partkey", F.array_distinct(F.split(F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand")), " ")).alias("tokens"))
+    rows = t.lineitem.join(parts, c("l_partkey") == c("p_partkey")).select(
+        c("l_orderkey").alias("mail_id"), F.when(c("l_returnflag") == "R", "request").otherwise("line").alias("side"), (c("l_linenumber") * 1000003 + c("l_partkey")).cast("long").alias("id"),
+        F.when(c("l_linenumber") % 3 == 0, (c("l_suppkey") % 10).cast("string")).alias("number"), "tokens",
     ).distinct()
-    return reconcile.greedy_assignment(side("A", "line").unionByName(side("R", "request")))
-
-
-__all__ = ["ORACLE", "QUERIES", "materialised"]
+    return reconcile.greedy_assignment(rows)
+
+
+@query("""WITH RECURSIVE r AS (SELECT p_partkey AS id, p_partkey % 20 AS g, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS n, CASE WHEN p_partkey % 13 <> 0 THEN p_partkey * 7 % 41 END AS a, p_partkey * p_partkey % 53 AS b, p_size % 9 AS c FROM part),
+st AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, false AS ok, [CAST(3 AS BIGINT)] AS seen_a, CAST([] AS VARCHAR[]) AS seen_b FROM r
+UNION ALL SELECT g, n, id, ok, CASE WHEN ok AND a IS NOT NULL THEN list_append(seen_a, a) ELSE seen_a END, CASE WHEN ok THEN list_append(seen_b, b || '/' || c) ELSE seen_b END
+FROM (SELECT r.*, st.seen_a, st.seen_b, NOT coalesce(list_contains(st.seen_a, a), false) AND NOT list_contains(st.seen_b, b || '/' || c) AS ok FROM st JOIN r ON r.g = st.g AND r.n = st.n + 1))
+SELECT id FROM st WHERE ok""")
+def insert_or_ignore(spark, sf):
+    """Two unique keys, (g, a) and (g, b, c); an existing row of each g has a = 3."""
+    rows = Tables(spark, sf).part.selectExpr("p_partkey as id", "p_partkey % 20 as g", "case when p_partkey % 13 <> 0 then p_partkey * 7 % 41 end as a", "p_partkey * p_partkey % 53 as b", "p_size % 9 as c")
+    existing = rows.select(c("g").alias("id"), "g", F.lit(3).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("c")).distinct()
+    kept = relational.insert_or_ignore(existing, rows, "id", [["g", "a"], ["g", "b", "c"]])
+    return kept.select("id")
 
 
 # -- reading free text -----------------------------------------------------------------

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from brickline.functions.session import materialised, shared_folder
 from brickline.operators import statuslog
+from brickline.operators.extraction import descriptions
+from brickline.plans.tally_queries import POS, positions
 from brickline.streaming import ingest, mailbox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +133,22 @@ def mailbox_sync(spark, sf):
 @query(f"WITH {MAIL} SELECT inquiry_id, message_id AS message_key FROM hits")
 def mailbox_offers(spark, sf):
     return received(spark, sf).table("offers").select("inquiry_id", "message_key")
+
+
+# -- descriptions that refer to the line before ------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {POS}, l AS (SELECT project, line, row_number() OVER (PARTITION BY project ORDER BY line) AS n, service, k % 5 <> 0 AND k % 7 <> 0 AS material, CASE k % 3 WHEN 0 THEN 'Bauteil ' || k WHEN 1 THEN 'wie zuvor' ELSE '' END AS own,
+CASE k % 4 WHEN 0 THEN 'Abwasserkanal' WHEN 1 THEN 'Entwässerungsrinne' END AS label, CASE WHEN k % 2 = 0 THEN ', DN ' || (100 + k % 5 * 25) ELSE '' END || CASE WHEN k % 11 = 0 THEN ', PP' ELSE '' END AS details FROM kinds),
+st AS (SELECT DISTINCT project, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS line, CAST(NULL AS VARCHAR) AS carry, CAST(NULL AS VARCHAR) AS text FROM l
+UNION ALL SELECT project, n, line, CASE WHEN material THEN text ELSE carry END, text FROM (SELECT st.project, l.n, CAST(l.line AS BIGINT) AS line, l.material, st.carry, CASE WHEN service THEN own WHEN own LIKE 'Bauteil%' THEN own || details
+ELSE coalesce(CASE WHEN carry NOT LIKE 'wie zuvor%' THEN split_part(carry, ',', 1) END, label, nullif(own, ''), 'Position') || details END AS text FROM st JOIN l ON l.project = st.project AND l.n = st.n + 1))
+SELECT project, line, text AS description FROM st WHERE n > 0""")
+def finalised_lines(spark, sf):
+    rows = positions(spark, sf).selectExpr(
+        "project", "line", "position_type", "case k % 3 when 0 then concat('Bauteil ', k) when 1 then 'wie zuvor' else '' end as description", "cast(null as string) as raw_text",
+        "case k % 4 when 0 then 'Kanalrohre' when 1 then 'Rinnen' end as product_category", "cast(null as string) as product_subcategory",
+        "cast(case when k % 2 = 0 then 100 + k % 5 * 25 end as int) as nominal_diameter_dn", "cast(null as int) as secondary_nominal_diameter_dn", "case when k % 11 = 0 then 'PP' end as material",
+        "cast(null as int) as stiffness_class_sn", *[f"cast(null as string) as {n}" for n in ("norm", "load_class", "dimensions", "system_family", "reference_product")],
+    )
+    return descriptions.finalised(rows, "project", "line").select("project", c("line").cast("long").alias("line"), "description")

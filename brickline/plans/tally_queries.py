@@ -134,15 +134,16 @@ def suggestions_with_offers(spark, sf):
     return tallies.suggestions_with_offers(own, offers, rows.select("position_id", "number", "quantity")).select("position_id", "place", "artikel_id", "price_net", "total_net", "score", "is_offer")
 
 
-@query(f"""WITH {POS}, p AS (SELECT position_id, CASE WHEN k % 11 = 0 THEN NULL ELSE project END AS pr, k % 4 AS kind, k FROM kinds), s AS (SELECT s_suppkey, s_suppkey % 4 AS kind FROM supplier WHERE s_suppkey <= 40)
+@query(f"""WITH {POS}, p AS (SELECT position_id, k % 50 AS kind, k FROM kinds), s AS (SELECT s_suppkey, s_suppkey % 50 AS kind FROM supplier)
 SELECT position_id, s_suppkey AS supplier_id FROM p JOIN s USING (kind) WHERE NOT (k % 3 = 0 AND s_suppkey % 8 < 4)""")
 def suppliers_to_ask(spark, sf):
-    kinds = ["Rohre", "Rinnen", "SCHÄCHTE", "Dichtung"]
-    named = lambda i, low: F.get(F.array(*[F.lit(x.lower() if low else x) for x in kinds]), i.cast("int"))
+    """All suppliers of the position's category, but for those that were asked already."""
+    named = lambda i, pattern: F.format_string(pattern, (i % 50).cast("int"))
     rows = positions(spark, sf).withColumn("project", F.when(c("k") % 11 != 0, c("project")))
-    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey <= 40").select(c("s_suppkey").alias("supplier_id"), F.array(named(c("s_suppkey") % 4, True), F.lit("Alles")).alias("categories"))
-    asked = rows.where("k % 3 = 0").select("position_id", c("project").alias("project_id"), F.lit("angefragt").alias("status")).join(suppliers.where("supplier_id % 8 < 4").select("supplier_id"))
-    return tallies.suppliers_to_ask(rows.select("position_id", c("project").alias("project_id"), named(c("k") % 4, False).alias("category")), suppliers, asked)
+    listed = spark.read.parquet(f"{sf}/supplier.parquet").select(c("s_suppkey").alias("supplier_id"), named(c("s_suppkey"), "schächte %d").alias("kind"))
+    asked = rows.where("k % 3 = 0").select("position_id", c("project").alias("project_id"), F.lit("angefragt").alias("status"), named(c("k"), "schächte %d").alias("kind")).join(listed.where("supplier_id % 8 < 4"), "kind").drop("kind")
+    suppliers = listed.select("supplier_id", F.array("kind", F.lit("Alles")).alias("categories"))
+    return tallies.suppliers_to_ask(rows.select("position_id", c("project").alias("project_id"), named(c("k"), "SCHÄCHTE %d").alias("category")), suppliers, asked)
 
 
 @query(f"""WITH {POS}, r AS (SELECT *, line % 3 AS item, row_number() OVER (PARTITION BY project, line % 3 ORDER BY line DESC) = 1 AS last FROM kinds)

@@ -58,10 +58,52 @@ def test_two_key_fallback_and_superseded(spark):
     assert sorted(r["i"] for r in got) == [2, 3]
 
 
-def test_greedy_assignment():
-    lines_ = [(1, "1.1", ["a", "b"]), (2, None, ["x", "y", "z"]), (3, None, ["q"]), (4, None, [])]
-    requests = [(10, "9", ["x", "y"]), (11, "1.1", []), (12, None, ["k"])]
-    assert reconcile.assigned(lines_, requests) == [(1, 11, "number"), (2, 10, "tokens"), (3, 12, "sole"), (4, None, None)]
+def test_greedy_assignment(spark):
+    line = [(1, "1.1", ["a", "b"]), (2, None, ["x", "y", "z"]), (3, None, ["q"]), (4, None, None)]
+    request = [(10, "9", ["x", "y"]), (11, "1.1", []), (12, None, ["k"])]
+    rows = [(7, s, *r) for s, side in (("line", line), ("request", request)) for r in side]
+    rows += [(8, "line", 1, "5", ["p", "q"]), (8, "line", 2, "5", ["p", "q"]), (8, "request", 20, "5", ["z"]), (8, "request", 21, "5", []), (8, "request", 22, None, ["p", "q"])]
+    rows += [(None, "line", 1, "", ["a"]), (None, "line", 1, "", ["a"]), (9, "request", 1, "1", [])]
+    got = reconcile.greedy_assignment(spark.createDataFrame(rows, "mail_id long, side string, id long, number string, tokens array<string>"))
+    by_mail = lambda m: [tuple(r)[1:] for r in got.collect() if r.mail_id == m]
+    assert by_mail(7) == [(1, 11, "number"), (2, 10, "tokens"), (3, 12, "sole"), (4, None, None)]
+    # of two requests with one number the last has it
+    assert by_mail(8) == [(1, 21, "number"), (2, 22, "tokens")] and by_mail(None) == [(1, None, None)] * 2 and by_mail(9) == []
+
+
+def test_insert_or_ignore(spark):
+    import random
+
+    rng = random.Random(6)
+    some = lambda n: None if rng.random() < 0.1 else rng.randrange(n)
+    rows = [(i, some(30), some(25), some(4)) for i in range(120)]
+    schema = "i int, a int, b int, c int"
+    seen, want = {("a", 5)}, []
+    for i, a, b, k in rows:
+        keys = {("a", a)} if a is not None else set()
+        keys |= {("b", b, k)} if None not in (b, k) else set()
+        if not keys & seen:
+            seen |= keys
+            want.append(i)
+    existing = spark.createDataFrame([(0, 5, None, 1)], schema)
+    got = relational.insert_or_ignore(existing, spark.createDataFrame(rows, schema), "i", [["a"], ["b", "c"]])
+    assert sorted(r.i for r in got.collect()) == want
+    none = spark.createDataFrame([], schema)
+    assert relational.insert_or_ignore(none, none, "i", [["a"]]).count() == 0
+
+
+def test_finalised_descriptions_go_on_from_chunk_to_chunk(spark, monkeypatch):
+    from brickline.operators.extraction import descriptions
+
+    fields = ", ".join(f"{n} {'int' if n in ('nominal_diameter_dn', 'secondary_nominal_diameter_dn', 'stiffness_class_sn') else 'string'}" for n in descriptions.FIELDS.values())
+    line = lambda i, kind, text, dn=None: ("d", i, kind, text, None, None, None, dn, *[None] * (len(descriptions.FIELDS) - 1))
+    rows = [line(0, "material", "", 100), line(1, "material", "Rohr, rund", 150), line(2, "material", "wie zuvor", 200), line(3, "dienstleistung", "Prüfen"), line(4, None, "", 300), *[line(i, "material", "wie zuvor", i) for i in range(5, 12)]]
+    df = spark.createDataFrame(rows, f"doc string, n int, position_type string, description string, raw_text string, product_category string, product_subcategory string, {fields}")
+    want = ["Position, DN 100", "Rohr, rund, DN 150", "Rohr, DN 200", "Prüfen", "Rohr, DN 300", *[f"Rohr, DN {i}" for i in range(5, 12)]]
+    for run in (1000, 3):
+        monkeypatch.setattr(descriptions, "RUN", run)
+        assert [r.description for r in descriptions.finalised(df, "doc", "n").orderBy("n").collect()] == want
+    assert descriptions.finalised(df.limit(0), "doc", "n").count() == 0
 
 
 def test_catalogue_csv(spark, tmp_path):
