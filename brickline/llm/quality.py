@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickline.llm.common import stored
+
 PASSAGE = 40
 TRAIN_ROWS = 4_000
 PAIR_CELLS = 64
@@ -237,12 +239,13 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Mil | None:
     """The model, from at most about train_rows labelled documents where train holds."""
-    known = labels.where(train & F.col("quality").isNotNull()).select("doc_id", "quality").dropna()
+    known = labels.where(train & F.col("quality").isNotNull()).select("doc_id", "quality").dropna().distinct()
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).where(F.col("size") <= train_bytes // 100)
-    n, size = known.join(sized, "doc_id").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    found = stored(known.join(sized, "doc_id"), "quality-labels")
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     share = min(1.0, train_rows / max(n, 1), train_bytes / max(size, 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # bounded by train_rows rows, as long as ids don't repeat without end
+    # labels that have a document, each once: no more than about train_rows of them
+    known = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "quality").distinct()
     rows = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= train_bytes // 100).select("doc_id", F.encode("text", "utf-8").alias("text"))
     rows = rows.join(F.broadcast(known), "doc_id").select("quality", "text")
     got = rows.mapInArrow(_encode, "y double, n int, x binary").orderBy(F.xxhash64("x")).collect()
