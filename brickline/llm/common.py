@@ -60,3 +60,15 @@ def ascii_lower(text: Column) -> Column:
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

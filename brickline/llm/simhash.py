@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from brickline.llm.common import stored
+from brickline.llm.common import free_names, stored
 
 SEED = 42
 #: Fingerprints that share a variant before the values between them take over.
@@ -231,14 +231,16 @@ def deduplicated(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFram
 
 def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents named by kept (k_id, k_hash: doc_id and the text's hash)."""
+    id_, hash_ = free_names(docs, "k_id", "k_hash")
+    kept = kept.withColumnsRenamed({"k_id": id_, "k_hash": hash_})
     text_hash = F.xxhash64("text")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("k_id")) & (text_hash == F.col("k_hash")), "left_semi")
-    again = stored(docs.groupBy(F.col("doc_id").alias("i"), text_hash.alias("h")).count().where("count > 1"), "repeated")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_)), "left_semi")
+    again = stored(docs.groupBy(F.col("doc_id").alias(id_), text_hash.alias(hash_)).count().where("count > 1").drop("count"), "repeated")
     if again.isEmpty():
         return out
     # rows repeated with id and text are copies of one another: one stays, the first as JSON
-    same = out["doc_id"].eqNullSafe(F.col("i")) & (text_hash == F.col("h"))
+    same = out["doc_id"].eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_))
     whole = F.struct(*[out[f"`{c}`"] for c in out.columns])
-    repeated = out.join(again, same).select("i", "h", whole.alias("row"), F.to_json(whole).alias("as_text"))
+    repeated = out.join(again, same).select(F.col(id_).alias("i"), F.col(hash_).alias("h"), whole.alias("row"), F.to_json(whole).alias("as_text"))
     first = repeated.groupBy("i", "h").agg(F.min_by("row", "as_text").alias("row")).select("row.*")
     return out.join(again, same, "left_anti").unionByName(first)

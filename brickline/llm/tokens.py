@@ -270,9 +270,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, order: s
     kind, by_file = dict(docs.dtypes)["doc_id"], order == "stored"
     text = F.encode("text", "utf-8").alias("text")
     if by_file:
-        name = F.col("_metadata.file_name")
+        file = docs.metadataColumn("_metadata")
+        name = file["file_name"]
         number = F.coalesce(F.regexp_extract(name, r"part-([0-9]+)", 1).try_cast("long"), F.lit(0))
-        rows = docs.select("doc_id", text, number.alias("part"), name.alias("file"), F.col("_metadata.row_index").alias("at"))
+        rows = docs.select("doc_id", text, number.alias("part"), name.alias("file"), file["row_index"].alias("at"))
     else:
         hashed = docs.select("doc_id", text, F.xxhash64("text").alias("h"))
         rows = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")

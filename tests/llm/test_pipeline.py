@@ -83,3 +83,18 @@ def test_an_empty_table(spark, tmp_path):
         stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    rows = [(i, f"word{i} " * 12 + "the same end of all these texts", "en", "s", 9) for i in (1, 2, 2, 3, 4)] + [(None, "word9 " * 12, "en", None, 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["k_id", "K_hash", "i", "h", "_metadata", "row", "count", "a.b", "as_text", "part", "file", "at", "node", "root"]
+    docs = docs.selectExpr("*", *[f"{j} as `{n}`" for j, n in enumerate(names)])
+    stages = dict(corpus_pipeline.STAGES)
+    for name, n in (("near_dedup", 5), ("decontamination", 5), ("mix", None), ("token_ids", None)):
+        out = stages[name](spark, docs, DATA)
+        out.write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        assert n is None or docs.count() == n
+        assert name == "token_ids" or docs.columns == before.columns
+    assert docs.count() > 0
