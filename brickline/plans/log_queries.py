@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brickline.functions.session import materialised, shared_folder
-from brickline.operators import statuslog
+from brickline.operators import statuslog, tenders
 from brickline.operators.extraction import descriptions
 from brickline.plans.tally_queries import POS, positions
 from brickline.streaming import ingest, mailbox
@@ -152,3 +152,57 @@ def finalised_lines(spark, sf):
         "cast(null as int) as stiffness_class_sn", *[f"cast(null as string) as {n}" for n in ("norm", "load_class", "dimensions", "system_family", "reference_product")],
     )
     return descriptions.finalised(rows, "project", "line").select("project", c("line").cast("long").alias("line"), "description")
+
+
+# -- two refreshes of the tenders --------------------------------------------------------------
+
+#: Expressions that Spark and DuckDB both read, of k (a customer as a notice) and i (a city).
+NOTICE = {
+    "k": "k", "external_id": "concat('X', k % 700)", "title": "concat('Titel ', k)", "city": "case when k % 23 = 0 then null else concat(' Stadt ', k % 30) end",
+    "relevance": "cast(k % 60 as int)", "source": "case when k % 5 = 0 then 'nrw' else 'ted' end",
+}
+STORED = {"external_id": "concat('S', k)", "title": "'alt'", "city": "concat('Stadt ', 9 + k % 8)", "lat": "50.7 + (k % 8 - 1) * 0.1e0", "lng": "7.1e0", "relevance": "cast(k as int)", "source": "'ted'"}
+_NEAR = "(city = ' Stadt 25' OR CAST(trim(city[7:]) AS INTEGER) BETWEEN 0 AND 4 OR CAST(trim(city[7:]) AS INTEGER) BETWEEN 6 AND 14)"
+
+
+def _saved(name: str, now: str, run: str, source: str) -> str:
+    """One source's notices of one run put into now."""
+    return f"""{name}_n AS (SELECT * FROM near WHERE source = '{source}' AND {run}),
+{name} AS (SELECT coalesce(o.external_id, g.external_id) AS external_id, CASE WHEN o.external_id IS NULL THEN g.title ELSE o.title END AS title, coalesce(g.score, o.relevance) AS relevance, o.external_id IS NULL AS is_new
+FROM {now} o FULL JOIN (SELECT external_id, arg_min(title, k) AS title, arg_max(relevance, k) AS score FROM {name}_n GROUP BY 1) g ON o.external_id = g.external_id)"""
+
+
+_TENDERS = f"""near AS (SELECT k, external_id, title, CASE WHEN source = 'nrw' THEN greatest(relevance, 15) ELSE relevance END AS relevance, source FROM (SELECT {', '.join(f'{x} AS {n}' for n, x in NOTICE.items())} FROM (SELECT c_custkey AS k FROM customer))
+WHERE {_NEAR} AND (source = 'nrw' OR relevance >= 10)),
+s0 AS (SELECT {', '.join(f'{x} AS {n}' for n, x in STORED.items())} FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey <= 20)), s AS (SELECT * FROM s0 WHERE lat < 51.15),
+{_saved('a', 's', 'k % 3 <> 0', 'nrw')}, {_saved('b', 'a', 'k % 3 <> 0', 'ted')}, {_saved('d', 'b', 'k % 3 = 0', 'nrw')}, {_saved('e', 'd', 'k % 3 = 0', 'ted')}"""
+
+
+def refreshes(spark: SparkSession, sf: str) -> list[tenders.Refresh]:
+    """Two refreshes, the second with other notices and the first one's tenders and places."""
+    customers = spark.read.parquet(f"{sf}/customer.parquet").select(c("c_custkey").alias("k"))
+    notices = customers.selectExpr(*[f"{x} as {n}" for n, x in NOTICE.items()])
+    stored = customers.where("k <= 20").selectExpr(*[f"{x} as {n}" for n, x in STORED.items()])
+    cities = customers.selectExpr("k % 30 as i").distinct()
+    # the cache has five cities, at the centre; the gazetteer twenty, these elsewhere
+    places = cities.where("i < 5").selectExpr("concat('stadt ', i) as place", "50.7e0 as lat", "7.1e0 as lng")
+    gazetteer = cities.where("i < 20").selectExpr("concat('Stadt ', i) as city", "case when i < 5 then 60e0 else 50.7e0 + (i - 10) * 0.1e0 end as lat", "7.1e0 as lng")
+    out: list[tenders.Refresh] = []
+    for part in ("k % 3 <> 0", "k % 3 = 0"):
+        now, known = (out[-1].tenders, out[-1].places) if out else (stored, places)
+        out.append(tenders.refresh(now, notices.where(part), known, gazetteer, "k", ("nrw", "ted"), (50.7, 7.1), 50.0, ("stadt 25",)))
+    return out
+
+
+@query(f"WITH {_TENDERS} SELECT external_id, title, relevance FROM e")
+def tender_refresh(spark, sf):
+    return refreshes(spark, sf)[-1].tenders.select("external_id", "title", "relevance")
+
+
+@query(f"""WITH {_TENDERS}, n AS (SELECT 1 AS run, 'nrw' AS source, (SELECT count(*) FROM a_n) AS fetched, (SELECT count(*) FROM a WHERE is_new) AS new UNION ALL SELECT 1, 'ted', (SELECT count(*) FROM b_n), (SELECT count(*) FROM b WHERE is_new)
+UNION ALL SELECT 2, 'nrw', (SELECT count(*) FROM d_n), (SELECT count(*) FROM d WHERE is_new) UNION ALL SELECT 2, 'ted', (SELECT count(*) FROM e_n), (SELECT count(*) FROM e WHERE is_new))
+SELECT run, source, fetched, new, CASE run WHEN 1 THEN (SELECT count(*) FROM b) ELSE (SELECT count(*) FROM e) END AS total, CASE run WHEN 1 THEN (SELECT count(*) FROM s0) - (SELECT count(*) FROM s) ELSE 0 END AS removed
+FROM (SELECT * FROM n UNION ALL SELECT run, NULL, CAST(sum(fetched) AS BIGINT), CAST(sum(new) AS BIGINT) FROM n GROUP BY 1)""")
+def tender_refresh_counts(spark, sf):
+    first, second = refreshes(spark, sf)
+    return first.counts.withColumn("run", F.lit(1)).unionByName(second.counts.withColumn("run", F.lit(2)))

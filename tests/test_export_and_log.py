@@ -78,3 +78,23 @@ def test_status_log(spark):
     assert sorted((r.inquiry_id, r.status, r.notes) for r in statuslog.inquiries(log, state).collect()) == [(10, "angebot_erhalten", "erste"), (12, "angefragt", None), (20, "offen", None), (21, "offen", None)]
     assert sorted(tuple(r) for r in statuslog.project_states(log, state).collect()) == [(1, 2, 1, "anfrage_offen"), (2, 2, 2, "anfrage_offen"), (3, 0, 0, "gerechnet"), (4, 0, 0, "neu")]
     assert statuslog.project_states(log.limit(0), statuslog.folded(log.limit(0))).count() == 0
+
+
+def test_tender_refresh(spark):
+    from brickline.operators import tenders
+
+    stored = spark.createDataFrame([("a", "alt", "Bonn", 50.7, 7.1, 20, "ted"), ("b", "weit", "Ulm", 48.4, 10.0, 90, "ted"), ("c", "ohne Ort", None, None, None, 50, "nrw")],
+                                   "external_id string, title string, city string, lat double, lng double, relevance int, source string")
+    notices = spark.createDataFrame([
+        (1, "a", "neu", "Bonn", 11, "ted"), (2, "d", "erste", " KÖLN ", 3, "nrw"), (3, "d", "zweite", "Köln", 40, "ted"), (4, "e", "schwach", "Bonn", 9, "ted"),
+        (5, "f", "weit", "Ulm", 99, "nrw"), (6, "g", None, None, 99, "ted"), (7, "h", "Dorf", "Dorf", 50, "ted"), (8, "h", "Dorf 2", "Dorf", 60, "ted"),
+    ], "n int, external_id string, title string, city string, relevance int, source string")
+    places = spark.createDataFrame([("bonn", 50.73, 7.1)], "place string, lat double, lng double")
+    gazetteer = spark.createDataFrame([("Bonn", 0.0, 0.0), ("Köln", 50.94, 6.96), ("Ulm", 48.4, 10.0), ("Nirgends", None, None)], "city string, lat double, lng double")
+    ask = lambda t, n: tenders.refresh(t, n, places, gazetteer, "n", ("nrw", "ted"), (50.7, 7.1), 50.0, ("dorf",))
+    got = ask(stored, notices)
+    assert sorted(tuple(r) for r in got.tenders.select("external_id", "title", "relevance").collect()) == [("a", "alt", 11), ("d", "erste", 40), ("h", "Dorf", 60)]
+    assert [tuple(r) for r in got.counts.collect()] == [("nrw", 1, 1, 3, 2), ("ted", 4, 1, 3, 2), (None, 5, 2, 3, 2)]
+    assert {r.place for r in got.places.collect()} == {"bonn", "köln", "ulm"}
+    none = ask(stored.limit(0), notices.limit(0))
+    assert none.tenders.count() == 0 and none.counts.where("source is null").first().total == 0
