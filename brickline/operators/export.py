@@ -77,15 +77,8 @@ def assignments(positions: DataFrame, selections: DataFrame, terms: DataFrame, i
     return keyed.join(known, ["project", "position_id"]).join(terms, ["project", "assignment_key"], "left")
 
 
-#: What lines and misses have in common.
-LINE = (
-    "project", "place", "position_id", "nth", "number", "description", "quantity", "unit", "artikel_id", "name", "maker", "price_net", "total_net",
-    "is_additional", "is_alternative", "supplier_open", "is_line", "warnings",
-)
-
-
 def resolved(assigned: DataFrame, products: DataFrame, offers: DataFrame) -> DataFrame:
-    """Every assignment as LINE: a line, or none (is_line false), with its warnings in order."""
+    """Every assignment as an offer's line, or as none (is_line false), with its warnings in order."""
     own = assigned.withColumns({"asked": c("quantity"), "quantity": F.coalesce(F.when(c("quantity") != 0, c("quantity").cast("double")), F.lit(1.0))})
     bought = F.startswith("artikel_id", F.lit(OFFER_PREFIX))
 
@@ -119,15 +112,20 @@ def resolved(assigned: DataFrame, products: DataFrame, offers: DataFrame) -> Dat
 
 
 def export_lines(found: DataFrame) -> DataFrame:
-    """The lines of resolved(), numbered in each project in the selections' order."""
+    """The lines of resolved(); in a project they stand in the order of place and nth."""
     return found.where("is_line").drop("is_line", "warnings")
 
 
+def unassigned(positions: DataFrame, selections: DataFrame) -> DataFrame:
+    """Positions, but for services, without an article."""
+    some = selections.where(F.size("articles") > 0).select("project", "position_id").distinct()
+    return positions.where(~F.coalesce(c("position_type") == SERVICE, F.lit(False))).join(some, ["project", "position_id"], "left_anti")
+
+
 def export_warnings(positions: DataFrame, selections: DataFrame, found: DataFrame) -> DataFrame:
     """project, side, place, nth, at, position_id, number, reason: by these first columns the
     warnings stand in order, positions without an article before all others."""
-    some = selections.where(F.size("articles") > 0).select("project", "position_id").distinct()
-    none = positions.where(~F.coalesce(c("position_type") == SERVICE, F.lit(False))).join(some, ["project", "position_id"], "left_anti")
+    none = unassigned(positions, selections)
     first = none.select("project", F.lit(0).alias("side"), "place", F.lit(0).alias("nth"), F.lit(0).alias("at"), "position_id", "number", F.lit(UNASSIGNED).alias("reason"))
     later = found.select("project", F.lit(1).alias("side"), "place", "nth", F.posexplode("warnings").alias("at", "reason"), "position_id", "number")
     return first.unionByName(later)
@@ -164,15 +162,18 @@ def gate(positions: DataFrame, selections: DataFrame, inquiries: DataFrame) -> D
 def exported(positions: DataFrame, selections: DataFrame, inquiries: DataFrame, found: DataFrame) -> DataFrame:
     """One row per project: code (200 if exported) and detail; of what is exported the
     counts, whether a line is an alternative, the amounts and the project's new status."""
-    lines = export_lines(found)
-    sums = pricing.totals(lines, "project").join(lines.groupBy("project").agg(F.bool_or("is_alternative").alias("any_alternative")), "project")
-    warned = export_warnings(positions, selections, found).groupBy("project").agg(F.count("*").alias("n_warnings"))
+    sums = pricing.taxed(found.groupBy("project").agg(
+        F.count_if("is_line").alias("n_lines"), F.bool_or(c("is_line") & c("is_alternative")).alias("any_alternative"),
+        F.sum(F.when(c("is_line"), c("total_net"))).alias("net"), F.sum(F.size("warnings")).alias("n_said"),
+    ))
+    none = unassigned(positions, selections).groupBy("project").agg(F.count("*").alias("n_none"))
     every = positions.groupBy("project").agg(F.count("*").alias("n_positions"))
-    all_ = every.join(gate(positions, selections, inquiries), "project", "left").join(sums, "project", "left").join(warned, "project", "left")
-    code = F.coalesce("code", F.when(c("n_lines").isNull(), 400), F.lit(200))
+    all_ = every.join(gate(positions, selections, inquiries), "project", "left").join(sums, "project", "left").join(none, "project", "left")
+    empty = F.coalesce("n_lines", F.lit(0)) == 0
+    code = F.coalesce("code", F.when(empty, 400), F.lit(200))
     good = code == 200
     return all_.select(
-        "project", code.alias("code"), F.coalesce("detail", F.when(c("n_lines").isNull(), F.lit(NOTHING))).alias("detail"), "n_positions",
+        "project", code.alias("code"), F.coalesce("detail", F.when(empty, F.lit(NOTHING))).alias("detail"), "n_positions",
         *[F.when(good, c(n)).alias(n) for n in ("n_lines", "any_alternative", "net", "vat", "gross")],
-        F.when(good, F.coalesce("n_warnings", F.lit(0))).alias("n_warnings"), F.when(good, F.lit("gerechnet")).alias("status"),
+        F.when(good, F.coalesce("n_said", F.lit(0)) + F.coalesce("n_none", F.lit(0))).alias("n_warnings"), F.when(good, F.lit("gerechnet")).alias("status"),
     )

@@ -33,10 +33,14 @@ def warnings(lines: DataFrame, key: list[str], tests: dict[str, Column]) -> Data
 
 def totals(lines: DataFrame, key: str, amount: str = "total_net", rate: float = 0.19) -> DataFrame:
     """Net, VAT and gross per offer, each rounded; the lines are decimals already."""
-    net = lines.groupBy(key).agg(F.count("*").alias("n_lines"), F.sum(amount).alias("net"))
+    return taxed(lines.groupBy(key).agg(F.count("*").alias("n_lines"), F.sum(amount).alias("net")), rate)
+
+
+def taxed(sums: DataFrame, rate: float = 0.19) -> DataFrame:
+    """Adds vat and gross to net sums."""
     # decimals throughout: half cents round up as written
     tax = F.round(F.col("net") * F.lit(Decimal(str(rate))), 2).cast(MONEY)
-    return net.select(key, "n_lines", F.col("net").cast(MONEY).alias("net"), tax.alias("vat")).withColumn("gross", (F.col("net") + F.col("vat")).cast(MONEY))
+    return sums.withColumns({"net": F.col("net").cast(MONEY), "vat": tax}).withColumn("gross", (F.col("net") + F.col("vat")).cast(MONEY))
 
 
 def gate_violations(checks: list[tuple[str, DataFrame, str]]) -> DataFrame:
