@@ -50,6 +50,18 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", **options: object) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the rows that go to a Python worker at once.
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Let tasks send rows to Python workers in batches of ARROW_BYTES, unless the session
+    names a bound of its own.  Spark's default counts rows only, and texts have any length."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(ARROW_BYTES))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other letter stays as it is."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickline.llm.common import bounded_batches
+
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
@@ -118,6 +120,7 @@ def _count(languages: list[str]):
 
 def learn(docs: DataFrame, train: Column, train_rows: int = TRAIN_ROWS) -> Model:
     """The filters, from at most about train_rows rows where train holds."""
+    bounded_batches(docs)
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     totals = rows.groupBy("lang").count().collect()  # a row per language
     languages = [r["lang"] for r in sorted(totals, key=lambda r: (-r["count"], r["lang"]))]

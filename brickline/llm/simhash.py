@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from brickline.llm.common import free_names, stored
+from brickline.llm.common import bounded_batches, free_names, stored
 
 SEED = 42
 #: Fingerprints that share a variant before the values between them take over.
@@ -101,6 +101,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, the columns of keep (aliased) and fp (the 64 bits as a signed long)."""
+    bounded_batches(docs)
     rows = docs.select("doc_id", *keep, F.encode("text", "utf-8").alias("text"))
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[:-1])
     return rows.mapInArrow(_fingerprints(width), f"{kinds}, fp long")

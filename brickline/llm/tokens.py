@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickline.llm import rans
-from brickline.llm.common import new_folder, stored
+from brickline.llm.common import bounded_batches, new_folder, stored
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
@@ -267,6 +267,7 @@ def _encode(freq: dict[int, int], base: dict[tuple, int]):
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, order: str = "doc_id") -> str:
     """The folder of the written files.  order: ``doc_id``, or ``stored`` for a scan of
     Parquet files whose rows are to stay in the files' order (by part number, name, row)."""
+    bounded_batches(docs)
     kind, by_file = dict(docs.dtypes)["doc_id"], order == "stored"
     text = F.encode("text", "utf-8").alias("text")
     if by_file:
