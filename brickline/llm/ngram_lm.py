@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from brickline.llm.common import stored
+from brickline.llm.common import bounded_batches, stored
 
 ALPHA = 0.1
 #: White space can't be in a word, so these are no words.
@@ -156,38 +156,62 @@ def hashed(text: bytes | None) -> np.ndarray:
 SLICES = "slice long, doc_ids array<{id}>, held array<boolean>, counts array<int>, words binary, codes binary, n_train long"
 
 
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Numbers of words, all low bytes first, then the next bytes, three or four planes:
+    numbers are small where words are frequent, so each plane is compressed well."""
+    planes = 3 if codes.max(initial=0) < 1 << 24 else 4
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T[:planes]).tobytes()
+
+
+def unpacked_codes(raw: bytes, size: int) -> np.ndarray:
+    wide, planes = np.zeros((size, 4), np.uint8), len(raw) // size
+    wide[:, :planes] = np.frombuffer(raw, np.uint8).reshape(planes, size).T
+    return wide.view("<u4")[:, 0].astype(np.int64)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at = TaskContext.get().partitionId() << 32
+    at, size, hashes, ids, held, kind = TaskContext.get().partitionId() << 32, 0, [], [], [], None
+
+    def out() -> pa.RecordBatch:
+        words, codes, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        # frequent words first
+        order = np.argsort(-often, kind="stable")
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        counts = np.array([len(h) for h in hashes], np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([at]), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([counts.tolist()], pa.list_(pa.int32())),
+                pa.array([packed(words[order])], pa.binary()), pa.array([packed_codes(number[codes])], pa.binary()),
+                pa.array([int(counts[~np.array(held, bool)].sum())]),
+            ],
+            [c.split()[0] for c in SLICES.split(", ")],
+        )
+
     for batch in batches:
-        begin, hashes = 0, []
-        for i, text in enumerate(batch.column("text")):
+        kind = batch.column("doc_id").type
+        for id_, is_held, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
             hashes.append(hashed(text.as_py()))
-            if sum(map(len, hashes)) < SLICE and i < len(batch) - 1:
-                continue
-            words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
-            part, counts = batch.slice(begin, len(hashes)), np.array([len(h) for h in hashes], np.int64)
-            held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            width = "<u2" if len(words) <= 1 << 16 else "<u4"
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([at]), pa.array([part.column("doc_id").to_pylist()], pa.list_(part.column("doc_id").type)),
-                    pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([counts.tolist()], pa.list_(pa.int32())),
-                    pa.array([packed(words)], pa.binary()), pa.array([codes.astype(width).tobytes()], pa.binary()),
-                    pa.array([int(counts[~held].sum())]),
-                ],
-                [c.split()[0] for c in SLICES.split(", ")],
-            )
-            at, begin, hashes = at + 1, i + 1, []
+            ids.append(id_)
+            held.append(bool(is_held))
+            size += len(hashes[-1])
+            if size >= SLICE:
+                yield out()
+                at, size, hashes, ids, held = at + 1, 0, [], [], []
+    if hashes:
+        yield out()
 
 
 class Slice:
     """A row of the slices: its words, their number at each token, and the texts' sizes."""
 
     def __init__(self, row: dict):
-        self.row, self.words = row, unpacked(row["words"])
+        words = unpacked(row["words"])
+        order = np.argsort(words)
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
         self.counts = np.array(row["counts"], np.int64)
-        size = int(self.counts.sum())
-        self.codes = np.frombuffer(row["codes"], "<u2" if len(row["codes"]) == 2 * size else "<u4").astype(np.int64)
+        self.row, self.words, self.codes = row, words[order], number[unpacked_codes(row["codes"], int(self.counts.sum()))]
         self.train = ~np.repeat(np.array(row["held"], bool), self.counts)
         self.first = np.cumsum(self.counts) - self.counts
 
@@ -563,6 +587,7 @@ def fit(
     most_slices: int = MOST_SLICES,
 ) -> tuple[Model, DataFrame]:
     """The model, and the levels of all texts' tokens (LEVELS) as a stored table."""
+    bounded_batches(docs)
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", (~train).alias("held_out"), F.encode("text", "utf-8").alias("text"))
     slices = stored(texts.mapInArrow(_slices, SLICES.format(id=kind)), "lm-slices")

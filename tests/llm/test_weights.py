@@ -85,3 +85,12 @@ def test_scores_of_an_empty_table_and_without_training_rows(spark):
     for options in ({}, {"broadcast_bytes": -1}):
         got = ngram_lm.score_documents(docs, F.lit(False), **options).collect()
         assert sorted(r["n_tokens"] for r in got) == [1, 3] and not any(r["n_known"] for r in got)
+
+
+@pytest.mark.parametrize("most", [3, 300, 70_000, 1 << 24])
+def test_numbers_of_words_come_back_from_their_planes(most):
+    codes = np.random.default_rng(most).integers(0, most + 1, 1_000)
+    codes[7] = most
+    raw = ngram_lm.packed_codes(codes)
+    assert len(raw) == (4 if most >= 1 << 24 else 3) * len(codes)
+    assert (ngram_lm.unpacked_codes(raw, len(codes)) == codes).all()
