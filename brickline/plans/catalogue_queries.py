@@ -205,23 +205,74 @@ def match_terms() -> dict[str, Column]:
     }
 
 
-def scored_pairs(t: Tables) -> DataFrame:
-    """Positions meet only the products of their category, in an equi-join."""
+def match_positions(t: Tables) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in _TYPES])
-    pos = t.supplier.select(
+    return t.supplier.select(
         "s_suppkey", F.get(kinds, (c("s_suppkey") % 6).cast("int")).alias("category"), (c("s_suppkey") % 50 + 1).cast("int").alias("dn"),
         F.concat(F.lit("Brand#"), (c("s_suppkey") % 25 + 1).cast("string")).alias("brand"), c("s_acctbal").alias("budget"),
     )
-    pairs = pos.join(t.part, c("category") == c("p_type")).where(F.abs(c("p_size") - c("dn")) <= 20)
-    points = match_terms()
+
+
+#: Sizes from a position's that are compared; the least score; partitions of the pairs, which are many more than the rows.
+NEAR, LEAST_SCORE, PAIR_PARTS = 20, 42, 256
+
+
+def near_parts(pos: DataFrame, parts: DataFrame) -> DataFrame:
+    """Positions meet only the products of their category and of sizes near theirs, in an equi-join."""
+    sized = pos.withColumn("near_size", F.explode(F.sequence(c("dn") - NEAR, c("dn") + NEAR)))
+    return sized.repartition(PAIR_PARTS, "category", "near_size").join(parts, (c("category") == c("p_type")) & (c("near_size") == c("p_size"))).drop("near_size")
+
+
+def with_points(pairs: DataFrame, **known: Column) -> DataFrame:
+    points = match_terms() | known
     return pairs.withColumns({f"{n}_points": p for n, p in points.items()}).withColumn("score", sum((c(f"{n}_points") for n in points), F.lit(0.0)))
 
 
+def scored_pairs(t: Tables) -> DataFrame:
+    return with_points(near_parts(match_positions(t), t.part))
+
+
+def undominated(rows: DataFrame, cell: list[str], order: list[Column], k: int = 1) -> DataFrame:
+    """The rows of each cell before which, in the order, fewer than k layers of rows have a smaller
+    p_partkey; equal ones go too."""
+    before = Window.partitionBy(*cell).orderBy(*order, "p_partkey").rowsBetween(Window.unboundedPreceding, -1)
+    kept = F.lit(False)
+    for i in range(k):
+        left = F.when(~kept, c("p_partkey"))
+        rows = rows.withColumn(f"layer_{i}", kept | F.coalesce(left < F.min(left).over(before), ~kept))
+        kept = c(f"layer_{i}")
+    return rows.where(kept).drop(*[f"layer_{i}" for i in range(k)])
+
+
 def top_matches(t: Tables, k: int = 3) -> DataFrame:
+    """The k best families of each position, without the pairs of all positions and products.
+
+    Of a pair's points only the price's depend on more than the position's profile (category, dn,
+    brand), and in one direction: what one product of a price can win, a cheaper one (or, over the
+    budget, a dearer one) can.  So of a family's products of one size a product counts only if no
+    cheaper (dearer) one has a smaller key, and of a profile's products of equal points only those
+    that fewer than k such products of other families bar.  They alone meet the positions."""
+    pos, parts = match_positions(t), t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    profile, family = ["category", "dn", "brand"], ["p_name", "p_brand"]
+    profiles = pos.select(*profile).distinct()
+    within = c("p_retailprice") <= c("budget")
+    sides = []
+    for is_within, order, price in ((True, c("p_retailprice"), 4.0), (False, c("p_retailprice").desc_nulls_first(), -3.0)):
+        goods = parts.where("p_retailprice is not null") if is_within else parts
+        some = materialised(undominated(goods, ["p_type", "p_size", *family], [order]))
+        met = with_points(near_parts(profiles, some), price=F.lit(price)).where(c("score") >= LEAST_SCORE)
+        met = undominated(met, [*profile, "score", *family], [order])
+        sides.append(undominated(met, [*profile, "score"], [order], k).withColumn("is_within", F.lit(is_within)))
+    able = materialised(sides[0].unionByName(sides[1]))
+    found = pos.join(able, profile).where(c("is_within") == F.coalesce(within, F.lit(False)))
     best = [c("score").desc(), c("p_partkey")]
-    good = scored_pairs(t).where("score >= 42").withColumn("members", F.count("*").over(Window.partitionBy("s_suppkey", "p_name", "p_brand")))
-    families = ranking.best_per_key(good, ["s_suppkey", "p_name", "p_brand"], best)
-    return ranking.top_k(families, ["s_suppkey"], best, k)
+    top = materialised(ranking.top_k(ranking.best_per_key(found, ["s_suppkey", *family], best), ["s_suppkey"], best, k))
+    # the members of the winners' families, equal prices at once
+    counts = parts.groupBy("p_type", *family, "p_size", "p_retailprice").agg(F.count("*").alias("n"))
+    wanted = top.select("s_suppkey", c("p_name").alias("w_name"), c("p_brand").alias("w_brand"), "rank").join(pos, "s_suppkey")
+    same = (c("category") == c("p_type")) & c("w_name").eqNullSafe(c("p_name")) & c("w_brand").eqNullSafe(c("p_brand")) & (F.abs(c("p_size") - c("dn")) <= NEAR)
+    good = with_points(wanted.join(counts, same)).where(c("score") >= LEAST_SCORE)
+    return top.join(good.groupBy("s_suppkey", "rank").agg(F.sum("n").alias("members")), ["s_suppkey", "rank"])
 
 
 @query(f"WITH {_MATCH_SQL} SELECT s_suppkey, rank, p_partkey, p_name, score, members FROM top WHERE rank <= 3")
