@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickline.functions.session import spread
 from brickline.operators import guesses
 from brickline.plans.composed import Composed, Pick, norm_sql
 
@@ -54,7 +55,7 @@ ARTICLES = Composed(
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    return ARTICLES.spark(spark.read.parquet(f"{sf}/part.parquet"))
+    return ARTICLES.spark(spread(spark.read.parquet(f"{sf}/part.parquet")))
 
 
 def cascade(x: str, pairs) -> str:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickline.functions.session import spread
 from brickline.operators.extraction import corrections, descriptions, quantities
 from brickline.operators.extraction import vocabulary as v
 from brickline.operators.lines import numbered
@@ -32,7 +33,7 @@ def query(oracle: str | None):
 
 
 def part(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/part.parquet")
+    return spread(spark.read.parquet(f"{sf}/part.parquet"))
 
 
 def duck(rows: Composed) -> str:

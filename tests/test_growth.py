@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from brickline.plans import catalogue_queries as cat
+from brickline.plans.registry import QUERIES
 
 
 def written(spark, tmp_path, **tables):
@@ -50,3 +51,9 @@ def test_copies_do_not_multiply_what_positions_meet(spark):
 def test_pairs_are_dealt_over_many_partitions(spark, tmp_path):
     folder = written(spark, tmp_path, **match_tables(spark, 1))
     assert cat.scored_pairs(cat.Tables(spark, folder)).rdd.getNumPartitions() == cat.PAIR_PARTS
+
+
+def test_rows_of_one_file_are_dealt_over_the_cores(spark, tmp_path):
+    folder = written(spark, tmp_path, part=match_tables(spark, 1)["part"])
+    for name in ("text_parameters", "text_components", "match_product_features", "enriched_articles", "display_descriptions", "service_descriptions"):
+        assert QUERIES[name](spark, folder).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
