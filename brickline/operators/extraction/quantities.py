@@ -111,6 +111,25 @@ def heading_blocks(lines: DataFrame, key: str) -> DataFrame:
     )
 
 
+def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """heading_blocks of whole texts, one a key, each read by itself: no line is a row, nothing is sorted."""
+    lines = F.split(text_of(text), "\n")
+    numbers = F.transform(lines, lambda x, i: F.when(x.rlike(HEADING), i))
+    cuts = docs.select(key, lines.alias("lines"), F.array_compact(numbers).alias("starts"))
+    end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("lines"))
+    each = F.transform("starts", lambda at, i: F.struct(
+        F.get("lines", at).alias("head"), F.array_join(F.slice("lines", at + 1, end(i) - at), "\n").alias("text"), (i == F.size("starts") - 1).alias("is_last")))
+    return cuts.select(key, F.posexplode(each).alias("p", "x")).select(
+        key, (c("p") + 1).cast("long").alias("block"), item_number(F.regexp_extract("x.head", HEADING, 1)).alias("item"),
+        F.trim(F.regexp_extract("x.head", HEADING, 2)).alias("title"), "x.text", "x.is_last",
+    )
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def missing_positions(blocks: DataFrame, positions: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks whose number no position has, and which state quantity and unit, as service rows.
 
@@ -121,13 +140,18 @@ def missing_positions(blocks: DataFrame, positions: DataFrame, keys: list[str])
     lines = F.split(ended(blocks, LAST_LINES_MISSING), "\n")
     rest = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(SKIPPED) & (amount(x) | ~fill(x)))
     said = F.concat(F.filter(F.array("title"), lambda x: (x != "") & ~amount(x)), F.transform(rest, lambda x: F.rtrim(x)))
-    read = blocks.withColumn("said", said).withColumn("raw_text", F.trim(F.array_join("said", "\n"))).withColumn("read", block_quantity(c("raw_text")))
-    fresh = read.join(positions.select(*keys).distinct(), keys, "left_anti").where("read.quantity is not null and read.unit is not null")
-    text = F.trim(F.array_join(F.transform(F.filter("said", lambda x: ~amount(x)), lambda x: F.trim(x)), " "))
-    description = F.coalesce(if_set(text), if_set(c("title")), F.concat(F.lit("Position "), c("item")))
+
+    def read(said: Column, raw: Column) -> Column:
+        text = F.trim(F.array_join(F.transform(F.filter(said, lambda x: ~amount(x)), lambda x: F.trim(x)), " "))
+        description = F.coalesce(if_set(text), if_set(c("title")), F.concat(F.lit("Position "), c("item")))
+        return F.struct(F.substring(description, 1, DESCRIPTION_MOST).alias("description"), raw.alias("raw_text"), block_quantity(raw).alias("read"))
+
+    every = F.array(bound(said, lambda s: bound(F.trim(F.array_join(s, "\n")), lambda raw: read(s, raw))))
+    # an array of one, so that its parts are taken from one value
+    found = blocks.select(*keys, F.explode(every).alias("x")).where("x.read.quantity is not null and x.read.unit is not null")
+    fresh = found.join(positions.select(*keys).distinct(), keys, "left_anti")
     return fresh.select(
-        *keys, F.substring(description, 1, DESCRIPTION_MOST).alias("description"), "raw_text", c("read.quantity").alias("quantity"), c("read.unit").alias("unit"),
-        F.lit("dienstleistung").alias("position_type"), F.lit(False).alias("billable"),
+        *keys, "x.description", "x.raw_text", c("x.read.quantity").alias("quantity"), c("x.read.unit").alias("unit"), F.lit("dienstleistung").alias("position_type"), F.lit(False).alias("billable"),
     )
 
 

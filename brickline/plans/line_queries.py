@@ -233,7 +233,7 @@ def missing_positions(spark, sf):
     both = F.when(c("n") % 4 == 0, F.concat_ws("\n", text(0), text(1))).otherwise(text(0))
     docs = lines.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", both.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
     whole = F.concat(F.lit("Vorbemerkung\n"), "text", F.lit("\n3.1 Ende\n"), F.repeat(F.lit("Text\n"), quantities.LAST_LINES_MISSING), F.lit("5 m"))
-    blocks = quantities.heading_blocks(numbered(docs.select("doc", whole.alias("text")), "doc", "text"), "doc")
+    blocks = quantities.text_blocks(docs.select("doc", whole.alias("text")), "doc", "text")
     known = lines.where("n % 2 = 1").select("doc", F.concat(F.lit("2."), c("n").cast("string")).alias("item"))
     return quantities.missing_positions(blocks, known, ["doc", "item"]).select("doc", "item", "description", "raw_text", "quantity", "unit", "position_type")
 

@@ -3,6 +3,8 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from brickline.operators.extraction import quantities
+from brickline.operators.lines import numbered
 from brickline.plans import catalogue_queries as cat
 from brickline.plans.registry import QUERIES
 
@@ -57,3 +59,13 @@ def test_rows_of_one_file_are_dealt_over_the_cores(spark, tmp_path):
     folder = written(spark, tmp_path, part=match_tables(spark, 1)["part"])
     for name in ("text_parameters", "text_components", "match_product_features", "enriched_articles", "display_descriptions", "service_descriptions"):
         assert QUERIES[name](spark, folder).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
+
+
+def test_blocks_of_whole_texts_are_those_of_lines(spark):
+    texts = ["1.1 A\nx\n\n 01.02. B \n1.3\n1.4 C\r\ny", "vor\n2.1 A", "nichts", "", None, "3.1  \n3.2 \tX", "1.1 A\n1.1 A\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    by_line = quantities.heading_blocks(numbered(docs, "doc", "text"), "doc")
+    by_text = quantities.text_blocks(docs, "doc", "text")
+    assert by_text.columns == by_line.columns
+    assert sorted(map(tuple, by_text.collect())) == sorted(map(tuple, by_line.collect()))
+    assert "Window" not in by_text._jdf.queryExecution().toString() and "Exchange" not in by_text._jdf.queryExecution().toString()
