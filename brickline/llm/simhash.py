@@ -140,7 +140,7 @@ def hub_links(members: DataFrame, distance: int) -> DataFrame:
     near = lambda bits: F.explode(F.lit(np.array(masks(bits), np.int64))).alias("mask")
     hubs = members.select("fp", near(distance // 2)).groupBy(F.expr("fp ^ mask").alias("between")).agg(F.min("fp").alias("hub"))
     others = members.select("fp", near(distance - distance // 2)).select("fp", F.expr("fp ^ mask").alias("between"))
-    met = others.join(hubs, "between").where("fp <> hub")
+    met = others.join(dealt(hubs), "between").where("fp <> hub")
     return met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
@@ -155,7 +155,7 @@ def links(distinct: DataFrame, distance: int = 3, dense: int = DENSE) -> DataFra
         index.groupBy(*key).count().where(F.col("count") > dense), "simhash-dense"
     )
     none_crowded = crowded.isEmpty()
-    light = index if none_crowded else index.join(crowded, key, "left_anti")
+    light = index if none_crowded else index.join(dealt(crowded), key, "left_anti")
     x = "(a ^ b)"
     lower, found = "", []
     for i, (first, bits) in enumerate(segments(distance)):
@@ -163,13 +163,19 @@ def links(distinct: DataFrame, distance: int = 3, dense: int = DENSE) -> DataFra
         lower += f" and bit_count({part(x, first, bits)}) > 1"
     pairs = (
         light.withColumnRenamed("fp", "a")
-        .join(light.withColumnRenamed("fp", "b"), key)
+        .join(dealt(light.withColumnRenamed("fp", "b")), key)
         .where(f"a < b and bit_count({x}) <= {distance} and ({' or '.join(found)})")
         .select("a", "b")
     )
     if none_crowded:
         return pairs
-    return pairs.unionByName(hub_links(stored(index.join(crowded, key).select("fp").distinct(), "simhash-members"), distance))
+    return pairs.unionByName(hub_links(stored(index.join(dealt(crowded), key).select("fp").distinct(), "simhash-members"), distance))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, to be shuffled in a join.  Its file is short, but as a broadcast it would stand in the
+    driver's memory several times over, and one that grows with the input for each round."""
+    return df.hint("merge")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,9 +188,9 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(dealt(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = large.join(dealt(least), "a")
         now = stored(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select("a", F.col("m").alias("b"))).distinct(),
@@ -204,16 +210,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, keep: tu
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     joined = components(links(distinct.select("fp"), distance))
     members = stored(
-        distinct.join(joined, F.col("fp") == F.col("node"), "left").select(
+        distinct.join(dealt(joined), F.col("fp") == F.col("node"), "left").select(
             "fp", "first_id", F.coalesce("root", "fp").alias("root")
         )
-        .unionByName(distinct.join(joined.select("root").distinct(), F.col("fp") == F.col("root")).select("fp", "first_id", "root"))
+        .unionByName(distinct.join(dealt(joined.select("root").distinct()), F.col("fp") == F.col("root")).select("fp", "first_id", "root"))
         .distinct(),
         "members",
     )
     smallest = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = members.select("fp", "root").join(smallest, "root")
-    return fps.join(labels, "fp").select("doc_id", *[c for c in fps.columns if c not in ("doc_id", "fp")], "fp", "root", "component_id")
+    labels = members.select("fp", "root").join(dealt(smallest), "root")
+    return fps.join(dealt(labels), "fp").select("doc_id", *[c for c in fps.columns if c not in ("doc_id", "fp")], "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from brickline.llm import simhash
 from brickline.operators.extraction import quantities
 from brickline.operators.lines import numbered
 from brickline.plans import catalogue_queries as cat
@@ -69,3 +70,10 @@ def test_blocks_of_whole_texts_are_those_of_lines(spark):
     assert by_text.columns == by_line.columns
     assert sorted(map(tuple, by_text.collect())) == sorted(map(tuple, by_line.collect()))
     assert "Window" not in by_text._jdf.queryExecution().toString() and "Exchange" not in by_text._jdf.queryExecution().toString()
+
+
+def test_simhash_broadcasts_nothing_that_grows(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('a b c d ', id % 50, ' e f g ', id % 50) as text")
+    df = simhash.near_duplicates(docs)
+    assert df.count() == 400
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
