@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from brickline.llm import simhash
 from brickline.operators.extraction import quantities
 from brickline.operators.lines import numbered
+from brickline.operators.matching.pairs import paired
 from brickline.plans import catalogue_queries as cat
 from brickline.plans.registry import QUERIES
 
@@ -77,3 +78,10 @@ def test_simhash_broadcasts_nothing_that_grows(spark):
     df = simhash.near_duplicates(docs)
     assert df.count() == 400
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_category_is_dealt_over_tasks(spark):
+    pos = spark.createDataFrame([("kanalrohre", "", True, i) for i in range(5)], "f_category string, f_subcategory string, f_has_category boolean, s int")
+    goods = spark.range(400).selectExpr("id", "'kanalrohre' as g_category", "'' as g_subcategory", "'rohr' as g_type")
+    sizes = [r["count"] for r in paired(pos, goods).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 1200
