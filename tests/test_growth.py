@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from brickline.llm import simhash
+from brickline.operators import tallies
 from brickline.operators.extraction import quantities
 from brickline.operators.lines import numbered
 from brickline.operators.matching.pairs import paired
@@ -85,3 +86,23 @@ def test_a_category_is_dealt_over_tasks(spark):
     goods = spark.range(400).selectExpr("id", "'kanalrohre' as g_category", "'' as g_subcategory", "'rohr' as g_type")
     sizes = [r["count"] for r in paired(pos, goods).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 2000 and max(sizes) < 1200
+
+
+def test_suppliers_to_ask_on_odd_rows_without_moving_pairs(spark):
+    kinds = {i: [["Rohre"], ["rohre", "ROHRE", "Rinnen"], ["Rinnen", None], [], None][i % 5] for i in range(400)}
+    suppliers = [*kinds.items(), (3, ["Rohre"]), (None, ["Rohre"]), (7, ["rinnen"])]
+    positions = [("p1", 1, "ROHRE"), ("p1", 1, "rohre"), ("p1", None, "rohre"), ("p2", None, "Rinnen"), (None, 1, "rinnen"), ("p3", 2, None), ("p4", 2, "neu")]
+    asked = [(i, p, project, status) for i in [*range(0, 400, 3), 9999, None] for p, project, status in (
+        ("p1", 1, "offen"), ("p2", None, "angefragt"), (None, 1, "offen"), ("p1", None, "abgelehnt"), ("p2", 5, "offen"), ("p3", 2, "offen"))] * 2
+    got = tallies.suppliers_to_ask(
+        spark.createDataFrame(positions, "position_id string, project_id long, category string"), spark.createDataFrame(suppliers, "supplier_id long, categories array<string>"),
+        spark.createDataFrame(asked, "supplier_id long, position_id string, project_id long, status string"),
+    )
+    barred = {(p, project, i) for i, p, project, status in asked if status != "abgelehnt" and None not in (p, i)}
+    want = [
+        (p, i) for p, project, category in positions for i, ks in suppliers
+        if category and category.lower() in {k.lower() for k in ks or [] if k} and (p, project, i) not in barred
+    ]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and plan.index("Generate inline") < plan.index("Join ")
