@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,14 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as a table of the shared folder and read from there: for rows that several
+    joins take other columns of, each of which would compute and shuffle them anew."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df's rows, dealt evenly to a few tasks a core.  A table of short rows is one file, or one row
     group, and so one task, whatever its rows cost."""

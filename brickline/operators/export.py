@@ -12,8 +12,8 @@ and, for all projects, products (artikel_id, name, maker, unit, list_price and t
 prices) and offers (offer_id, article_number, article_name, unit, unit_price, supplier).
 
 An assignment whose id begins with ``SO-`` is looked up among the offers, any other among
-the products; the two are joined apart, so that neither join carries the other's rows under
-a null key.  What isn't found is a warning in place of a line.
+the products; both stand in one table, whose keys tell them apart, so that assignments are
+joined once and none has a null key.  What isn't found is a warning in place of a line.
 
 Nulls: a null or zero quantity counts as one, an empty unit or text as missing; a selection
 without a position is left out, as is a null list of articles; keys that repeat in terms,
@@ -72,43 +72,42 @@ def received_texts(inquiries: DataFrame) -> DataFrame:
 def assignments(positions: DataFrame, selections: DataFrame, terms: DataFrame, inquiries: DataFrame) -> DataFrame:
     """A row for each selected article of a known position, with its terms: nth from 0."""
     known = positions.drop("place", "components", "billable").join(received_texts(inquiries), ["project", "position_id"], "left")
+    # terms first, while rows are short: position's texts come with the last join
     each = selections.select("project", "position_id", "place", "keys", F.posexplode("articles").alias("nth", "artikel_id"))
     keyed = each.withColumn("assignment_key", F.coalesce(F.get("keys", "nth"), F.concat("position_id", F.lit("::"), c("nth").cast("string")))).drop("keys")
-    return keyed.join(known, ["project", "position_id"]).join(terms, ["project", "assignment_key"], "left")
+    return keyed.join(terms, ["project", "assignment_key"], "left").join(known, ["project", "position_id"])
 
 
 def resolved(assigned: DataFrame, products: DataFrame, offers: DataFrame) -> DataFrame:
     """Every assignment as an offer's line, or as none (is_line false), with its warnings in order."""
-    own = assigned.withColumns({"asked": c("quantity"), "quantity": F.coalesce(F.when(c("quantity") != 0, c("quantity").cast("double")), F.lit(1.0))})
+    own = assigned.where(c("artikel_id").isNotNull()).withColumns({"asked": c("quantity"), "quantity": F.coalesce(F.when(c("quantity") != 0, c("quantity").cast("double")), F.lit(1.0))})
     bought = F.startswith("artikel_id", F.lit(OFFER_PREFIX))
-
-    def out(rows: DataFrame, found: Column, artikel: Column, name: Column, maker: Column, unit: Column, base: Column, warnings: list[Column]) -> DataFrame:
-        price = F.greatest(base, c("custom_price"))
-        return rows.select(
-            "project", "place", "position_id", "nth", "number", F.coalesce("offer_text", "description").alias("description"), "quantity",
-            full(c("unit"), unit, F.lit("Stk")).alias("unit"), F.when(found, artikel).otherwise(c("artikel_id")).alias("artikel_id"), name.alias("name"), maker.alias("maker"),
-            F.when(found, pricing.money(price)).alias("price_net"), F.when(found, pricing.money(price * c("quantity"))).alias("total_net"), (c("nth") > 0).alias("is_additional"),
-            F.coalesce("is_alternative", F.lit(False)).alias("is_alternative"), F.coalesce("supplier_open", F.lit(False)).alias("supplier_open"),
-            found.alias("is_line"), F.array_compact(F.array(*warnings)).alias("warnings"),
-        )
-
-    # prefixed names keep the tables' columns apart
-    shop = products.withColumnsRenamed({n: f"p_{n}" for n in products.columns})
-    mine = own.where(~bought).join(shop, c("artikel_id") == c("p_artikel_id"), "left")
-    there = c("p_artikel_id").isNotNull()
+    wanted = F.substring("artikel_id", len(OFFER_PREFIX) + 1, 20).try_cast("long").cast("string")
+    # prefixed names keep the tables' columns apart; an offer's key begins as no product's does
+    shop = products.withColumnsRenamed({n: f"p_{n}" for n in products.columns}).withColumn("key", c("p_artikel_id")).where(~F.startswith("key", F.lit(OFFER_PREFIX)))
+    market = offers.withColumnsRenamed({n: f"o_{n}" for n in offers.columns}).withColumn("key", F.concat(F.lit(OFFER_PREFIX), c("o_offer_id").cast("string")))
+    goods = shop.unionByName(market, allowMissingColumns=True).withColumnRenamed("key", "goods_key")
+    rows = own.withColumn("key", F.when(bought, F.coalesce(F.concat(F.lit(OFFER_PREFIX), wanted), "artikel_id")).otherwise(c("artikel_id"))).join(goods, c("key") == c("goods_key"), "left")
+    either = lambda offer, product: F.when(bought, offer).otherwise(product)
+    found = c("goods_key").isNotNull()
     base = tier_price(c("quantity"), c("p_list_price"), {n: c(f"p_{t}") for n, t in TIERS.items()}, needs_list_price=False)
     cost = F.coalesce(base, F.lit(0.0))
-    lines = out(mine, there, c("p_artikel_id"), c("p_name"), c("p_maker"), c("p_unit"), cost, [
-        F.when(~there, said(NO_PRODUCT, c("artikel_id"))), F.when(there & base.isNull(), said(NO_PRICE, c("artikel_id"))),
-        F.when(there & (c("custom_price") < cost), F.lit(BELOW_COST)), F.when(there & (c("nth") == 0) & c("asked").isNull(), F.lit(NO_QUANTITY)),
-    ])
-    market = offers.withColumnsRenamed({n: f"o_{n}" for n in offers.columns})
-    theirs = own.where(bought).withColumn("wanted", F.substring("artikel_id", len(OFFER_PREFIX) + 1, 20).try_cast("long")).join(market, c("wanted") == c("o_offer_id"), "left")
-    there = c("o_offer_id").isNotNull()
-    return lines.unionByName(out(
-        theirs, there, full(c("o_article_number"), c("artikel_id")), c("o_article_name"), F.when(there, F.coalesce("o_supplier", F.lit("Lieferant"))), c("o_unit"),
-        F.coalesce("o_unit_price", F.lit(0.0)), [F.when(~there, said(NO_OFFER, c("artikel_id")))],
-    ))
+    price = F.greatest(either(F.coalesce("o_unit_price", F.lit(0.0)), cost), c("custom_price"))
+    stocked = ~bought & found
+    warnings = [
+        F.when(~bought & ~found, said(NO_PRODUCT, c("artikel_id"))), F.when(stocked & base.isNull(), said(NO_PRICE, c("artikel_id"))),
+        F.when(stocked & (c("custom_price") < cost), F.lit(BELOW_COST)), F.when(stocked & (c("nth") == 0) & c("asked").isNull(), F.lit(NO_QUANTITY)),
+        F.when(bought & ~found, said(NO_OFFER, c("artikel_id"))),
+    ]
+    return rows.select(
+        "project", "place", "position_id", "nth", "number", F.coalesce("offer_text", "description").alias("description"), "quantity",
+        full(c("unit"), either(c("o_unit"), c("p_unit")), F.lit("Stk")).alias("unit"),
+        F.when(found, either(full(c("o_article_number"), c("artikel_id")), c("p_artikel_id"))).otherwise(c("artikel_id")).alias("artikel_id"),
+        either(c("o_article_name"), c("p_name")).alias("name"), either(F.when(found, F.coalesce("o_supplier", F.lit("Lieferant"))), c("p_maker")).alias("maker"),
+        F.when(found, pricing.money(price)).alias("price_net"), F.when(found, pricing.money(price * c("quantity"))).alias("total_net"), (c("nth") > 0).alias("is_additional"),
+        F.coalesce("is_alternative", F.lit(False)).alias("is_alternative"), F.coalesce("supplier_open", F.lit(False)).alias("supplier_open"),
+        found.alias("is_line"), F.array_compact(F.array(*warnings)).alias("warnings"),
+    )
 
 
 def export_lines(found: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickline.functions.session import kept
 from brickline.operators import export
-from brickline.plans.tally_queries import POS, positions
+from brickline.plans.tally_queries import POS, described, positions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,7 +46,8 @@ case when s_suppkey % 2 = 1 then 'kg' end as unit, case when s_suppkey % 5 <> 0
 class Tables:
     def __init__(self, spark: SparkSession, sf: str):
         read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
-        rows = positions(spark, sf)
+        # every table below is made of the same grouped lines
+        rows = described(kept(positions(spark, sf).select("project", "line", "k", "s", "q"), "export-positions"))
         self.positions = rows.selectExpr(
             "project", "line as place", "position_id", "concat('01.', line) as number", "concat('Text ', k) as description", "quantity", f"{UNIT} as unit",
             "position_type", "k % 13 <> 0 as billable", "case when k % 8 = 0 then array('Deckel', 'Ring') end as components",

@@ -39,8 +39,13 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(c("l_orderkey").alias("project"), c("l_linenumber").alias("line")).agg(
         F.min("l_partkey").alias("k"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("price")
     )
+    return described(rows)
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """The columns of rows and those that are composed of project, line, k and q."""
     return rows.selectExpr(
-        "project", "line", "concat_ws('-', project, line) as position_id", "k", "s", "q", "price",
+        "*", "concat_ws('-', project, line) as position_id",
         "case when k % 5 = 0 then 'dienstleistung' when k % 7 = 0 then null else 'material' end as position_type",
         "case k % 6 when 0 then 'accepted' when 1 then 'rejected' when 2 then 'inquiry_pending' end as decision", "k % 10 = 0 as is_asked", "k % 3 <> 1 as is_covered",
         "case when k % 9 = 0 then null else q end as quantity",

@@ -58,6 +58,21 @@ def test_offer_export(tables):
     assert out[3].detail == export.NOTHING and out[2].n_lines is None and out[1].code == 400
 
 
+def test_export_joins_assignments_once_by_odd_ids(spark):
+    make = spark.createDataFrame
+    ids = ["SO-7", "SO-007", "SO-", "SO-x", "SO-99999999999999999999", "SO-9", None, "P1", "p1", ""]
+    positions = make([(1, 1, "a", "1.1", "Rohr", 2.0, "m", "material", True, None)], POSITIONS)
+    selections = make([(1, 1, "a", ids, None), (1, 2, None, ["P1"], None), (2, 1, "a", ["P1"], None)], SELECTIONS)
+    products = make([("P1", "Rohr", "M", "Stk", 10.0, None, None, None), ("SO-9", "kein Angebot", "M", "Stk", 1.0, None, None, None), (None, "n", "M", None, 1.0, None, None, None)], PRODUCTS)
+    offers = make([(7, "N7", "Ware", "kg", 3.0, "S"), (None, "N0", "nichts", "kg", 1.0, "S")], OFFERS)
+    found = export.resolved(export.assignments(positions, selections, make([], TERMS), make([], INQUIRIES)), products, offers)
+    got = {r.nth: (r.artikel_id, r.name, r.is_line, len(r.warnings)) for r in found.collect()}
+    assert got == {
+        0: ("N7", "Ware", True, 0), 1: ("N7", "Ware", True, 0), **{i: (ids[i], None, False, 1) for i in (2, 3, 4, 5, 8, 9)}, 7: ("P1", "Rohr", True, 0),
+    }
+    assert found._jdf.queryExecution().analyzed().toString().count("Join ") == 4
+
+
 def test_export_of_empty_tables(tables):
     none = [t.limit(0) for t in tables]
     found = export.resolved(export.assignments(*none[:4]), *none[4:])
