@@ -106,3 +106,11 @@ def test_suppliers_to_ask_on_odd_rows_without_moving_pairs(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate inline" in plan and plan.index("Generate inline") < plan.index("Join ")
+
+
+def test_pairs_with_confidence_do_not_sort_products(spark, tmp_path):
+    folder = written(spark, tmp_path, **match_tables(spark, 2))
+    df = cat.QUERIES["confidence_label"](spark, folder)
+    assert sorted((tuple(r) for r in df.collect()), key=str) == oracle(folder, cat.ORACLE["confidence_label"], df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
