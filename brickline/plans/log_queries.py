@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brickline.functions.session import materialised, shared_folder
+from brickline.functions.session import materialised, shared_folder, spread
 from brickline.operators import statuslog, tenders
 from brickline.operators.extraction import descriptions
 from brickline.plans.tally_queries import POS, positions
@@ -84,7 +84,7 @@ def project_states(spark, sf):
     return statuslog.project_states(log, materialised(statuslog.folded(log)))
 
 
-# -- the mailbox: events as messages of three files ------------------------------------------
+# -- the mailbox: events as messages of three batches ------------------------------------------
 
 #: Expressions that Spark and DuckDB both read, of e (the event).
 MESSAGE = {
@@ -105,20 +105,23 @@ docs AS (SELECT * FROM k WHERE category = 'new_document' QUALIFY row_number() OV
 
 
 def received(spark: SparkSession, sf: str) -> mailbox.Mailbox:
-    """The mailbox after the events, as messages in three files, one file a batch."""
+    """The mailbox after the events, as messages that come in three batches.
+
+    A batch is as many files as its rows are dealt to; the sync is called for each, and goes on
+    where it ended, so that a batch is read, sorted and written by all cores."""
     folder = f"{shared_folder(spark)}/mailbox-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{sf}/events.parquet").withColumns({"e": c("event_id"), "ts": c("ts").cast("timestamp")})
     messages = rows.selectExpr("e", *[f"{x} as {n}" for n, x in MESSAGE.items()])
     last = rows.agg(F.max("e")).first()[0] or 0
-    for i in range(3):
-        part = messages.where((c("e") >= last * i // 3 + (i > 0)) & (c("e") <= last * (i + 1) // 3))
-        part.drop("e").coalesce(1).write.parquet(f"{folder}/in/file={i}")
     inquiries = spark.read.parquet(f"{sf}/supplier.parquet").select(
         c("s_suppkey").alias("inquiry_id"), F.when(c("s_suppkey") % 4 == 0, "angebot_erhalten").when(c("s_suppkey") % 4 == 1, "offen").otherwise("angefragt").alias("status")
     )
     box = mailbox.Mailbox(spark, folder, "wir@firma.de")
-    stream = ingest.message_stream(spark, f"{folder}/in/*", messages.drop("e").schema, files_per_batch=1)
-    mailbox.sync(stream, box, inquiries, f"{folder}/checkpoint")
+    for i in range(3):
+        part = messages.where((c("e") >= last * i // 3 + (i > 0)) & (c("e") <= last * (i + 1) // 3))
+        spread(part.drop("e")).write.parquet(f"{folder}/in/batch={i}")
+        stream = ingest.message_stream(spark, f"{folder}/in/*", messages.drop("e").schema, files_per_batch=None)
+        mailbox.sync(stream, box, inquiries, f"{folder}/checkpoint")
     return box
 
 

@@ -91,8 +91,10 @@ def valid_offer_lines(df: DataFrame, name: str = "article_name", prices: tuple[s
     return df.where(F.length(F.trim(F.col(name))) >= 2).withColumns({p: F.when(F.col(p) >= 0, F.col(p)) for p in prices})
 
 
-def message_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 25) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def message_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = 25) -> DataFrame:
+    """Messages of a folder's files, so many a batch; None: all that are there."""
+    stream = spark.readStream.schema(schema)
+    return (stream if files_per_batch is None else stream.option("maxFilesPerTrigger", files_per_batch)).parquet(folder)
 
 
 def once_per_key(stream: DataFrame, key: str, time: str | None = None, delay: str | None = None) -> DataFrame:

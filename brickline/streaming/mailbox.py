@@ -3,10 +3,10 @@
 Each micro-batch writes its rows of every table to that table's folder of the batch, and
 overwrites what an earlier attempt at the same batch left there; tables are read without
 the batch at hand and later ones.  So a batch that is repeated, or was cut off between two
-tables, leaves the same rows.  A message counts once by its key: the stream keeps the keys
-of the last ``delay`` (a state that the watermark clears), the table of processed messages
-has all earlier ones.  A message that can't be read goes to the table of failures instead
-of being lost.
+tables, leaves the same rows.  A message counts once by its key: of a batch's the first in time,
+whatever the order in which its files are read, and none whose key the tables of processed
+and failed messages have.  So no state of the stream has to be kept, and no message is too
+late.  A message that can't be read goes to the table of failures instead of being lost.
 
 Messages: message_id, subject, sender, body, sent_at, n_attachments, content_hash (of an
 attached document, or null).  In a batch they count in the order of sent_at and key: an
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from brickline.functions.text import message_key
 from brickline.operators.export import PENDING, RECEIVED
 from brickline.operators.inquiries import inquiry_references
-from brickline.streaming.ingest import classified, is_own_copy, once_per_key
+from brickline.streaming.ingest import classified, is_own_copy
 
 c = F.col
 TABLES = {
@@ -94,12 +94,11 @@ class Mailbox:
         self.write("processed", number, done)
 
 
-def sync(messages: DataFrame, mailbox: Mailbox, inquiries: DataFrame, checkpoint: str, delay: str = "30 days") -> None:
+def sync(messages: DataFrame, mailbox: Mailbox, inquiries: DataFrame, checkpoint: str) -> None:
     """Receive all that a stream has and stop; a later call goes on where this one ended."""
     keyed = messages.withColumn("message_key", message_key(c("message_id"), c("subject"), c("sender"), c("body")))
-    stream = once_per_key(keyed, "message_key", "sent_at", delay)
     query = (
-        stream.writeStream.foreachBatch(lambda batch, number: mailbox.receive(batch, number, inquiries))
+        keyed.writeStream.foreachBatch(lambda batch, number: mailbox.receive(batch, number, inquiries))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -60,3 +60,25 @@ def test_a_cut_off_batch_leaves_the_same_tables(spark, tmp_path):
     assert tables(box) == want
     box.receive(again.limit(0), 9, inquiries)
     assert tables(box) == want
+
+
+def test_a_batch_of_events_is_dealt_over_many_files(spark, tmp_path):
+    from pathlib import Path
+
+    from brickline.plans import log_queries
+
+    kinds = "element_at(array('purchase', 'error', 'signup', 'view', 'click'), cast(1 + id % 5 as int))"
+    spark.range(900).selectExpr("id as event_id", "timestamp_seconds(1700000000 + id) as ts", "id % 90 as user_id", f"{kinds} as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(90).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    box = log_queries.received(spark, str(tmp_path))
+    for i in range(3):
+        assert len(list(Path(box.folder, "in", f"batch={i}").glob("*.parquet"))) >= spark.sparkContext.defaultParallelism
+    assert sorted(f.name for f in Path(box.folder, "processed").glob("batch=*")) == ["batch=-1", "batch=0", "batch=1", "batch=2"]
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("events", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ("mailbox_sync", "mailbox_offers"):
+        df = log_queries.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({log_queries.ORACLE[name]})").fetchall())
