@@ -68,8 +68,9 @@ def paragraphs(text: Column) -> Column:
         longer = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, line)))
         return F.when(going, longer).otherwise(F.concat(done, F.array(line)))
 
-    joined = F.aggregate(lines, F.array().cast("array<string>"), lambda done, x: step(done, x))
-    return F.filter(joined, lambda x: x != "")
+    none = F.array().cast("array<string>")
+    joined = F.aggregate(lines, none, lambda done, x: step(done, x))
+    return F.when(text_of(text) == "", none).otherwise(F.filter(joined, lambda x: x != ""))
 
 
 def clean_fragment(text: Column) -> Column:
@@ -103,7 +104,8 @@ def derived_title(text: Column, fallback: Column, most: int = 800) -> Column:
     apart = lambda x: ~F.contains(low, F.lower(x)) & ~F.contains(F.lower(x), low)
     details = F.slice(F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~x.rlike(GENERIC) & x.rlike(TECHNICAL) & apart(x)), 1, 2)
     whole = F.when(F.size(details) > 0, F.concat(title, F.lit(", "), F.array_join(details, ", "))).otherwise(title)
-    return F.substring(F.coalesce(whole, if_set(fallback), F.trim(text_of(text))), 1, most)
+    said = F.coalesce(whole, if_set(fallback), F.trim(text_of(text)))
+    return F.substring(F.when(text_of(text) == "", F.coalesce(if_set(fallback), F.lit(""))).otherwise(said), 1, most)
 
 
 def is_poor_title(value: Column) -> Column:
@@ -126,14 +128,24 @@ def canonical(text: Column) -> Column:
 
 
 def with_new_details(details: Column, more: Column, title: Column) -> Column:
-    """details and those of more (array) that neither the title nor a detail says already."""
-    def step(done: Column, value: Column) -> Column:
-        own = squeezed(value)
-        known = (own == "") | F.contains(F.lower(title), F.lower(own)) | F.contains(canonical(title), canonical(own))
-        again = F.exists(done, lambda x: canonical(x) == canonical(own))
-        return F.when(F.coalesce(known | again, F.lit(True)), done).otherwise(F.concat(done, F.array(own)))
+    """details and those of more (array) that neither the title nor a detail says already.
 
-    return F.aggregate(F.filter(more, lambda x: x.isNotNull()), details, lambda done, x: step(done, x))
+    What a value or the title is compared by is computed once, not for each comparison."""
+    entry = lambda x: F.struct(x.alias("own"), F.lower(x).alias("low"), canonical(x).alias("plain"))
+
+    def step(said: Column):
+        def one(done: Column, x: Column) -> Column:
+            known = (x["own"] == "") | F.contains(said["low"], x["low"]) | F.contains(said["plain"], x["plain"])
+            again = F.exists(done, lambda y: y["plain"] == x["plain"])
+            return F.when(F.coalesce(known | again, F.lit(True)), done).otherwise(F.concat(done, F.array(x)))
+
+        return one
+
+    new = F.transform(F.transform(F.filter(more, lambda x: x.isNotNull()), squeezed), entry)
+    said = F.array(F.struct(F.lower(title).alias("low"), canonical(title).alias("plain")))
+    start = F.transform(details, entry)
+    all_ = F.get(F.transform(said, lambda t: F.aggregate(new, start, step(t))), F.lit(0))
+    return F.transform(all_, lambda x: x["own"])
 
 
 def signal_details(text: Column, title: Column, most: int = 3) -> Column:
@@ -154,7 +166,8 @@ def signal_details(text: Column, title: Column, most: int = 3) -> Column:
         rest = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), ", ")
         return F.when(label != "", F.concat(F.trim(label), F.lit(": "), F.trim(value))).when(x.rlike(SIGNALS), F.when(shorter, rest).otherwise(x))
 
-    return F.slice(with_new_details(F.array().cast("array<string>"), F.transform(clean, detail), title), 1, most)
+    none = F.array().cast("array<string>")
+    return F.when(F.size(every) < 2, none).otherwise(F.slice(with_new_details(none, F.transform(clean, detail), title), 1, most))
 
 
 def display_title(description: Column, raw: Column, category: Column, subcategory: Column, previous: Column | None = None) -> Column:
@@ -178,8 +191,9 @@ def display_description(title: Column, raw: Column, fields: dict[str, Column], m
         size, if_set(fields["material"]), F.when(fields["sn"].isNotNull(), F.format_string("SN%d", fields["sn"])), if_set(fields["norm"]),
         if_set(fields["load_class"]), if_set(fields["dimensions"]), if_set(fields["system"]), example,
     )
-    details = with_new_details(signal_details(raw, title), more, title)
-    return F.substring(F.when(F.size(details) > 0, F.concat(title, F.lit(", "), F.array_join(details, ", "))).otherwise(title), 1, most)
+    # the details are named, and so computed, once
+    whole = F.array_join(F.concat(F.array(title), with_new_details(signal_details(raw, title), more, title)), ", ")
+    return F.substring(F.when(title.isNotNull(), whole), 1, most)
 
 
 def service_description(description: Column, raw: Column, most: int = 800) -> Column:
@@ -202,7 +216,7 @@ RUN = 1000
 
 def referred_title(title: Column, description: Column, label: Column, previous: Column) -> Column:
     """The title of a line whose own is poor, as display_title has it."""
-    before = F.when(~is_poor_title(previous), F.trim(F.get(F.split(previous, ","), F.lit(0))))
+    before = F.when(~is_poor_title(previous), F.trim(F.substring_index(previous, ",", 1)))
     found = squeezed(F.coalesce(before, label, title))
     return F.when(found != "", found).otherwise(F.coalesce(if_set(squeezed(description)), F.lit("Position")))
 

@@ -82,3 +82,17 @@ def test_objects_of_any_depth_are_recovered(spark):
     assert [r.got for r in rows] == [
         '[{"a":{"b":{"c":1}}},{"d":1}]', '[{"a": "}]{"},{"b": [1, {"c": "\\"}"}]}]', None, None, None, '[{"a":1}]', '[{"a":1}]', '[{"t": "' + "x\\n" * 20_000 + '"}]',
     ]
+
+
+def test_a_description_names_its_details_once(spark):
+    d = descriptions
+    lit = lambda x, kind="string": F.lit(x).cast(kind)
+    fields = {n: lit(None) for n in d.FIELDS} | {"dn": lit(150, "int"), "second_dn": lit(None, "int"), "sn": lit(4, "int"), "material": lit(" PP "), "system": lit("pp"), "reference": lit("Typ A")}
+    shown = [d.display_description(lit(t), lit(raw), fields) for t, raw in (("Rohr", None), ("Rohr PP", ""), (None, None), ("Rohr", "Rohr\nMaterial: PVC\nMaterial: PVC"))]
+    df = spark.range(1).select(*[x.alias(f"t{i}") for i, x in enumerate(shown)], d.derived_title(lit(None), lit("x")).alias("d"), d.derived_title(lit(""), lit(None)).alias("e"))
+    assert list(df.first()) == ["Rohr, DN 150, PP, SN4, z. B. Typ A", "Rohr PP, DN 150, SN4, z. B. Typ A", None, "Rohr, Material: PVC, DN 150, PP, SN4, z. B. Typ A", "x", ""]
+    columns = ["a int", "b int", "c int", *[f"{x} string" for x in "defghijk"]]
+    some = spark.createDataFrame([], ", ".join(columns))
+    names = dict(zip(d.FIELDS, ["a", "b", "d", "c", *"efghi"], strict=True))
+    text = some.select(d.display_description(F.col("j"), F.col("k"), {n: F.col(x) for n, x in names.items()}).alias("x"))
+    assert text._jdf.queryExecution().analyzed().expressions().toString().count("DN %d/%d") == 1
