@@ -3,13 +3,14 @@
 Each micro-batch writes its rows of every table to that table's folder of the batch, and
 overwrites what an earlier attempt at the same batch left there; tables are read without
 the batch at hand and later ones.  So a batch that is repeated, or was cut off between two
-tables, leaves the same rows.  A message counts once by its key: of a batch's the first in time,
+tables, leaves the same rows.  A message counts once by its key: of a batch's the first that came,
 whatever the order in which its files are read, and none whose key the tables of processed
 and failed messages have.  So no state of the stream has to be kept, and no message is too
 late.  A message that can't be read goes to the table of failures instead of being lost.
 
 Messages: message_id, subject, sender, body, sent_at, n_attachments, content_hash (of an
-attached document, or null).  In a batch they count in the order of sent_at and key: an
+attached document, or null), and may have arrived, their number in the mail box.  They count in
+the order of arrival, as a box is read; without a number in a batch, of sent_at and key: an
 inquiry is answered by its first offer, a document makes one project.
 
 Nulls: a message without subject, body and document is a failure; a null sent_at comes
@@ -27,7 +28,7 @@ from brickline.streaming.ingest import classified, is_own_copy
 
 c = F.col
 TABLES = {
-    "inbox": "message_key string, subject string, sender string, body string, sent_at timestamp, n_attachments int, content_hash string, category string, problem string",
+    "inbox": "message_key string, subject string, sender string, body string, sent_at timestamp, n_attachments int, content_hash string, arrived long, category string, problem string",
     "offers": "inquiry_id long, message_key string, sender string, text string, sent_at timestamp",
     "statuses": "inquiry_id long, status string, sent_at timestamp",
     "projects": "content_hash string, message_key string, subject string",
@@ -60,7 +61,9 @@ class Mailbox:
 
     def receive(self, batch: DataFrame, number: int, inquiries: DataFrame) -> None:
         """One micro-batch; inquiries: inquiry_id, status, as they were before the first batch."""
-        order = Window.partitionBy("message_key").orderBy("sent_at", "subject", "sender", "body")
+        if "arrived" not in batch.columns:
+            batch = batch.withColumn("arrived", F.lit(None).cast("long"))
+        order = Window.partitionBy("message_key").orderBy("arrived", "sent_at", "subject", "sender", "body")
         first = batch.withColumn("nth", F.row_number().over(order)).where("nth = 1")
         fresh = first.join(self.table("processed", number).select("message_key"), "message_key", "left_anti").join(
             self.table("failed", number).select("message_key"), "message_key", "left_anti"
@@ -78,7 +81,7 @@ class Mailbox:
         named = good.where("category = 'offer'").withColumn("inquiry_id", F.explode(inquiry_references(F.concat_ws("\n", "subject", "body"))))
         answered = self.table("statuses", number).select("inquiry_id").distinct()
         waiting = inquiries.where(c("status").isin(*PENDING)).select("inquiry_id").distinct().join(answered, "inquiry_id", "left_anti")
-        by_time = lambda key: Window.partitionBy(key).orderBy("sent_at", "message_key")
+        by_time = lambda key: Window.partitionBy(key).orderBy("arrived", "sent_at", "message_key")
         hits = named.join(waiting, "inquiry_id").withColumn("nth", F.row_number().over(by_time("inquiry_id"))).where("nth = 1")
         offers = self.write("offers", number, hits.withColumn("text", F.substring(F.coalesce("body", "subject"), 1, 2200)))
         self.write("statuses", number, offers.withColumn("status", F.lit(RECEIVED)))

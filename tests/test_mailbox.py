@@ -82,3 +82,20 @@ def test_a_batch_of_events_is_dealt_over_many_files(spark, tmp_path):
     for name in ("mailbox_sync", "mailbox_offers"):
         df = log_queries.QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({log_queries.ORACLE[name]})").fetchall())
+
+
+def test_messages_count_in_the_order_of_arrival_whatever_their_times(spark, tmp_path):
+    import duckdb
+
+    from brickline.plans import log_queries
+
+    kinds = "element_at(array('purchase', 'error', 'signup', 'view', 'click'), cast(1 + id % 5 as int))"
+    # times fall and repeat as numbers rise
+    spark.range(900).selectExpr("id as event_id", "timestamp_seconds(1700000000 - id div 2) as ts", "id % 40 as user_id", f"{kinds} as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(90).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    for t in ("events", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ("mailbox_sync", "mailbox_offers"):
+        df = log_queries.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({log_queries.ORACLE[name]})").fetchall())
